@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NTZ = "timestamp_ntz"
+
+# Text form of timestamps in exports; Spark's default drops microseconds.
+TEXT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TEXT_OPTIONS = {"timestampFormat": TEXT_FORMAT, "timestampNTZFormat": TEXT_FORMAT}
+JSON_OPTIONS = {**TEXT_OPTIONS, "ignoreNullFields": "false"}
+CSV_OPTIONS = {**TEXT_OPTIONS, "header": "true", "quote": '"', "escape": '"'}
 DATE_UNITS = ("day", "week", "month", "quarter", "year")
 CLOCK_UNITS = ("minute", "hour")
 UNITS = CLOCK_UNITS + DATE_UNITS

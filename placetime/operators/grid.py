@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import box_polygon, degrees_east, degrees_north, snap
+from placetime.functions.timeparts import JSON_OPTIONS
 from placetime.operators.catalog import dataset_extent
 from placetime.operators.points import select_points
 
@@ -47,4 +48,4 @@ def grid_features(cells: DataFrame) -> DataFrame:
         square.alias("geometry"),
         F.struct(F.col("count")).alias("properties"),
     )
-    return cells.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+    return cells.select(F.to_json(feature, JSON_OPTIONS).alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import point_geojson, point_in
-from placetime.functions.timeparts import ts_lit
+from placetime.functions.timeparts import JSON_OPTIONS, ts_lit
 from placetime.operators.filters import compile_tree, time_of_day
 
 DERIVED = ("point_date", "hash", "lon", "lat")
@@ -74,4 +74,4 @@ def features(points: DataFrame, hidden: Sequence[str] = ("hash",)) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in properties]).alias("properties"),
     )
     placed = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    return placed.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+    return placed.select(F.to_json(feature, JSON_OPTIONS).alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import AREA_KINDS, Geometry, geometries_intersect, rings_coordinates, rings_of
+from placetime.functions.timeparts import JSON_OPTIONS
 from placetime.operators.filters import compile_tree
 
 INTERNAL = ("geom", "hash", "ogc_fid")
@@ -42,7 +43,7 @@ def shape_features(shapes: DataFrame) -> DataFrame:
         whole = F.struct(
             F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")
         )
-        return F.to_json(whole, {"ignoreNullFields": "false"})
+        return F.to_json(whole, JSON_OPTIONS)
 
     areas = feature("MultiPolygon", F.transform("geom.parts", rings_coordinates))
     lines = feature("MultiLineString", rings_coordinates(rings_of(F.col("geom"))))
