@@ -6,7 +6,7 @@ one regular expression plus unit arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.weather import DESCRIPTORS, cardinal
@@ -71,13 +71,14 @@ def _hundredths(text: Column, pattern: str) -> Column:
     return _group(text, pattern).cast("double") / 100.0
 
 
-def issued(text: Column, received: Column) -> Column:
+def issued(line: Column, received: Column) -> Column:
     """Day, hour and minute of the report; the month is that of `received`, or the one before if
     the day has not come yet."""
-    day, hour, minute = (_group(text, TIME, i).cast("int") for i in (1, 2, 3))
-    month = F.trunc(F.to_date(received), "month")
-    month = F.when(day > F.dayofmonth(F.to_date(received)), F.add_months(month, -1)).otherwise(month)
+    day, hour, minute = (_group(line, TIME, i).cast("int") for i in (1, 2, 3))
+    today = F.to_date(received)
+    month = F.add_months(F.trunc(today, "month"), F.when(day > F.dayofmonth(today), -1).otherwise(0))
     date = F.date_add(month, day - 1)
+    # A day beyond the month's last one lands in the next month.
     possible = (F.dayofmonth(date) == day) & (hour < 24) & (minute < 60)
     return F.when(possible, date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, F.lit(0)))
 
@@ -113,14 +114,25 @@ def _present(group: Column) -> Column:
     )
 
 
-def decode(text: Column, received: Column) -> dict[str, Column]:
-    """All columns of a decoded report but its station number."""
+def decode(reports: DataFrame, text: str = "report", received: str = "received") -> DataFrame:
+    """All columns of decoded reports but the station number.
+
+    The text is cut up in one projection and read in the next, so that the pieces are made
+    once per row.
+    """
     # A blank at either end lets every group be found by its surrounding blanks.
-    line = F.concat(F.lit(" "), F.trim(text), F.lit(" "))
-    body = F.element_at(F.split(line, " RMK "), 1)
-    groups = F.filter(F.split(F.trim(body), r"\s+"), lambda g: g != "")
-    codes = F.slice(groups, F.lit(2), F.size(groups))
+    padded = F.concat(F.lit(" "), F.trim(F.col(text)), F.lit(" "))
+    cut = reports.select(
+        padded.alias("line"),
+        F.concat(F.substring_index(padded, " RMK ", 1), F.lit(" ")).alias("body"),
+        F.col(received).alias("received"),
+    )
+    cut = cut.select("*", F.split(F.trim("body"), r"\s+").alias("codes"))
+    return cut.select(*[column.alias(name) for name, column in _values().items()])
+
 
+def _values() -> dict[str, Column]:
+    line, body, codes = F.col("line"), F.col("body"), F.col("codes")
     unit = _group(body, WIND, 4)
     speed = _miles_per_hour(F.regexp_replace(_group(body, WIND, 2), "P", "").try_cast("double"), unit)
     gust = _miles_per_hour(F.regexp_replace(_group(body, WIND, 3), "P", "").try_cast("double"), unit)
@@ -150,12 +162,12 @@ def decode(text: Column, received: Column) -> dict[str, Column]:
 
     layers = _layers(codes)
     # Every fourth intermediate hour reports three hours of rain, the others six.
-    three_hourly = _group(body, TIME, 2).cast("int") % 6 == 3
+    three_hourly = _group(line, TIME, 2).cast("int") % 6 == 3
     six = _hundredths(line, RAIN_6H)
     is_weather = lambda g: g.rlike(PRESENT) & ~g.isin("", "+", "-", "VC")
     return {
-        "call_sign": _group(F.trim(text), STATION),
-        "datetime": issued(body, received),
+        "call_sign": _group(F.ltrim(line), STATION),
+        "datetime": issued(line, F.col("received")),
         "sky_condition": F.when(F.size(layers) > 0, F.concat_ws(" ", F.transform(layers, lambda s: s["code"]))),
         "sky_condition_top": _top(layers),
         "visibility": F.coalesce(miles, metres / METRES_PER_MILE),

@@ -46,7 +46,8 @@ def cardinal(degrees: Column) -> Column:
     points = F.array(*[F.lit(p) for p in COMPASS])
     # Truncation, not floor: a negative angle rounds towards zero before the remainder.
     sector = (degrees.cast("double") / 22.5 + 0.5).cast("int")
-    return F.element_at(points, F.pmod(sector, F.lit(16)) + 1)
+    # element_at takes a missing index for the last place where the array holds no nulls.
+    return F.when(degrees.isNotNull(), F.element_at(points, F.pmod(sector, F.lit(16)) + 1))
 
 
 def _empty(code: Column) -> Column:

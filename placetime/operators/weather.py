@@ -162,10 +162,14 @@ def decode_metar(
     received: str = "received",
 ) -> DataFrame:
     """Decoded reports of stations that have a number; others lie outside the covered country."""
-    decoded = reports.select(*[c.alias(n) for n, c in metar.decode(F.col(text), F.col(received)).items()])
-    numbered = decoded.join(call_signs.select("call_sign", "wban_code").dropDuplicates(["call_sign"]), "call_sign")
-    columns = ["wban_code", *decoded.columns]
-    return _stations_kept(numbered.select(*columns), only, without)
+    decoded = metar.decode(reports, text, received)
+    numbered = decoded.join(station_numbers(call_signs), "call_sign").select("wban_code", *decoded.columns)
+    return _stations_kept(numbered, only, without)
+
+
+def station_numbers(call_signs: DataFrame) -> DataFrame:
+    """One number per call sign."""
+    return call_signs.groupBy("call_sign").agg(F.min("wban_code").alias("wban_code"))
 
 
 def clean_stations(raw: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def pick(expr: str, *values: str | None) -> str:
     return f"CASE ({expr}) % {len(values)} {cases} END"
 
 
+def call_sign(key: str) -> str:
+    """A letter and three digits."""
+    return f"substr('KABCDEFGHIJLMNOPQRSTUVWXYZ', CAST(floor(({key}) % 26000 / 1e3) AS INT) + 1, 1) || lpad({text(f'({key}) % 1000')}, 3, '0')"
+
+
 def lon(key: str, span: str = "4e-1") -> str:
     return f"-8.79e1 + (({key}) * 7919 % 10007) / 1.0007e4 * {span}"
 
@@ -234,7 +239,7 @@ def tables(d: Dialect) -> dict[str, tuple[str, dict[str, str]]]:
                 "event_id": "event_id",
                 "received": "ts",
                 "report": (
-                    f"'METAR K' || lpad({text('user_id')}, 3, '0') || ' '"
+                    f"'METAR ' || {call_sign('user_id')} || ' '"
                     f" || lpad({text('event_id % 28 + 1')}, 2, '0') || lpad({text('event_id % 24')}, 2, '0')"
                     f" || lpad({text('event_id % 60')}, 2, '0') || 'Z '"
                     f" || {pick('event_id', 'VRB', '270', '005')} || lpad({text('event_id % 30')}, 2, '0')"
@@ -251,7 +256,7 @@ def tables(d: Dialect) -> dict[str, tuple[str, dict[str, str]]]:
         ),
         "call_signs": (
             "customer",
-            {"call_sign": f"'K' || lpad({text('c_custkey')}, 3, '0')", "wban_code": f"lpad({text('c_custkey')}, 5, '0')"},
+            {"call_sign": call_sign("c_custkey"), "wban_code": f"lpad({text('c_custkey')}, 5, '0')"},
         ),
         "located_text": (
             "orders",

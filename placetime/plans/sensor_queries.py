@@ -79,18 +79,22 @@ def threshold_trigger(spark, sf):
 # -- aggregates ---------------------------------------------------------------------------------
 
 _FUNCTIONS = {
-    "avg": "round(avg({c}), 6)",
-    "std": "round(stddev_samp({c}), 6)",
-    "var": "round(var_samp({c}), 2)",
+    "avg": "round(avg({c}), {d})",
+    "std": "round(stddev_samp({c}), {d})",
+    "var": "round(var_samp({c}), {d})",
     "max": "max({c})",
     "min": "min({c})",
     "med": "median({c})",
 }
-_DIGITS = {"avg": 6, "std": 6, "var": 2}
+# Digits that survive summing in any order.
+_DIGITS = {"avg": {"quantity": 6, "price": 6}, "std": {"quantity": 6, "price": 4}, "var": {"quantity": 6, "price": -2}}
 
 
 def _aggregate_sql(fn: str, unit: str, start: str | None = None, end: str | None = None) -> str:
-    columns = ", ".join(f"{_FUNCTIONS[fn].format(c=c)} AS {c}, count({c}) AS {c}_count" for c in ("quantity", "price"))
+    digits = _DIGITS.get(fn, {})
+    columns = ", ".join(
+        f"{_FUNCTIONS[fn].format(c=c, d=digits.get(c))} AS {c}, count({c}) AS {c}_count" for c in ("quantity", "price")
+    )
     where = f"WHERE datetime >= TIMESTAMP '{start}' AND datetime < TIMESTAMP '{end}'" if start else ""
     return (
         f"SELECT node_id, CAST(date_trunc('{unit}', datetime) AS TIMESTAMP) AS time_bucket, {columns} FROM ship_obs {where} GROUP BY 1, 2"
@@ -98,7 +102,7 @@ def _aggregate_sql(fn: str, unit: str, start: str | None = None, end: str | None
 
 
 def _rounded(df, fn: str):
-    return df.withColumns({c: F.round(c, _DIGITS[fn]) for c in ("quantity", "price")}) if fn in _DIGITS else df
+    return df.withColumns({c: F.round(c, d) for c, d in _DIGITS.get(fn, {}).items()})
 
 
 def _aggregate_query(fn: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,6 @@ WRITTEN_DAY_PATTERN = r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"
 TIME_PATTERN = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$"
 COLUMNS_PER_PASS = 200
 
-# Candidates in order of preference; a column gets the first that fits all its values.
-TYPE_ORDER = ("boolean", "int", "bigint", "double", "date", "time", "timestamp_ntz", "string")
-
 
 @dataclass(frozen=True)
 class PointRoles:
@@ -56,24 +54,26 @@ def cleaned(column: Column) -> Column:
     return F.when(~F.lower(column).isin(*NULL_WORDS), column)
 
 
-def _iso(text: Column) -> Column:
-    """Slashed days rewritten as year-month-day, a trailing Z dropped."""
-    text = F.regexp_replace(F.trim(text), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.regexp_replace(text, r"(\d)Z$", "$1")
+# Patterns decide before anything is parsed, since a failed parse costs an exception per row.
 
 
-# Patterns decide before anything is parsed, since a failed parse costs an exception per row.
+def _iso(text: Column) -> Column:
+    """Text that starts like a day, with slashed days as year-month-day; null for other text."""
+    text = F.regexp_replace(F.trim(text), r"(\d)Z$", "$1")
+    return (
+        F.when(text.rlike(rf"^{DAY}"), text)
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}"), F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"))
+        .when(text.rlike(WRITTEN_DAY_PATTERN), text)
+    )
 
 
-def _date(text: Column) -> Column:
-    iso = _iso(text)
+def _date(iso: Column) -> Column:
     written = F.coalesce(F.try_to_timestamp(iso, F.lit("MMM d, yyyy")), F.try_to_timestamp(iso, F.lit("MMMM d, yyyy")))
     return F.when(iso.rlike(DAY_PATTERN), iso.try_cast("date")).when(iso.rlike(WRITTEN_DAY_PATTERN), F.to_date(written))
 
 
-def _timestamp(text: Column) -> Column:
-    iso = _iso(text)
+def _timestamp(iso: Column) -> Column:
     spaced = F.upper(F.regexp_replace(iso, r" ?([AaPp][Mm])$", " $1"))
     clock = F.coalesce(
         F.try_to_timestamp(spaced, F.lit("y-M-d h:mm:ss a")), F.try_to_timestamp(spaced, F.lit("y-M-d h:mm a"))
@@ -85,32 +85,50 @@ def _timestamp(text: Column) -> Column:
 
 def parse_instant(text: Column) -> Column:
     """A timestamp from any of the known date or timestamp layouts."""
-    return F.coalesce(_timestamp(text), _date(text).cast("timestamp_ntz"))
-
-
-def _fits(text: Column) -> dict[str, Column]:
-    """For each type: does this non-null text have it?"""
-    number = F.replace(text, F.lit(","), F.lit(""))
-    digits = F.trim(number)
-    padded = digits.rlike(r"^0\d+$") & ~digits.rlike(r"^0+$")
-    whole = digits.rlike(r"^[+-]?\d+$") & ~padded
-    real = digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$") & ~padded
-    is_date = _date(text).isNotNull()
-    return {
-        "boolean": F.lower(text).isin(*TRUE_WORDS, *FALSE_WORDS),
-        "int": whole & digits.try_cast("int").isNotNull(),
-        "bigint": whole & digits.try_cast("bigint").isNotNull(),
-        "double": real,
-        "date": is_date,
-        "time": text.rlike(TIME_PATTERN),
-        "timestamp_ntz": is_date | _timestamp(text).isNotNull(),
-    }
+    iso = _iso(text)
+    return F.coalesce(_timestamp(iso), _date(iso).cast("timestamp_ntz"))
+
+
+# A value's kind is one bit; the kinds a column holds decide about its type.
+_KINDS = ("missing", "boolean", "int", "bigint", "double", "date", "time", "timestamp_ntz", "string")
+_BIT = {kind: 1 << i for i, kind in enumerate(_KINDS)}
+# Types in order of preference, with the kinds they can hold.
+_HOLDS = {
+    "boolean": ("boolean",),
+    "int": ("missing", "int"),
+    "bigint": ("missing", "int", "bigint"),
+    "double": ("missing", "int", "bigint", "double"),
+    "date": ("missing", "date"),
+    "time": ("missing", "time"),
+    "timestamp_ntz": ("missing", "date", "timestamp_ntz"),
+}
+
+
+def _kind(text: Column, digits: Column, iso: Column) -> Column:
+    """The narrowest kind of a value. Branches go from cheap to dear and stop at the first hit."""
+    bit = lambda kind: F.lit(_BIT[kind])
+    return (
+        F.when(text.isNull(), bit("missing"))
+        .when(F.lower(text).isin(*TRUE_WORDS, *FALSE_WORDS), bit("boolean"))
+        .when(digits.rlike(r"^0\d*[1-9]\d*$"), bit("string"))
+        .when(
+            digits.rlike(r"^[+-]?\d+$"),
+            F.when(digits.try_cast("int").isNotNull(), bit("int"))
+            .when(digits.try_cast("bigint").isNotNull(), bit("bigint"))
+            .otherwise(bit("double")),
+        )
+        .when(digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$"), bit("double"))
+        .when(iso.isNull(), F.when(text.rlike(TIME_PATTERN), bit("time")).otherwise(bit("string")))
+        .when(_date(iso).isNotNull(), bit("date"))
+        .when(_timestamp(iso).isNotNull(), bit("timestamp_ntz"))
+        .otherwise(bit("string"))
+    )
 
 
 def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(position, field_name, field_type, has_nulls) found from all values in one aggregate.
 
-    For every column and type the misfits are counted; the first type without any wins. A
+    Every value contributes one bit, and one integer per column is all that is combined. A
     boolean column may not hold nulls, and zero-padded numbers are text. Very wide tables are
     profiled in blocks of columns, since one aggregate over thousands of expressions would
     not compile. Use `raw.limit(1000)` for a quick suggestion.
@@ -119,29 +137,27 @@ def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     blocks = []
     for start in range(0, len(names), COLUMNS_PER_PASS):
         block = names[start : start + COLUMNS_PER_PASS]
-        profile = []
-        for position, name in enumerate(block, start + 1):
-            text = cleaned(F.col(f"`{name}`").cast("string"))
-            nulls = F.count_if(text.isNull())
-            misfits = {kind: F.count_if(~F.coalesce(ok, F.lit(False)) & text.isNotNull()) for kind, ok in _fits(text).items()}
-            misfits["boolean"] = misfits["boolean"] + nulls
+        texts = raw.select(*[cleaned(F.col(f"`{n}`").cast("string")).alias(f"t{i}") for i, n in enumerate(block)])
+        pieces = [(F.replace(f"t{i}", F.lit(","), F.lit("")), _iso(F.col(f"t{i}"))) for i in range(len(block))]
+        cut = texts.select("*", *[c for i, (d, iso) in enumerate(pieces) for c in (F.trim(d).alias(f"d{i}"), iso.alias(f"i{i}"))])
+        kinds = [F.bit_or(_kind(F.col(f"t{i}"), F.col(f"d{i}"), F.col(f"i{i}"))).alias(f"k{i}") for i in range(len(block))]
+        fields = []
+        for i, name in enumerate(block):
+            held = F.coalesce(F.col(f"k{i}"), F.lit(0))
             choice = F.lit("string")
-            for kind in reversed(TYPE_ORDER[:-1]):
-                choice = F.when(misfits[kind] == 0, F.lit(kind)).otherwise(choice)
-            profile.append(
+            for kind, allowed in reversed(_HOLDS.items()):
+                mask = sum(_BIT[k] for k in allowed)
+                choice = F.when(held.bitwiseAND(F.lit(~mask)) == 0, F.lit(kind)).otherwise(choice)
+            fields.append(
                 F.struct(
-                    F.lit(position).alias("position"),
+                    F.lit(start + i + 1).alias("position"),
                     F.lit(name).alias("field_name"),
                     choice.alias("field_type"),
-                    (nulls > 0).alias("has_nulls"),
+                    (held.bitwiseAND(F.lit(_BIT["missing"])) != 0).alias("has_nulls"),
                 )
             )
-        found = raw.agg(F.array(*profile).alias("fields"))
-        blocks.append(found.select(F.inline("fields")))
-    result = blocks[0]
-    for block in blocks[1:]:
-        result = result.unionByName(block)
-    return result
+        blocks.append(cut.agg(*kinds).select(F.inline(F.array(*fields))))
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def typed(column: Column, kind: str) -> Column:
@@ -152,7 +168,7 @@ def typed(column: Column, kind: str) -> Column:
     if kind in ("int", "bigint", "double"):
         return F.trim(F.replace(text, F.lit(","), F.lit(""))).cast(kind)
     if kind == "date":
-        return _date(text)
+        return _date(_iso(text))
     if kind == "timestamp_ntz":
         return parse_instant(text)
     return text

@@ -50,36 +50,44 @@ def geometry_from_json(kind: Column, coordinates: Column) -> Column:
     return F.when(kind.isin("Polygon", "MultiPolygon"), area).when(kind.isin("LineString", "MultiLineString"), line)
 
 
-def parse_features(lines: DataFrame, properties: str, column: str = "value") -> DataFrame:
-    """Features, one JSON text per row, as columns of `properties` (a DDL string) plus `geom`."""
-    outer = "type string, geometry struct<type:string, coordinates:string>, properties struct<" + properties + ">"
-    parsed = lines.select(F.from_json(column, outer).alias("f"))
-    fields = parsed.schema["f"].dataType["properties"].dataType.names
-    return parsed.select(
-        *[F.col(f"f.properties.`{old}`").alias(new) for old, new in zip(fields, slugs(fields))],
+def _feature_type(properties: str) -> str:
+    return f"struct<type:string, geometry:struct<type:string, coordinates:string>, properties:struct<{properties}>>"
+
+
+def _columns(features: DataFrame) -> DataFrame:
+    """The struct column `f` opened into slugged attributes and `geom`."""
+    names = features.schema["f"].dataType["properties"].dataType.names
+    return features.select(
+        *[F.col("f.properties")[old].alias(new) for old, new in zip(names, slugs(names))],
         geometry_from_json(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geom"),
     )
 
 
+def parse_features(lines: DataFrame, properties: str, column: str = "value") -> DataFrame:
+    """Features, one JSON text per row, as columns of `properties` (name:type, ...) plus `geom`."""
+    return _columns(lines.select(F.from_json(column, _feature_type(properties)).alias("f")))
+
+
 def read_shapes(
-    spark: SparkSession, path: str | Sequence[str], properties: str | None = None, one_per_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], properties: str | None = None, layout: str = "document"
 ) -> DataFrame:
-    """Shapes from GeoJSON: whole documents with a feature list, or one feature per line.
+    """Shapes from GeoJSON. `layout` says what the files hold: one feature collection each
+    ("document"), one collection per line ("collections") or one feature per line ("features").
 
-    Prefer one feature per line for large files, since a document is one task's work.
-    `properties` gives the attribute types; without it Spark samples them.
+    A document is one task's work, so large data should come by line. `properties` gives the
+    attributes as `name:type, ...`; without it Spark looks through the data for them.
     """
-    if one_per_line and properties is not None:
-        return parse_features(spark.read.text(path), properties)
+    if layout not in ("document", "collections", "features"):
+        raise ValueError(f"unknown layout {layout!r}")
+    multi_line = layout == "document"
     if properties is None:
-        seen = spark.read.json(path, multiLine=not one_per_line).schema
-        feature = seen if one_per_line else seen["features"].dataType.elementType
+        seen = spark.read.json(path, multiLine=multi_line).schema
+        feature = seen if layout == "features" else seen["features"].dataType.elementType
         properties = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in feature["properties"].dataType.fields)
-    feature = f"struct<type:string, geometry:struct<type:string, coordinates:string>, properties:struct<{properties}>>"
-    if one_per_line:
+    if layout == "features":
         return parse_features(spark.read.text(path), properties)
-    documents = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
-    return parse_features(documents.select(F.explode("features").alias("f")).select(F.to_json("f").alias("value")), properties)
+    documents = spark.read.schema(f"features array<{_feature_type(properties)}>").json(path, multiLine=multi_line)
+    return _columns(documents.select(F.explode("features").alias("f")))
 
 
 def with_row_number(shapes: DataFrame, name: str = "ogc_fid") -> DataFrame:

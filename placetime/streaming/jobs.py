@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from placetime.functions import metar
 from placetime.operators.observations import exceeding, numeric_properties
+from placetime.operators.weather import station_numbers
 
 METAR_DELAY = "2 hours"
 
@@ -25,8 +26,8 @@ def zoned(df: DataFrame, ts: str) -> DataFrame:
 
 def stream_metar(reports: DataFrame, call_signs: DataFrame, delay: str = METAR_DELAY) -> DataFrame:
     """Decoded reports, one per station and time; state is dropped `delay` after the event time."""
-    decoded = reports.select(*[c.alias(n) for n, c in metar.decode(F.col("report"), F.col("received")).items()])
-    numbered = decoded.join(call_signs.select("call_sign", "wban_code"), "call_sign")
+    decoded = metar.decode(reports)
+    numbered = decoded.join(station_numbers(call_signs), "call_sign").select("wban_code", *decoded.columns)
     return zoned(numbered, "datetime").withWatermark("datetime", delay).dropDuplicatesWithinWatermark(["wban_code", "datetime"])
 
 
