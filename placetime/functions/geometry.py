@@ -162,11 +162,14 @@ def _near_edge(x, y, edge, distance: float) -> Column:
     """Is the point at most `distance` away from the segment?"""
     x1, y1, x2, y2 = edge
     dx, dy = x2 - x1, y2 - y1
-    length2 = dx * dx + dy * dy
-    along = F.when(length2 == 0, F.lit(0.0)).otherwise(((x - x1) * dx + (y - y1) * dy) / length2)
-    along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    gap_x, gap_y = x - (x1 + along * dx), y - (y1 + along * dy)
-    return gap_x * gap_x + gap_y * gap_y <= F.lit(distance * distance)
+    length2, reach2 = dx * dx + dy * dy, distance * distance
+    along = (x - x1) * dx + (y - y1) * dy
+    across = (x - x1) * dy - (y - y1) * dx
+
+    def near(px, py) -> Column:
+        return (x - px) * (x - px) + (y - py) * (y - py) <= reach2
+
+    return F.when(along <= 0, near(x1, y1)).when(along >= length2, near(x2, y2)).otherwise(across * across <= reach2 * length2)
 
 
 def point_in(x: Column, y: Column, shape: str | dict | Geometry, boundary: bool = False) -> Column:
@@ -183,8 +186,7 @@ def point_in(x: Column, y: Column, shape: str | dict | Geometry, boundary: bool
         return box & _area_test(x, y, shape.edges, boundary)
     edges = shape.edges
     if len(edges) <= UNROLL_EDGES:
-        literal = [tuple(F.lit(v) for v in edge) for edge in edges]
-        return box & _balanced([_near_edge(x, y, e, shape.buffer) for e in literal], lambda a, b: a | b)
+        return box & _balanced([_near_edge(x, y, e, shape.buffer) for e in edges], lambda a, b: a | b)
     return box & F.exists(edge_array(edges), lambda e: _near_edge(x, y, _fields(e), shape.buffer))
 
 

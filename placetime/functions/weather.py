@@ -18,7 +18,7 @@ OTHER = ("PO", "SQ", "FC", r"\+FC", "SS", "DS", "GL")
 
 PRESENT_WEATHER = (
     rf"^([-+])?(VC)?({'|'.join(DESCRIPTORS)})?((?:{'|'.join(PRECIPITATION)})*)"
-    rf"({'|'.join(OBSCURATION)})?({'|'.join(OTHER)})?"
+    rf"({'|'.join(OBSCURATION)})?({'|'.join(OTHER)})?.*$"
 )
 
 
@@ -50,10 +50,6 @@ def cardinal(degrees: Column) -> Column:
     return F.when(degrees.isNotNull(), F.element_at(points, F.pmod(sector, F.lit(16)) + 1))
 
 
-def _empty(code: Column) -> Column:
-    return F.when(code != "", code)
-
-
 def wind(speed: Column, direction: Column) -> tuple[Column, Column]:
     """Direction (rounded degrees or VRB, as text) and compass point; both null in a calm."""
     mark = F.trim(direction)
@@ -66,18 +62,19 @@ def wind(speed: Column, direction: Column) -> tuple[Column, Column]:
     return text, point
 
 
+def groups(text: Column, pattern: str, *wanted: int) -> Column:
+    """Several groups of one anchored pattern as an array, at the price of one match."""
+    return F.split(F.regexp_replace(text, pattern, ",".join(f"${i}" for i in wanted)), ",")
+
+
 def weather_token(token: Column) -> Column:
     """One code group as six-tuples (intensity, vicinity, descriptor, precipitation, obscuration,
     other); further kinds of precipitation add a tuple each."""
-    intensity, vicinity, descriptor, falling, obscuration, other = (
-        F.regexp_extract(token, PRESENT_WEATHER, i) for i in range(1, 7)
-    )
+    found = groups(token, PRESENT_WEATHER, 1, 2, 3, 4, 5, 6)
     none = F.lit(None).cast("string")
-    first = F.array(
-        _empty(intensity), _empty(vicinity), _empty(descriptor), _empty(F.substring(falling, 1, 2)),
-        _empty(obscuration), _empty(other),
-    )
-    more = F.regexp_extract_all(F.substr(falling, F.lit(3)), F.lit("([A-Z]{2})"), F.lit(1))
+    # The fourth place may hold several two-letter codes.
+    first = F.transform(found, lambda v, i: F.when(v != "", F.when(i == 3, F.substring(v, 1, 2)).otherwise(v)))
+    more = F.regexp_extract_all(F.substr(found[3], F.lit(3)), F.lit("([A-Z]{2})"), F.lit(1))
     return F.concat(F.array(first), F.transform(more, lambda p: F.array(none, none, none, p, none, none)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placetime.functions.timeparts import micros
 from placetime.operators.network import reported
-from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, broadcast_if_small, hot_groups
+from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, fits, hot_groups, settled
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
@@ -90,10 +90,13 @@ def knn_nodes(
         .select(*cell)
     )
     located = _on_levels(placed, "_nx", "_ny")
+    # One measurement serves both tables: they grow with the nodes by known factors.
+    if fits(placed, len(CELL_SIZES) * 9 * CELL_ROW_BYTES, limit):
+        crowded, located = F.broadcast(crowded), F.broadcast(located)
     # Whatever the counts say, the coarsest lattice serves every query.
     level = (
         _on_levels(asked, "_qx", "_qy")
-        .join(broadcast_if_small(crowded, CELL_ROW_BYTES, limit), cell, "left_semi")
+        .join(crowded, cell, "left_semi")
         .groupBy(key)
         .agg(F.max("level").alias("level"))
     )
@@ -110,7 +113,7 @@ def knn_nodes(
     )
     gap = distance(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
     pairs = (
-        candidates.join(broadcast_if_small(located, 2 * CELL_ROW_BYTES, limit), cell)
+        candidates.join(located, cell)
         .select(key, "network", "node", "_r", gap.alias("distance"))
         .filter(F.col("distance") <= F.col("_r"))
         .drop("_r")
@@ -225,6 +228,8 @@ def nearest_observations(
     asked = near.join(queries.select(key, "instant"), key).select(
         key, F.col("node").alias("node_id"), "instant", "distance"
     )
+    # Looked at three times below, so the neighbour search is settled first.
+    asked = settled(asked, "neighbours")
     found = nearest_in_time(asked, obs, (key, "distance"), tie, results, hot_rows)
     best = Window.partitionBy(key).orderBy("distance", "node_id")
     return found.withColumn("_best", F.rank().over(best)).filter(F.col("_best") == 1).drop("_best")

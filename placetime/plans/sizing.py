@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placetime.session import scratch_path
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 100_000
@@ -25,6 +27,14 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
     return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, kept if executors are lost, and
+    of a size the planner knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
     """Groups of more than `rows` rows, as keys and `shards`, the number of pieces to cut them into.
 

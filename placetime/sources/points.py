@@ -69,14 +69,18 @@ def _iso(text: Column) -> Column:
 
 
 def _date(iso: Column) -> Column:
-    written = F.coalesce(F.try_to_timestamp(iso, F.lit("MMM d, yyyy")), F.try_to_timestamp(iso, F.lit("MMMM d, yyyy")))
+    # Three letters are a short month name (May is both).
+    written = F.when(iso.rlike(r"^[A-Za-z]{3} "), F.try_to_timestamp(iso, F.lit("MMM d, yyyy"))).otherwise(
+        F.try_to_timestamp(iso, F.lit("MMMM d, yyyy"))
+    )
     return F.when(iso.rlike(DAY_PATTERN), iso.try_cast("date")).when(iso.rlike(WRITTEN_DAY_PATTERN), F.to_date(written))
 
 
 def _timestamp(iso: Column) -> Column:
     spaced = F.upper(F.regexp_replace(iso, r" ?([AaPp][Mm])$", " $1"))
-    clock = F.coalesce(
-        F.try_to_timestamp(spaced, F.lit("y-M-d h:mm:ss a")), F.try_to_timestamp(spaced, F.lit("y-M-d h:mm a"))
+    seconds = iso.rlike(r":\d{2}:\d{2}")
+    clock = F.when(seconds, F.try_to_timestamp(spaced, F.lit("y-M-d h:mm:ss a"))).otherwise(
+        F.try_to_timestamp(spaced, F.lit("y-M-d h:mm a"))
     )
     return F.when(iso.rlike(INSTANT_PATTERN), iso.try_cast("timestamp_ntz")).when(
         iso.rlike(AMPM_PATTERN), clock.cast("timestamp_ntz")
