@@ -139,13 +139,9 @@ def _crosses(x, y, x1, y1, x2, y2) -> Column:
 
 
 def _touches(x, y, x1, y1, x2, y2) -> Column:
-    return (
-        ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1))
-        & (x >= F.least(x1, x2))
-        & (x <= F.greatest(x1, x2))
-        & (y >= F.least(y1, y2))
-        & (y <= F.greatest(y1, y2))
-    )
+    """Is the point on the edge? On its line, and not outside it on either axis."""
+    on_line = (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)
+    return on_line & ((x - x1) * (x - x2) <= 0) & ((y - y1) * (y - y2) <= 0)
 
 
 def edge_array(edges: Sequence[tuple[float, float, float, float]]) -> Column:
@@ -192,7 +188,7 @@ def point_in(x: Column, y: Column, shape: str | dict | Geometry, boundary: bool
 
 def _area_test(x: Column, y: Column, edges, boundary: bool) -> Column:
     if len(edges) > UNROLL_EDGES:
-        return point_in_edges(x, y, edge_array(edges), F.lit(boundary))
+        return point_in_edges(x, y, edge_array(edges), boundary)
     literal = [(tuple(F.lit(v) for v in edge), edge) for edge in edges]
     crossing = [_crosses(x, y, *cols).cast("int") for cols, (_, y1, _, y2) in literal if y1 != y2]
     odd = _balanced(crossing, lambda a, b: a + b) % 2 == 1
@@ -200,11 +196,23 @@ def _area_test(x: Column, y: Column, edges, boundary: bool) -> Column:
     return (odd | touching) if boundary else (odd & ~touching)
 
 
-def point_in_edges(x: Column, y: Column, edges: Column, boundary: Column) -> Column:
-    """The same test against a column of edges, as used by joins."""
+def point_in_edges(x: Column, y: Column, edges: Column, boundary: bool, flip: Column | None = None) -> Column:
+    """The same test against a column of edges; `flip` says if an odd number was left out of it."""
     touching = F.exists(edges, lambda e: _touches(x, y, *_fields(e)))
     odd = F.size(F.filter(edges, lambda e: _crosses(x, y, *_fields(e)))) % 2 == 1
-    return F.when(boundary, odd | touching).otherwise(odd & ~touching)
+    odd = odd if flip is None else odd != flip
+    return (odd | touching) if boundary else (odd & ~touching)
+
+
+def point_in_columns(x: Column, y: Column, edges: Sequence[tuple[Column, ...]], boundary: bool, flip: Column) -> Column:
+    """The same test against a few edges in columns of their own, null where there is none.
+
+    Unlike an array it needs no higher-order function, so it is part of the generated code.
+    """
+    none = F.lit(False)
+    odd = reduce(lambda a, b: a != b, [F.coalesce(_crosses(x, y, *e), none) for e in edges], flip)
+    touching = reduce(lambda a, b: a | b, [F.coalesce(_touches(x, y, *e), none) for e in edges])
+    return (odd | touching) if boundary else (odd & ~touching)
 
 
 # -- geometry columns ---------------------------------------------------------------------
@@ -286,12 +294,12 @@ def geometries_intersect(geom: Column, shape: str | dict | Geometry) -> Column:
         tests.append(
             F.exists(
                 rings_of(geom),
-                lambda ring: point_in_edges(ring[0]["x"], ring[0]["y"], other, F.lit(True)),
+                lambda ring: point_in_edges(ring[0]["x"], ring[0]["y"], other, True),
             )
         )
     inside_own = reduce(
         lambda a, b: a | b,
-        [point_in_edges(F.lit(r[0][0]), F.lit(r[0][1]), own, F.lit(True)) for r in shape.rings],
+        [point_in_edges(F.lit(r[0][0]), F.lit(r[0][1]), own, True) for r in shape.rings],
     )
     tests.append(geom["kind"].isin(*AREA_KINDS) & inside_own)
     return boxes_overlap(geom, shape.box) & reduce(lambda a, b: a | b, tests)
