@@ -26,9 +26,10 @@ LINE_KINDS = ("LineString", "MultiLineString")
 EARTH_CIRCUMFERENCE_M = 40_041_000.0
 LINE_BUFFER_M = 100.0
 
-# Up to this many edges a literal polygon becomes one generated expression; beyond it the
-# edges travel as a literal array walked by a higher-order function.
-UNROLL_EDGES = 64
+# Up to this many edges a literal geometry becomes one generated expression; beyond it the edges
+# travel as a literal array walked by a higher-order function. Measured: longer expressions make
+# generated methods that the JVM no longer compiles, which costs more than the function.
+UNROLL_EDGES = 4
 
 
 @dataclass(frozen=True)

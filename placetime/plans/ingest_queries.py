@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from placetime.operators import ingest
 from placetime.plans.derived import derive, duck
 from placetime.plans.registry import query
+from placetime.plans.sizing import spread
 from placetime.session import scratch_path
 from placetime.sources.points import PointRoles, infer_schema
 
@@ -108,7 +109,7 @@ def point_catalog_row(spark, sf):
 )
 def types_of_text(spark, sf):
     """Types and nulls of text columns written in various ways."""
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = spread(spark.read.parquet(f"{sf}/lineitem.parquet"))
     key, date = F.col("l_orderkey"), F.col("l_shipdate")
     us_date = F.date_format(date, "MM/dd/yyyy")
     raw = lines.select(

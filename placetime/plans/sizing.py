@@ -27,6 +27,16 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
     return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan spread over all cores where it has fewer splits than there are cores.
+
+    A single small file is one task, which is far too little for work that is heavy per row;
+    anything large has many splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, kept if executors are lost, and
     of a size the planner knows."""

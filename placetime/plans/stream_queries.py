@@ -28,7 +28,7 @@ def _finished(spark, stream, name: str):
 
 @query("stream_metar", f"WITH {_METAR_SQL} SELECT DISTINCT wban_code, datetime FROM decoded")
 def stream_metar(spark, sf):
-    reports = derive(spark, sf, "metar_lines")
+    reports = derive(spark, sf, "metar_lines", heavy=True)
     doubled = reports.unionByName(reports)
     loaded = jobs.stream_metar(_as_stream(spark, doubled, "metar"), derive(spark, sf, "call_signs"))
     done = _finished(spark, loaded, "metar")

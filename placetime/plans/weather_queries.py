@@ -71,7 +71,7 @@ _DAILY_SQL = (
 
 
 def _daily(spark, sf):
-    return wx.clean_daily(derive(spark, sf, "daily_lines").drop("order_key"))
+    return wx.clean_daily(derive(spark, sf, "daily_lines", heavy=True).drop("order_key"))
 
 
 @query("weather_daily_clean", f"WITH {_DAILY_SQL} SELECT * EXCLUDE (k) FROM daily")
@@ -120,7 +120,7 @@ _HOURLY_SQL = (
 
 
 def _hourly(spark, sf):
-    return wx.clean_hourly(derive(spark, sf, "hourly_lines"))
+    return wx.clean_hourly(derive(spark, sf, "hourly_lines", heavy=True))
 
 
 @query("weather_hourly_clean", f"WITH {_HOURLY_SQL} SELECT * EXCLUDE (l_orderkey, l_partkey, l_linenumber) FROM hourly")
@@ -277,7 +277,7 @@ _ROUNDED = ("temp_fahrenheit", "dewpoint_fahrenheit", "sealevel_pressure", "stat
 
 
 def _metars(spark, sf):
-    return wx.decode_metar(derive(spark, sf, "metar_lines"), derive(spark, sf, "call_signs"))
+    return wx.decode_metar(derive(spark, sf, "metar_lines", heavy=True), derive(spark, sf, "call_signs"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +22,6 @@ INSTANT_PATTERN = rf"^{DAY}[ T]\d{{1,2}}:\d{{2}}(:\d{{2}}(\.\d{{1,6}})?)?$"
 AMPM_PATTERN = rf"^{DAY} \d{{1,2}}:\d{{2}}(:\d{{2}})? ?[AaPp][Mm]$"
 WRITTEN_DAY_PATTERN = r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"
 TIME_PATTERN = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$"
-COLUMNS_PER_PASS = 200
-
 
 @dataclass(frozen=True)
 class PointRoles:
@@ -130,38 +127,29 @@ def _kind(text: Column, digits: Column, iso: Column) -> Column:
 
 
 def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(position, field_name, field_type, has_nulls) found from all values in one aggregate.
+    """(position, field_name, field_type, has_nulls) found from all values in one pass.
 
-    Every value contributes one bit, and one integer per column is all that is combined. A
-    boolean column may not hold nulls, and zero-padded numbers are text. Very wide tables are
-    profiled in blocks of columns, since one aggregate over thousands of expressions would
-    not compile. Use `raw.limit(1000)` for a quick suggestion.
+    Columns are laid out as rows, so that any number of them needs only one expression; a value
+    contributes one bit, and tasks hand on one integer per column. A boolean column may not hold
+    nulls, and zero-padded numbers are text. Use `raw.limit(1000)` for a quick suggestion.
     """
     names = list(columns or raw.columns)
-    blocks = []
-    for start in range(0, len(names), COLUMNS_PER_PASS):
-        block = names[start : start + COLUMNS_PER_PASS]
-        texts = raw.select(*[cleaned(F.col(f"`{n}`").cast("string")).alias(f"t{i}") for i, n in enumerate(block)])
-        pieces = [(F.replace(f"t{i}", F.lit(","), F.lit("")), _iso(F.col(f"t{i}"))) for i in range(len(block))]
-        cut = texts.select("*", *[c for i, (d, iso) in enumerate(pieces) for c in (F.trim(d).alias(f"d{i}"), iso.alias(f"i{i}"))])
-        kinds = [F.bit_or(_kind(F.col(f"t{i}"), F.col(f"d{i}"), F.col(f"i{i}"))).alias(f"k{i}") for i in range(len(block))]
-        fields = []
-        for i, name in enumerate(block):
-            held = F.coalesce(F.col(f"k{i}"), F.lit(0))
-            choice = F.lit("string")
-            for kind, allowed in reversed(_HOLDS.items()):
-                mask = sum(_BIT[k] for k in allowed)
-                choice = F.when(held.bitwiseAND(F.lit(~mask)) == 0, F.lit(kind)).otherwise(choice)
-            fields.append(
-                F.struct(
-                    F.lit(start + i + 1).alias("position"),
-                    F.lit(name).alias("field_name"),
-                    choice.alias("field_type"),
-                    (held.bitwiseAND(F.lit(_BIT["missing"])) != 0).alias("has_nulls"),
-                )
-            )
-        blocks.append(cut.agg(*kinds).select(F.inline(F.array(*fields))))
-    return reduce(DataFrame.unionByName, blocks)
+    cells = raw.select(F.posexplode(F.array(*[F.col(f"`{n}`").cast("string") for n in names])).alias("place", "value"))
+    texts = cells.select("place", cleaned(F.col("value")).alias("t"))
+    pieces = texts.select("*", F.trim(F.replace("t", F.lit(","), F.lit(""))).alias("d"), _iso(F.col("t")).alias("i"))
+    kinds = pieces.groupBy("place").agg(F.bit_or(_kind(F.col("t"), F.col("d"), F.col("i"))).alias("kinds"))
+    listed = raw.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("place", "field_name"))
+    held = F.coalesce("kinds", F.lit(0))
+    choice = F.lit("string")
+    for kind, allowed in reversed(_HOLDS.items()):
+        others = ~sum(_BIT[k] for k in allowed)
+        choice = F.when(held.bitwiseAND(F.lit(others)) == 0, F.lit(kind)).otherwise(choice)
+    return listed.join(kinds, "place", "left").select(
+        (F.col("place") + 1).alias("position"),
+        "field_name",
+        choice.alias("field_type"),
+        (held.bitwiseAND(F.lit(_BIT["missing"])) != 0).alias("has_nulls"),
+    )
 
 
 def typed(column: Column, kind: str) -> Column:
