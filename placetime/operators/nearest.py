@@ -17,9 +17,10 @@ RESULTS = 3
 
 # Lattices for the neighbour search: cell sizes in degrees, coarse to fine. The coarsest has
 # one cell for the whole globe.
-CELL_SIZES = tuple(1024.0 / 4**level for level in range(11))
+CELL_SIZES = tuple(1024.0 / 2**level for level in range(21))
 ORIGIN = -512.0
 CELL_ROW_BYTES = 64
+BLOCKS_PER_CELL = 4
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -38,26 +39,24 @@ def reporting_nodes(
     return nodes.join(able, ["network", "node"], "left_semi")
 
 
-def _cell(value: Column, level: int) -> Column:
-    return F.floor((value - ORIGIN) / CELL_SIZES[level]).cast("long")
+def _position(value: Column, level: int) -> Column:
+    return (value - ORIGIN) / CELL_SIZES[level]
 
 
-def _on_levels(df: DataFrame, x: str, y: str, reach: int = 0) -> DataFrame:
-    """One row per lattice, and per neighbouring cell up to `reach` cells away."""
-    around = F.sequence(F.lit(-reach), F.lit(reach))
+def _on_levels(df: DataFrame, x: str, y: str, shift: float = 0.0) -> DataFrame:
+    """One row per lattice with the cell of a place, or with the lower cell of the block around a
+    place moved down by half a cell."""
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("level"), _cell(F.col(x), i).alias("cx"), _cell(F.col(y), i).alias("cy"))
+            F.struct(
+                F.lit(i).alias("level"),
+                F.floor(_position(F.col(x), i) - shift).cast("long").alias("cx"),
+                F.floor(_position(F.col(y), i) - shift).cast("long").alias("cy"),
+            )
             for i in range(len(CELL_SIZES))
         ]
     )
-    spread = df.select("*", F.explode(cells).alias("_c"))
-    if not reach:
-        return spread.select(*df.columns, "_c.level", "_c.cx", "_c.cy")
-    spread = spread.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
-    return spread.select(
-        *df.columns, "_c.level", (F.col("_c.cx") + F.col("_i")).alias("cx"), (F.col("_c.cy") + F.col("_j")).alias("cy")
-    )
+    return df.select("*", F.explode(cells).alias("_c")).select(*df.columns, "_c.level", "_c.cx", "_c.cy")
 
 
 def knn_nodes(
@@ -69,48 +68,49 @@ def knn_nodes(
 ) -> DataFrame:
     """(key, network, node, distance, rank) of the k nearest nodes for every query point.
 
-    Exact, and without pairing everything. Nodes are first counted per neighbourhood of 3 by 3
-    cells on lattices of several sizes. A query takes the finest lattice whose neighbourhood
-    holds k nodes; all of those are within twice the diagonal of a cell, so the k nearest lie
-    in the cells that radius touches. Only these are ranked. Ties share a rank; the k-th place
-    goes to the smallest names.
+    Exact, and without pairing everything. Nodes are first counted per block of 2 by 2 cells, on
+    lattices of several sizes. A query takes the finest lattice on which the block around it
+    holds k nodes; the k nearest are then no farther than that block's farthest corner, so only
+    nodes in cells within that radius are ranked. Ties share a rank; the k-th place goes to the
+    smallest names.
     """
     placed = nodes.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         "network", "node", F.col("lon").alias("_nx"), F.col("lat").alias("_ny")
     )
+    placed = settled(placed, "nodes")  # counted, then read twice
     asked = queries.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         key, F.col("lon").alias("_qx"), F.col("lat").alias("_qy")
     )
     cell = ["level", "cx", "cy"]
-    crowded = (
-        _on_levels(placed.select("_nx", "_ny"), "_nx", "_ny", reach=1)
-        .groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= k)
-        .select(*cell)
-    )
     located = _on_levels(placed, "_nx", "_ny")
+    lower = F.array(F.lit(-1), F.lit(0))
+    blocks = located.select("level", "cx", F.explode(F.transform(lower, lambda i: F.col("cy") + i)).alias("cy")).select(
+        "level", F.explode(F.transform(lower, lambda i: F.col("cx") + i)).alias("cx"), "cy"
+    )
+    crowded = blocks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*cell)
     # One measurement serves both tables: they grow with the nodes by known factors.
-    if fits(placed, len(CELL_SIZES) * 9 * CELL_ROW_BYTES, limit):
+    if fits(placed, len(CELL_SIZES) * BLOCKS_PER_CELL * CELL_ROW_BYTES, limit):
         crowded, located = F.broadcast(crowded), F.broadcast(located)
-    # Whatever the counts say, the coarsest lattice serves every query.
-    level = (
-        _on_levels(asked, "_qx", "_qy")
-        .join(crowded, cell, "left_semi")
-        .groupBy(key)
-        .agg(F.max("level").alias("level"))
-    )
+    level = _on_levels(asked, "_qx", "_qy", 0.5).join(crowded, cell, "left_semi").groupBy(key).agg(F.max("level").alias("level"))
+    # Where no block holds k nodes there are fewer than k of them, and the coarsest lattice serves.
     leveled = asked.join(level, key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
     size = F.element_at(F.array(*[F.lit(s) for s in CELL_SIZES]), F.col("level") + 1)
-    # Neighbourhood nodes are at most two cells away on each axis.
-    radius = F.when(F.col("level") > 0, size * (2.0 * 2.0**0.5)).otherwise(F.lit(2048.0))
-    ranged = leveled.withColumn("_r", radius)
-    first_x, last_x = (F.floor((F.col("_qx") + s * F.col("_r") - ORIGIN) / size).cast("long") for s in (-1, 1))
-    first_y, last_y = (F.floor((F.col("_qy") + s * F.col("_r") - ORIGIN) / size).cast("long") for s in (-1, 1))
-    candidates = ranged.select(key, "_qx", "_qy", "_r", "level", F.explode(F.sequence(first_x, last_x)).alias("cx"), first_y.alias("_y0"), last_y.alias("_y1"))
-    candidates = candidates.select(
-        key, "_qx", "_qy", "_r", "level", "cx", F.explode(F.sequence("_y0", "_y1")).alias("cy")
-    )
+    sized = leveled.withColumn("_s", size)
+
+    def reach(value: Column) -> Column:
+        """Distance on one axis to the farther side of the block."""
+        start = F.floor((value - ORIGIN) / F.col("_s") - 0.5) * F.col("_s") + ORIGIN
+        return F.greatest(value - start, start + 2 * F.col("_s") - value)
+
+    x, y = F.col("_qx"), F.col("_qy")
+    corner = distance(reach(x), reach(y), F.lit(0.0), F.lit(0.0)) * (1 + 1e-9)
+    ranged = sized.withColumn("_r", F.when(F.col("level") == 0, 2 * CELL_SIZES[0]).otherwise(corner))
+
+    def cells_within(value: Column) -> Column:
+        ends = [F.floor((value + sign * F.col("_r") - ORIGIN) / F.col("_s")).cast("long") for sign in (-1, 1)]
+        return F.explode(F.sequence(*ends))
+
+    candidates = ranged.select("*", cells_within(x).alias("cx")).select("*", cells_within(y).alias("cy"))
     gap = distance(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
     pairs = (
         candidates.join(located, cell)
@@ -132,6 +132,23 @@ def nearest_node(nodes: DataFrame, lon: float, lat: float, k: int = NEIGHBOURS)
     return top.withColumn("rank", F.rank().over(Window.orderBy("distance")))
 
 
+def _pieces(df: DataFrame, place: Sequence[str], own: DataFrame, other: DataFrame, spread_by: Sequence[str]) -> DataFrame:
+    """Numbers the pieces of crowded slots: `own`, the one piece a row falls into, and `other`, all
+    the pieces the other side's rows of the slot are cut into, one row each."""
+    zero = F.lit(0).cast("long")
+    if own.isEmpty():
+        df = df.withColumn("own", zero)
+    else:
+        found = df.join(F.broadcast(own), list(place), "left")
+        piece = F.pmod(F.xxhash64(*spread_by), F.coalesce("shards", F.lit(1)).cast("long"))
+        df = found.withColumn("own", piece).drop("shards")
+    if other.isEmpty():
+        return df.withColumn("other", zero)
+    found = df.join(F.broadcast(other), list(place), "left")
+    last = F.coalesce("shards", F.lit(1)).cast("long") - 1
+    return found.withColumn("other", F.explode(F.sequence(zero, last))).drop("shards")
+
+
 def nearest_in_time(
     queries: DataFrame,
     obs: DataFrame,
@@ -161,21 +178,11 @@ def nearest_in_time(
     visits = asked.withColumn("slot", F.explode(F.array(*[slot_of + i for i in (-1, 0, 1)])))
     place = ["node_id", "slot"]
 
-    dense = F.broadcast(hot_groups(seen, place, hot_rows).withColumnRenamed("shards", "_so"))
-    busy = F.broadcast(hot_groups(visits, place, hot_rows).withColumnRenamed("shards", "_sq"))
-
-    def pieces(df: DataFrame) -> DataFrame:
-        joined = df.join(dense, place, "left").join(busy, place, "left")
-        return joined.fillna(1, ["_so", "_sq"])
-
-    def part(df: DataFrame, *columns: str) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(1_000_003))
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>"))
-    seen = pieces(seen)
-    seen = seen.select("*", F.pmod(part(seen, "_t", "_tie"), F.col("_so")).alias("po"), every("_sq").alias("pq"))
-    visits = pieces(visits)
-    visits = visits.select("*", F.pmod(part(visits, *keys), F.col("_sq")).alias("pq"), every("_so").alias("po"))
+    dense, busy = hot_groups(seen, place, hot_rows), hot_groups(visits, place, hot_rows)
+    seen = _pieces(seen, place, own=dense, other=busy, spread_by=["_t", "_tie"])
+    visits = _pieces(visits, place, own=busy, other=dense, spread_by=["_t", *keys])
+    seen = seen.withColumnsRenamed({"own": "po", "other": "pq"})
+    visits = visits.withColumnsRenamed({"own": "pq", "other": "po"})
 
     line = ["node_id", "slot", "po", "pq"]
     query_type = visits.select(F.struct(*keys).alias("q")).schema["q"].dataType

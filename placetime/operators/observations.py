@@ -131,9 +131,12 @@ def node_aggregate(
     keys = ["node_id", "time_bucket"]
     if fn != "med":
         return _aggregated(kept, keys, names, fn)
-    hot = F.broadcast(hot_groups(kept, keys, hot_rows))  # at most rows / hot_rows rows
+    hot = hot_groups(kept, keys, hot_rows)
+    if hot.isEmpty():
+        return _aggregated(kept, keys, names, "med")
+    hot = F.broadcast(hot.select(*keys))
     usual = _aggregated(kept.join(hot, keys, "left_anti"), keys, names, "med")
-    crowded = kept.join(hot.select(*keys), keys)
+    crowded = kept.join(hot, keys)
     large = [_large_medians(crowded, keys, name) for name in names]
     counts = crowded.groupBy(*keys).agg(*[F.count(f"`{n}`").alias(f"{n}_count") for n in names])
     merged = reduce(lambda a, b: a.join(b, keys, "left"), large, counts)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import geometry_struct
-from placetime.plans.sizing import spread
+from placetime.plans.sizing import settled, spread
 
 
 @dataclass(frozen=True)
@@ -316,7 +316,7 @@ def duck(*names: str) -> str:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One polygon per supplier."""
+    """One polygon per supplier, stored as a shape dataset is."""
     frames = derive(spark, sf_dir, "shape_frames", heavy=True)
 
     def vertex(fx: float, fy: float) -> Column:
@@ -327,7 +327,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chosen = F.when(F.col("kind") == 0, parts(0)).when(F.col("kind") == 1, parts(1)).otherwise(parts(2))
     geom = geometry_struct(F.lit("MultiPolygon"), chosen)
-    return frames.select("shape_id", "shape_name", "shape_nation", geom.alias("geom"))
+    return settled(frames.select("shape_id", "shape_name", "shape_nation", geom.alias("geom")), "shapes")
 
 
 def shape_test(x: str, y: str, strict: bool) -> str:

@@ -50,8 +50,10 @@ def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> Data
 
     Counted map side first, so the shuffle carries one row per key and task. The threshold
     rises with the data so that at most `MAX_HOT_GROUPS` rows come out: safe to broadcast.
+    The groups are found at once and settled, as both sides of a plan ask for them.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     share = counted.agg((F.sum("n") / MAX_HOT_GROUPS).alias("share")).scalar()
     most = F.greatest(F.lit(float(rows)), share)
-    return counted.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("shards"))
+    hot = counted.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("shards"))
+    return settled(hot, "hot-groups")
