@@ -263,7 +263,8 @@ def weather_nested(page: DataFrame, stations: DataFrame) -> DataFrame:
     Meant for the rows of `weather_query`: their number is limited, hence so is every list.
     """
     ts = time_column(page)
-    own = [c for c in page.columns if not c.startswith("station_") or c in ("station_pressure", "station_type")]
+    of_station = {f"station_{c}" for c in stations.columns}
+    own = [c for c in page.columns if c not in of_station]
     entries = page.groupBy("wban_code").agg(
         F.reverse(F.array_sort(F.collect_list(F.struct(ts, *[c for c in own if c != ts])))).alias("observations")
     )
