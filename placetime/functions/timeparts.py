@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +82,15 @@ def spine(spark: SparkSession, unit: str, start, end) -> DataFrame:
     return spark.range(1).select(F.explode(series).alias("time_bucket"))
 
 
+def recent(now: datetime | None = None, **span: float) -> tuple[datetime, datetime]:
+    """The time up to `now`, by default as far back as point and observation queries look: 90 days.
+
+    Other usual spans: days=1 for node aggregates, days=7 for downloads, minutes=30 for triggers.
+    """
+    end = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    return end - timedelta(**(span or {"days": 90})), end
+
+
 def month_bounds(value: str | date | datetime) -> tuple[datetime, datetime]:
     """First of the month and first of the next one."""
     first = instant(value).replace(day=1, hour=0, minute=0, second=0, microsecond=0)

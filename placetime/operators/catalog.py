@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placetime.functions.geometry import Geometry, box_polygon, geometries_intersect, geometry, geometry_struct
 from placetime.functions.timeparts import ts_lit
+from placetime.plans.sizing import broadcast_if_small
 
 PUBLIC_COLUMNS = (
     "human_name", "dataset_name", "source_url", "view_url", "date_added", "last_update",
@@ -117,8 +118,12 @@ def latest_status(catalog: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def attach_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Catalog columns on every row, matched by `dataset_name`."""
-    return rows.join(catalog, "dataset_name", "left")
+    """Catalog columns on every row, matched by `dataset_name`.
+
+    The catalog is measured, so that rows of a large dataset are not shuffled to one place.
+    """
+    width = F.length(F.to_json(F.struct(*catalog.columns)))
+    return rows.join(broadcast_if_small(catalog, width), "dataset_name", "left")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placetime.functions.timeparts import micros
 from placetime.operators.network import reported
-from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, fits, hot_groups, settled
+from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, fits, hot_groups, settled, split_join, with_pieces
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
@@ -65,6 +65,7 @@ def knn_nodes(
     k: int = NEIGHBOURS,
     key: str = "query_id",
     limit: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(key, network, node, distance, rank) of the k nearest nodes for every query point.
 
@@ -89,7 +90,8 @@ def knn_nodes(
     )
     crowded = blocks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*cell)
     # One measurement serves both tables: they grow with the nodes by known factors.
-    if fits(placed, len(CELL_SIZES) * BLOCKS_PER_CELL * CELL_ROW_BYTES, limit):
+    small = fits(placed, len(CELL_SIZES) * BLOCKS_PER_CELL * CELL_ROW_BYTES, limit)
+    if small:
         crowded, located = F.broadcast(crowded), F.broadcast(located)
     level = _on_levels(asked, "_qx", "_qy", 0.5).join(crowded, cell, "left_semi").groupBy(key).agg(F.max("level").alias("level"))
     # Where no block holds k nodes there are fewer than k of them, and the coarsest lattice serves.
@@ -112,9 +114,9 @@ def knn_nodes(
 
     candidates = ranged.select("*", cells_within(x).alias("cx")).select("*", cells_within(y).alias("cy"))
     gap = distance(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
+    met = candidates.join(located, cell) if small else split_join(candidates, located, cell, [key, "_qx", "_qy"], hot_rows)
     pairs = (
-        candidates.join(located, cell)
-        .select(key, "network", "node", "_r", gap.alias("distance"))
+        met.select(key, "network", "node", "_r", gap.alias("distance"))
         .filter(F.col("distance") <= F.col("_r"))
         .drop("_r")
     )
@@ -132,23 +134,6 @@ def nearest_node(nodes: DataFrame, lon: float, lat: float, k: int = NEIGHBOURS)
     return top.withColumn("rank", F.rank().over(Window.orderBy("distance")))
 
 
-def _pieces(df: DataFrame, place: Sequence[str], own: DataFrame, other: DataFrame, spread_by: Sequence[str]) -> DataFrame:
-    """Numbers the pieces of crowded slots: `own`, the one piece a row falls into, and `other`, all
-    the pieces the other side's rows of the slot are cut into, one row each."""
-    zero = F.lit(0).cast("long")
-    if own.isEmpty():
-        df = df.withColumn("own", zero)
-    else:
-        found = df.join(F.broadcast(own), list(place), "left")
-        piece = F.pmod(F.xxhash64(*spread_by), F.coalesce("shards", F.lit(1)).cast("long"))
-        df = found.withColumn("own", piece).drop("shards")
-    if other.isEmpty():
-        return df.withColumn("other", zero)
-    found = df.join(F.broadcast(other), list(place), "left")
-    last = F.coalesce("shards", F.lit(1)).cast("long") - 1
-    return found.withColumn("other", F.explode(F.sequence(zero, last))).drop("shards")
-
-
 def nearest_in_time(
     queries: DataFrame,
     obs: DataFrame,
@@ -179,10 +164,10 @@ def nearest_in_time(
     place = ["node_id", "slot"]
 
     dense, busy = hot_groups(seen, place, hot_rows), hot_groups(visits, place, hot_rows)
-    seen = _pieces(seen, place, own=dense, other=busy, spread_by=["_t", "_tie"])
-    visits = _pieces(visits, place, own=busy, other=dense, spread_by=["_t", *keys])
-    seen = seen.withColumnsRenamed({"own": "po", "other": "pq"})
-    visits = visits.withColumnsRenamed({"own": "pq", "other": "po"})
+    seen = with_pieces(seen, place, ["_t", "_tie"], own=dense, other=busy)
+    visits = with_pieces(visits, place, ["_t", *keys], own=busy, other=dense)
+    seen = seen.withColumnsRenamed({"own_piece": "po", "other_piece": "pq"})
+    visits = visits.withColumnsRenamed({"own_piece": "pq", "other_piece": "po"})
 
     line = ["node_id", "slot", "po", "pq"]
     query_type = visits.select(F.struct(*keys).alias("q")).schema["q"].dataType

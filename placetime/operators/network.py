@@ -14,14 +14,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import point_geojson, point_in
+from placetime.plans.sizing import broadcast_if_small, fits
 
 
-def mounted(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
-    """(network, node, sensor, observed_properties), each mounting once.
+def _mountings(bridge: DataFrame) -> DataFrame:
+    return bridge.select("network", "node", "sensor").distinct()
 
-    This is the network tree as rows.
+
+def network_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
+    """(network, node, sensor, observed_properties): the network's tree as rows, each mounting once.
+
+    The innermost level, {alias: feature.property}, is the sensor's own map.
+    """
+    known = sensors.select("sensor", "observed_properties")
+    return _mountings(bridge).join(broadcast_if_small(known, _width(known)), "sensor").select("network", "node", "sensor", "observed_properties")
+
+
+def nested_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
+    """(network, node, tree): sensor -> {alias: feature.property} in one map per node.
+
+    A node's map holds each kind of sensor once; that the kinds fit is checked first.
     """
-    return bridge.select("network", "node", "sensor").distinct().join(sensors.select("sensor", "observed_properties"), "sensor")
+    known = sensors.select("sensor", "observed_properties")
+    if not fits(known, _width(known)):
+        raise ValueError("too many kinds of sensors for one map per node, use network_tree")
+    by_name = F.array_sort(F.collect_list(F.struct("sensor", F.map_entries("observed_properties").alias("p"))))
+    as_map = F.map_from_entries(F.transform(by_name, lambda e: F.struct(e["sensor"], F.map_from_entries(e["p"]))))
+    return network_tree(bridge, sensors).groupBy("network", "node").agg(as_map.alias("tree"))
+
+
+def _width(df: DataFrame):
+    return F.length(F.to_json(F.struct(*df.columns))) + 64
 
 
 def reported(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -29,7 +52,8 @@ def reported(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
 
     The map is opened on the sensor table, which is small, before the join multiplies it.
     """
-    return bridge.select("network", "node", "sensor").distinct().join(sensor_properties(sensors), "sensor")
+    opened = sensor_properties(sensors)
+    return _mountings(bridge).join(broadcast_if_small(opened, 256), "sensor")
 
 
 def sensor_properties(sensors: DataFrame) -> DataFrame:
@@ -42,21 +66,6 @@ def sensor_properties(sensors: DataFrame) -> DataFrame:
     )
 
 
-def network_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
-    """(network, node, tree): sensor -> {alias: feature.property} per node.
-
-    Mountings are distinct before they are gathered, so a tree holds at most one entry per
-    kind of sensor, however often a mounting is recorded.
-    """
-    entry = F.struct("sensor", "observed_properties")
-    tree = F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: _by_sensor(a, b)))
-    return mounted(bridge, sensors).groupBy("network", "node").agg(tree.alias("tree"))
-
-
-def _by_sensor(a, b):
-    return F.when(a["sensor"] < b["sensor"], F.lit(-1)).when(a["sensor"] > b["sensor"], F.lit(1)).otherwise(F.lit(0))
-
-
 def node_properties(
     bridge: DataFrame,
     sensors: DataFrame,
@@ -94,7 +103,9 @@ def network_metadata(networks: DataFrame, bridge: DataFrame, sensors: DataFrame)
 
 
 def node_metadata(nodes: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Nodes as GeoJSON-like rows with their sensors."""
+    """Nodes as GeoJSON-like rows with their sensors, each kind once; that the kinds fit is checked."""
+    if not fits(bridge.select("sensor").distinct(), 64):
+        raise ValueError("too many kinds of sensors for one list per node, use network_tree")
     mountings = bridge.groupBy("network", "node").agg(F.sort_array(F.collect_set("sensor")).alias("sensors"))
     return nodes.join(mountings, ["network", "node"], "left").select(
         F.lit("Feature").alias("type"),

@@ -13,10 +13,12 @@ from placetime.functions.timeparts import month_bounds, ts_lit
 from placetime.operators.catalog import first_per_key
 from placetime.operators.filters import compile_arguments
 from placetime.operators.points import newest
+from placetime.plans.sizing import broadcast_if_small
 
 # Order of arrival of raw lines, where the first one counts.
 ARRIVAL = "arrival"
 PAGE = 1000
+STATION_BYTES = 128
 
 # Header names of the daily reports: output column -> (newer layout, older layout).
 DAILY_HEADERS = {
@@ -168,8 +170,9 @@ def decode_metar(
 
 
 def station_numbers(call_signs: DataFrame) -> DataFrame:
-    """One number per call sign."""
-    return call_signs.groupBy("call_sign").agg(F.min("wban_code").alias("wban_code"))
+    """One number per call sign, broadcast if they are few enough."""
+    numbers = call_signs.groupBy("call_sign").agg(F.min("wban_code").alias("wban_code"))
+    return broadcast_if_small(numbers, STATION_BYTES)
 
 
 def clean_stations(raw: DataFrame) -> DataFrame:
@@ -220,7 +223,7 @@ def weather_locate(reports: DataFrame, stations: DataFrame, month=None) -> DataF
         start, end = month_bounds(month)
         when = F.col(time_column(reports))
         missing = missing & (when >= ts_lit(start)) & (when < ts_lit(end))
-    joined = reports.join(places, "wban_code", "left")
+    joined = reports.join(broadcast_if_small(places, STATION_BYTES), "wban_code", "left")
     return joined.withColumns(
         {
             "longitude": F.when(missing, F.col("_lon")).otherwise(F.col("longitude")),
@@ -246,7 +249,8 @@ def weather_query(
     ts = time_column(reports)
     # `null` stands for a missing value; unknown columns and operators are errors.
     wanted, _ = compile_arguments(reports.schema, arguments or {}, date_column=ts, strict=True, null_word="null")
-    known = reports.filter(wanted).join(stations.select("wban_code"), "wban_code", "left_semi")
+    numbers = broadcast_if_small(stations.select("wban_code"), STATION_BYTES)
+    known = reports.filter(wanted).join(numbers, "wban_code", "left_semi")
     page = newest(known, ts, tie, limit, offset)
     renamed = stations.select("wban_code", *[F.col(c).alias(f"station_{c}") for c in stations.columns if c != "wban_code"])
     return page.join(renamed, "wban_code")
@@ -257,17 +261,22 @@ def station_query(stations: DataFrame, arguments: Mapping[str, object] | None =
     return stations.filter(wanted)
 
 
-def weather_nested(page: DataFrame, stations: DataFrame) -> DataFrame:
-    """A page of reports grouped by station: station_info and its observations, newest first.
+def weather_nested(
+    reports: DataFrame,
+    stations: DataFrame,
+    arguments: Mapping[str, object] | None = None,
+    limit: int = PAGE,
+    offset: int = 0,
+    tie: Sequence[str] = ("wban_code",),
+) -> DataFrame:
+    """The same page grouped by station: station_info and its observations, newest first.
 
-    Meant for the rows of `weather_query`: their number is limited, hence so is every list.
+    A list holds no more rows than the page.
     """
-    ts = time_column(page)
-    of_station = {f"station_{c}" for c in stations.columns}
-    own = [c for c in page.columns if c not in of_station]
-    entries = page.groupBy("wban_code").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(ts, *[c for c in own if c != ts])))).alias("observations")
-    )
+    page = weather_query(reports, stations, arguments, limit, offset, tie)
+    ts = time_column(reports)
+    own = [F.col(f"`{c}`") for c in (ts, *[c for c in reports.columns if c != ts])]
+    entries = page.groupBy("wban_code").agg(F.reverse(F.array_sort(F.collect_list(F.struct(*own)))).alias("observations"))
     info = F.struct(
         "wban_code",
         *[c for c in stations.columns if c not in ("wban_code", "lon", "lat")],

@@ -174,12 +174,21 @@ _TOPOLOGY = (
 
 @query(
     "network_tree",
+    _TOPOLOGY + "SELECT network, node, sensor, alias, target FROM bridge JOIN props USING (sensor)",
+)
+def network_tree(spark, sf):
+    rows = net.network_tree(_bridge(spark, sf), _sensors(spark, sf))
+    return rows.select("network", "node", "sensor", F.explode("observed_properties").alias("alias", "target"))
+
+
+@query(
+    "network_tree_nested",
     _TOPOLOGY
     + "SELECT network, node, string_agg(sensor || ':' || observed_properties['a'] || ',' || observed_properties['b'], ';' ORDER BY sensor) AS tree"
     " FROM bridge JOIN sensors USING (sensor) GROUP BY 1, 2",
 )
-def network_tree(spark, sf):
-    tree = net.network_tree(_bridge(spark, sf), _sensors(spark, sf))
+def network_tree_nested(spark, sf):
+    tree = net.nested_tree(_bridge(spark, sf), _sensors(spark, sf))
     entry = F.transform(
         F.map_entries("tree"),
         lambda e: F.concat(e["key"], F.lit(":"), e["value"]["a"], F.lit(","), e["value"]["b"]),

@@ -37,6 +37,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def with_pieces(
+    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], own: DataFrame | None, other: DataFrame | None
+) -> DataFrame:
+    """Numbers the pieces of hot groups before a join on `keys`.
+
+    `own_piece` is the one piece a row falls into where `own` says this side's group is hot;
+    `other_piece` are all pieces of a group that is hot on the other side, one row each. Joining
+    one side's own pieces with the other's other ones keeps every pair and adds none.
+    """
+    zero = F.lit(0).cast("long")
+    if own is None or own.isEmpty():
+        df = df.withColumn("own_piece", zero)
+    else:
+        found = df.join(F.broadcast(own), list(keys), "left")
+        piece = F.pmod(F.xxhash64(*spread_by), F.coalesce("shards", F.lit(1)).cast("long"))
+        df = found.withColumn("own_piece", piece).drop("shards")
+    if other is None or other.isEmpty():
+        return df.withColumn("other_piece", zero)
+    found = df.join(F.broadcast(other), list(keys), "left")
+    last = F.coalesce("shards", F.lit(1)).cast("long") - 1
+    return found.withColumn("other_piece", F.explode(F.sequence(zero, last))).drop("shards")
+
+
+def split_join(
+    rows: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """A shuffled inner join in which hot keys of `rows` are cut into pieces, and the other side's rows
+    of those keys repeated for each piece; so no task gets a whole hot key."""
+    hot = hot_groups(rows, keys, hot_rows)
+    cut = with_pieces(rows, keys, spread_by, own=hot, other=None).drop("other_piece")
+    repeated = with_pieces(other, keys, spread_by, own=None, other=hot).drop("own_piece")
+    repeated = repeated.withColumnRenamed("other_piece", "own_piece")
+    return cut.join(repeated, [*keys, "own_piece"]).drop("own_piece")
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, kept if executors are lost, and
     of a size the planner knows."""

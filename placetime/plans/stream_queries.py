@@ -35,7 +35,13 @@ def stream_metar(spark, sf):
     return done.select("wban_code", F.col("datetime").cast("timestamp_ntz").alias("datetime"))
 
 
-@query("stream_node_agg")
+@query(
+    "stream_node_agg",
+    duck("event_obs")
+    + ", hours AS (SELECT node_id, CAST(date_trunc('hour', datetime) AS TIMESTAMP) AS time_bucket, round(avg(value), 6) AS value,"
+    " count(value) AS value_count FROM event_obs GROUP BY 1, 2)"
+    " SELECT * FROM hours WHERE time_bucket + INTERVAL 3 HOUR <= (SELECT max(datetime) FROM event_obs)",
+)
 def stream_node_agg(spark, sf):
     """Windows that the watermark has closed; the newest ones stay open."""
     stream = jobs.stream_node_aggregate(_as_stream(spark, derive(spark, sf, "event_obs"), "node-agg"), properties=["value"])

@@ -228,14 +228,17 @@ _PAGE_SQL = (
 )
 
 
-def _page(spark, sf):
-    lines = _daily(spark, sf).groupBy("wban_code", "date").agg(F.max("temp_max").alias("temp_max"))
-    return wx.weather_query(lines, _stations(spark, sf), {"temp_max__ge": "20", "date__le": "2000-12-31", "limit": 5}, offset=10)
+_ARGUMENTS = {"temp_max__ge": "20", "date__le": "2000-12-31", "limit": 5}
+
+
+def _one_per_day(spark, sf):
+    return _daily(spark, sf).groupBy("wban_code", "date").agg(F.max("temp_max").alias("temp_max"))
 
 
 @query("weather_query", _PAGE_SQL + " SELECT wban_code, date, temp_max, station_station_name, station_lat FROM page")
 def weather_query(spark, sf):
-    return _page(spark, sf).select("wban_code", "date", "temp_max", "station_station_name", "station_lat")
+    page = wx.weather_query(_one_per_day(spark, sf), _stations(spark, sf), _ARGUMENTS, offset=10)
+    return page.select("wban_code", "date", "temp_max", "station_station_name", "station_lat")
 
 
 @query(
@@ -245,7 +248,7 @@ def weather_query(spark, sf):
     " ORDER BY date DESC) AS observations FROM page GROUP BY ALL",
 )
 def weather_nested(spark, sf):
-    nested = wx.weather_nested(_page(spark, sf), _stations(spark, sf))
+    nested = wx.weather_nested(_one_per_day(spark, sf), _stations(spark, sf), _ARGUMENTS, offset=10)
     shown = F.transform("observations", lambda o: F.concat_ws(" ", o["date"].cast("string"), o["temp_max"].cast("long").cast("string")))
     return nested.select("wban_code", F.col("station_info.station_name").alias("name"), F.array_join(shown, ",").alias("observations"))
 

@@ -56,10 +56,10 @@ def world(spark):
     return points, frame.cache(), expected, polygons
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 30])
-def test_join_equals_brute_force(world, limit):
+@pytest.mark.parametrize("limit, hot_rows", [(1 << 30, 10**6), (0, 10**6), (0, 20)])
+def test_join_equals_brute_force(world, limit, hot_rows):
     points, frame, expected, _ = world
-    found = spatial.match_points(points, frame, "id", limit=limit).collect()
+    found = spatial.match_points(points, frame, "id", limit=limit, hot_rows=hot_rows).collect()
     assert len(found) == len(expected)
     assert {(r["pid"], r["id"]) for r in found} == expected
 
@@ -166,7 +166,7 @@ def test_neighbours_equal_brute_force(spark, k, limit):
     asked = [(-87.6, 41.9), (0.0, 0.0), (179.9, 84.0), (-87.61, 41.95), (-180.0, -85.0)]
     queries = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(asked)], "query_id int, lon double, lat double")
     found = {}
-    for r in nearest.knn_nodes(queries, nodes, k, limit=limit).collect():
+    for r in nearest.knn_nodes(queries, nodes, k, limit=limit, hot_rows=2).collect():
         found.setdefault(r["query_id"], set()).add(r["node"])
     for i, (x, y) in enumerate(asked):
         order = sorted(range(len(spots)), key=lambda n: math.hypot(spots[n][0] - x, spots[n][1] - y))

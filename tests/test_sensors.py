@@ -173,7 +173,8 @@ def topology(spark):
 
 def test_network(spark, topology):
     bridge, sensors, features = topology
-    trees = {r["node"]: r["tree"] for r in network.network_tree(bridge, sensors).collect()}
+    assert network.network_tree(bridge, sensors).count() == 4
+    trees = {r["node"]: r["tree"] for r in network.nested_tree(bridge, sensors).collect()}
     assert list(trees["n1"]) == ["s1", "s2"] and trees["n1"]["s2"] == {"v": "vector.x", "w": "vector.Y"}
     properties = network.node_properties(bridge, sensors, node="n1", features=["vector"]).collect()
     assert {(r["feature"], r["property"]) for r in properties} == {("vector", "x"), ("vector", "y")}

@@ -153,7 +153,7 @@ def test_query_arguments(spark):
     assert row["date"] == dt.date(2017, 1, 2) and row["station_station_name"] == "A"
     with pytest.raises(ValueError):
         wx.weather_query(reports, stations, {"no_such": 1})
-    nested = wx.weather_nested(wx.weather_query(reports, stations), stations).first()
+    nested = wx.weather_nested(reports, stations).first()
     assert [o["date"].day for o in nested["observations"]] == [3, 2] and nested["station_info"]["location"]["type"] == "Point"
 
 
