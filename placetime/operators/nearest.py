@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placetime.functions.timeparts import micros
-from placetime.operators.network import reported
-from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, fits, hot_groups, settled, split_join, with_pieces
+from placetime.operators.network import sensor_properties
+from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, broadcast_if_small, fits, hot_groups, settled, split_join, with_pieces
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
@@ -35,8 +35,9 @@ def reporting_nodes(
     """Nodes with at least one sensor that reports one of the features."""
     if network is not None:
         nodes = nodes.filter(F.col("network") == network)
-    able = reported(bridge, sensors).filter(F.col("feature").isin(*features)).select("network", "node")
-    return nodes.join(able, ["network", "node"], "left_semi")
+    able = sensor_properties(sensors).filter(F.col("feature").isin(*features)).select("sensor").distinct()
+    carrying = bridge.join(broadcast_if_small(able, 64), "sensor", "left_semi").select("network", "node")
+    return nodes.join(carrying, ["network", "node"], "left_semi")
 
 
 def _position(value: Column, level: int) -> Column:

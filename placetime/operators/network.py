@@ -47,13 +47,12 @@ def _width(df: DataFrame):
     return F.length(F.to_json(F.struct(*df.columns))) + 64
 
 
-def reported(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
-    """(network, node, sensor, alias, feature, property): one row per property of a mounted sensor.
+def reported(links: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Links with (alias, feature, property) of everything their sensor reports.
 
     The map is opened on the sensor table, which is small, before the join multiplies it.
     """
-    opened = sensor_properties(sensors)
-    return _mountings(bridge).join(broadcast_if_small(opened, 256), "sensor")
+    return links.join(broadcast_if_small(sensor_properties(sensors), 256), "sensor")
 
 
 def sensor_properties(sensors: DataFrame) -> DataFrame:
@@ -75,15 +74,16 @@ def node_properties(
     properties: Sequence[str] | None = None,
 ) -> DataFrame:
     """(network, node, feature, property) a node can report under the given filters."""
-    catalogued = sensor_properties(sensors)
+    links = bridge.select("network", "node", "sensor")
+    if node is not None:
+        links = links.filter(F.col("node") == node)
     if only_sensors:
-        catalogued = catalogued.filter(F.col("sensor").isin(*only_sensors))
+        links = links.filter(F.col("sensor").isin(*only_sensors))
+    joined = reported(links, sensors)
     if features:
-        catalogued = catalogued.filter(F.col("feature").isin(*features))
+        joined = joined.filter(F.col("feature").isin(*features))
     if properties:
-        catalogued = catalogued.filter(F.col("property").isin(*properties))
-    links = bridge if node is None else bridge.filter(F.col("node") == node)
-    joined = links.select("network", "node", "sensor").join(catalogued, "sensor")
+        joined = joined.filter(F.col("property").isin(*properties))
     return joined.select("network", "node", "feature", F.lower("property").alias("property")).distinct()
 
 
@@ -96,7 +96,7 @@ def network_metadata(networks: DataFrame, bridge: DataFrame, sensors: DataFrame)
     links = bridge.select("network", "node", "sensor")
     of_nodes = links.select("network", F.col("node").alias("name"), F.lit("node").alias("kind"))
     of_sensors = links.select("network", F.col("sensor").alias("name"), F.lit("sensor").alias("kind"))
-    in_use = links.select("network", "sensor").distinct().join(sensor_properties(sensors), "sensor")
+    in_use = reported(links.select("network", "sensor").distinct(), sensors)
     of_features = in_use.select("network", F.col("feature").alias("name"), F.lit("feature").alias("kind"))
     members = of_nodes.unionByName(of_sensors).unionByName(of_features).distinct()
     return networks.select("network", "info").join(members, "network", "left").select("network", "info", "kind", "name")
@@ -126,7 +126,8 @@ def feature_metadata(features: DataFrame) -> DataFrame:
 
 def feature_sensors(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
     """(network, feature, sensor): which sensors in use report a feature."""
-    return reported(bridge, sensors).select("network", F.lower("feature").alias("feature"), "sensor").distinct()
+    in_use = reported(bridge.select("network", "sensor").distinct(), sensors)
+    return in_use.select("network", F.lower("feature").alias("feature"), "sensor").distinct()
 
 
 def feature_properties(features: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def nodes_within(nodes: DataFrame, geom, network: str | None = None) -> DataFram
 def sensors_within(nodes: DataFrame, bridge: DataFrame, sensors: DataFrame, geom, network: str | None = None) -> DataFrame:
     """(network, sensor, feature) reachable from the nodes inside a geometry."""
     inside = nodes_within(nodes, geom, network).select("network", "node")
-    links = bridge.join(inside, ["network", "node"], "left_semi")
+    links = bridge.join(inside, ["network", "node"], "left_semi").select("network", "sensor").distinct()
     return reported(links, sensors).select("network", "sensor", "feature").distinct()
 
 

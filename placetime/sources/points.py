@@ -56,13 +56,11 @@ def cleaned(column: Column) -> Column:
 
 def _iso(text: Column) -> Column:
     """Text that starts like a day, with slashed days as year-month-day; null for other text."""
-    text = F.regexp_replace(F.trim(text), r"(\d)Z$", "$1")
-    return (
-        F.when(text.rlike(rf"^{DAY}"), text)
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"))
-        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}"), F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"))
-        .when(text.rlike(WRITTEN_DAY_PATTERN), text)
+    day = F.regexp_replace(F.trim(text), r"(\d)Z$", "$1")
+    slashed = F.when(day.rlike(r"^\d{4}"), F.regexp_replace(day, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")).otherwise(
+        F.regexp_replace(day, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
     )
+    return F.when(text.rlike(r"^\s*(\d{4}-\d|[A-Za-z]{3,9} \d)"), day).when(text.rlike(r"^\s*\d{1,4}/\d{1,2}/\d"), slashed)
 
 
 def _date(iso: Column) -> Column:
