@@ -40,24 +40,16 @@ def reporting_nodes(
     return nodes.join(carrying, ["network", "node"], "left_semi")
 
 
-def _position(value: Column, level: int) -> Column:
-    return (value - ORIGIN) / CELL_SIZES[level]
-
-
 def _on_levels(df: DataFrame, x: str, y: str, shift: float = 0.0) -> DataFrame:
     """One row per lattice with the cell of a place, or with the lower cell of the block around a
     place moved down by half a cell."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("level"),
-                F.floor(_position(F.col(x), i) - shift).cast("long").alias("cx"),
-                F.floor(_position(F.col(y), i) - shift).cast("long").alias("cy"),
-            )
-            for i in range(len(CELL_SIZES))
-        ]
-    )
-    return df.select("*", F.explode(cells).alias("_c")).select(*df.columns, "_c.level", "_c.cx", "_c.cy")
+    cell = "CAST(floor(({v} - {o}D) / {s}D - {shift}D) AS BIGINT)"
+    cells = [
+        f"struct({i} AS level, " + ", ".join(f"{cell.format(v=v, o=ORIGIN, s=s, shift=shift)} AS {n}" for v, n in ((x, "cx"), (y, "cy"))) + ")"
+        for i, s in enumerate(CELL_SIZES)
+    ]
+    spread_out = df.select("*", F.expr(f"explode(array({', '.join(cells)}))").alias("_c"))
+    return spread_out.select(*df.columns, "_c.level", "_c.cx", "_c.cy")
 
 
 def knn_nodes(
