@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placetime.functions.timeparts import bucket, bucket_count, check_unit, step, ts_lit
+from placetime.functions.timeparts import bucket, check_unit, ts_lit
+from placetime.operators.dense import check_length, dense_runs
 from placetime.operators.filters import compile_tree, condition
 from placetime.operators.points import newest
 from placetime.plans.sizing import HOT_ROWS, hot_groups
 
 META_COLUMNS = ("node_id", "datetime", "meta_id", "sensor")
-MAX_SPINE_ROWS = 1_000_000
 
 AGGREGATES = {
     "avg": F.avg,
@@ -178,28 +178,16 @@ def _large_medians(df: DataFrame, keys: Sequence[str], name: str, accuracy: int
 def fill_gaps(aggregates: DataFrame, unit: str, start, end) -> DataFrame:
     """Every bucket of [start, end) for every node: missing ones with null values and count 0.
 
-    Each row also emits the empty buckets up to the node's next row, and a node's first row
-    those since `start`; so the aggregates are neither read twice nor joined. Nodes that never
-    reported stay absent. A node has at most one row per bucket, and their number is limited.
+    Nodes that never reported stay absent.
     """
-    if bucket_count(unit, start, end) > MAX_SPINE_ROWS:
-        raise ValueError(f"more than {MAX_SPINE_ROWS} buckets: choose a coarser unit or a shorter range")
+    check_length(unit, start, end)
     values = [c for c in aggregates.columns if c not in ("node_id", "time_bucket")]
-    own, stop = F.col("time_bucket"), ts_lit(end)
-    first = bucket(ts_lit(start), unit)
-    within = aggregates.filter((own >= first) & (own < stop))
-    by_node = Window.partitionBy("node_id").orderBy("time_bucket")
-    begin = F.when(F.row_number().over(by_node) == 1, first).otherwise(own)
-    until = F.coalesce(F.lead("time_bucket").over(by_node), stop)
-    marked = within.select("*", begin.alias("_begin"), until.alias("_until"))
-    run = F.filter(F.sequence("_begin", "_until", step(unit)), lambda t: t < F.col("_until"))
-    dense = marked.select("*", F.explode(run).alias("_bucket"))
-    real = F.col("_bucket") == own
+    dense = dense_runs(aggregates, "node_id", unit, bucket(ts_lit(start), unit), ts_lit(end))
 
     def value(name: str) -> Column:
         if name.endswith("_count"):
-            return F.when(real, F.col(f"`{name}`")).otherwise(F.lit(0)).cast("long").alias(name)
-        return F.when(real, F.col(f"`{name}`")).alias(name)
+            return F.when(F.col("_real"), F.col(f"`{name}`")).otherwise(F.lit(0)).cast("long").alias(name)
+        return F.when(F.col("_real"), F.col(f"`{name}`")).alias(name)
 
     return dense.select("node_id", F.col("_bucket").alias("time_bucket"), *[value(c) for c in values])
 

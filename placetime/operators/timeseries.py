@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placetime.functions.timeparts import DATE_UNITS, bucket, bucket_count, spine
+from placetime.functions.timeparts import DATE_UNITS, bucket, bucket_count, spine, step, ts_lit
+from placetime.operators.dense import check_length, dense_runs
 from placetime.operators.points import select_points
 
 # Rows of (dataset, bucket, count); far below any broadcast limit.
@@ -79,6 +80,23 @@ def timeseries_panel(
     return panel if keep_empty else panel.filter(F.col("total") > 0)
 
 
+def stacked_panel(points: DataFrame, unit: str, start, end, by: str = "dataset_name", ts: str = "point_date", **filters) -> DataFrame:
+    """The panel of datasets kept in one table, told apart by a column: one scan for any number of
+    them. Datasets without a matching row do not appear."""
+    _require(unit)
+    check_length(unit, start, end)
+    kept = select_points(points, start, end, ts=ts, **filters)
+    counts = kept.groupBy(by, bucket(F.col(ts), unit).alias("time_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    first, last = bucket(ts_lit(start), unit), bucket(ts_lit(end), unit)
+    dense = dense_runs(counts, by, unit, first, last + step(unit))
+    panel = dense.select(
+        F.col(by).alias("dataset_name"),
+        F.col("_bucket").alias("time_bucket"),
+        F.when(F.col("_real"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("count"),
+    )
+    return panel.withColumn("total", F.sum("count").over(Window.partitionBy("dataset_name")))
+
+
 def pivot_panel(panel: DataFrame, names: Sequence[str]) -> DataFrame:
     """One column per dataset, one row per bucket, as in the CSV form of a panel."""
     return (

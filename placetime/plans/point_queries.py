@@ -325,6 +325,23 @@ def timeseries_panel(spark, sf):
     return _panel(spark, sf)
 
 
+@query(
+    "timeseries_stacked",
+    duck("order_points")
+    + ", kept AS (SELECT o_orderpriority AS dataset_name, CAST(date_trunc('month', point_date) AS TIMESTAMP) AS time_bucket FROM order_points"
+    f" WHERE point_date >= TIMESTAMP '{ORDER_START}' AND point_date <= TIMESTAMP '{ORDER_END}' AND o_totalprice > 300000),"
+    " counts AS (SELECT dataset_name, time_bucket, count(*) AS n FROM kept GROUP BY ALL),"
+    " totals AS (SELECT dataset_name, count(*) AS total FROM kept GROUP BY ALL),"
+    f" series AS (SELECT unnest(generate_series(date_trunc('month', TIMESTAMP '{ORDER_START}'), date_trunc('month', TIMESTAMP '{ORDER_END}'),"
+    " INTERVAL 1 MONTH)) AS time_bucket)"
+    " SELECT t.dataset_name, s.time_bucket, COALESCE(n, 0) AS count, total FROM totals t CROSS JOIN series s"
+    " LEFT JOIN counts c ON c.dataset_name = t.dataset_name AND c.time_bucket = s.time_bucket",
+)
+def timeseries_stacked(spark, sf):
+    tree = {"op": "gt", "col": "o_totalprice", "val": 300000}
+    return ts.stacked_panel(_orders(spark, sf), "month", ORDER_START, ORDER_END, by="o_orderpriority", tree=tree)
+
+
 @query(
     "timeseries_pivot",
     "WITH long AS (" + panel_sql() + ") SELECT CAST(time_bucket AS DATE) AS temporal_group,"

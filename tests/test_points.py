@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from placetime.operators import ingest, points, timeseries
 from placetime.operators.filters import compile_arguments, compile_tree
+from placetime.operators.catalog import dataset_extent
 from placetime.operators.grid import grid_count, grid_features
 from placetime.sources.points import PointRoles, infer_schema, read_points, read_raw
+from placetime.sources.store import dataset_path, open_datasets
 
 ZIP = {"op": "eq", "col": "zip", "val": 60620}
 WEDNESDAY = {"op": "eq", "col": "day", "val": "Wednesday"}
@@ -106,6 +108,21 @@ def test_panel(flu, crimes):
     assert everything.count() == 4
 
 
+def test_panel_of_all_approved_datasets(spark, flu, crimes, tmp_path):
+    rows = []
+    for name, df, approved in (("flu", flu, True), ("crimes", crimes, True), ("hidden", flu, False)):
+        df.write.parquet(dataset_path(str(tmp_path), name))
+        extent = dataset_extent(df).first()
+        rows.append((name, approved, extent["obs_to"], extent["obs_from"], extent["obs_to"]))
+    catalog = spark.createDataFrame(rows, "dataset_name string, approved_status boolean, date_added timestamp_ntz, obs_from timestamp_ntz, obs_to timestamp_ntz")
+    assert set(open_datasets(catalog, str(tmp_path))) == {"flu", "crimes"}
+    found = open_datasets(catalog, str(tmp_path), start="2013-01-01", end="2014-01-01")
+    assert set(found) == {"flu"}
+    by_name = timeseries.timeseries_panel(found, "month", "2013-09-22", "2013-12-31")
+    stacked = timeseries.stacked_panel(flu.withColumn("dataset_name", F.lit("flu")), "month", "2013-09-22", "2013-12-31")
+    assert sorted(by_name.collect()) == sorted(stacked.collect())
+
+
 def test_series_add_up_and_do_not_depend_on_partitions(flu):
     one = timeseries.timeseries(flu.repartition(1), "week", **YEAR)
     many = timeseries.timeseries(flu.repartition(7), "week", **YEAR)
