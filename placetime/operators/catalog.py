@@ -11,6 +11,7 @@ from placetime.functions.geometry import Geometry, box_polygon, geometries_inter
 from placetime.functions.timeparts import ts_lit
 from placetime.plans.sizing import broadcast_if_small
 
+# The catalog columns a search hands out.
 PUBLIC_COLUMNS = (
     "human_name", "dataset_name", "source_url", "view_url", "date_added", "last_update",
     "update_freq", "attribution", "description", "obs_from", "obs_to", "observed_date",

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from placetime.functions.geometry import point_in
 
+# The operator names a condition may use.
 COMPARISONS = {
     "eq": lambda c, v: c == v,
     "ne": lambda c, v: c != v,
@@ -41,7 +42,7 @@ IDENTITY = ("is", "isnot")
 MEMBERSHIP = ("in", "notin")
 OPERATORS = (*COMPARISONS, *PATTERNS, *IDENTITY, *MEMBERSHIP)
 
-# Arguments that shape a request rather than filter a column.
+# Arguments that shape a request rather than filter a column.
 CONTROL_ARGUMENTS = frozenset(
     "agg buffer data_type dataset dataset_name dataset_name__in geom job limit location_geom__within"
     " offset order_by resolution shape shapeset".split()

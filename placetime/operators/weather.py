@@ -20,7 +20,7 @@ ARRIVAL = "arrival"
 PAGE = 1000
 STATION_BYTES = 128
 
-# Header names of the daily reports: output column -> (newer layout, older layout).
+# Header names of the daily reports, output column -> (newer layout, older layout).
 DAILY_HEADERS = {
     "wban_code": ("WBAN", "Wban Number"),
     "date": ("YearMonthDay", "YearMonthDay"),
@@ -51,7 +51,7 @@ DAILY_WINDS = {
     "max2": ("max2_windspeed", "max2_winddirection", "max2_direction_cardinal"),
 }
 
-# Header names of the hourly reports.
+# Header names of the hourly reports.
 HOURLY_HEADERS = {
     "wban_code": ("WBAN", "Wban Number"),
     "date": ("Date", "YearMonthDay"),

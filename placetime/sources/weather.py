@@ -42,14 +42,14 @@ def read_reports(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_stations(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """The station history file, cleaned; the first line of each station counts.
 
-    Lines of one file are numbered by their position, which Spark keeps within a file split.
+    Lines are ordered by file, by the split of the file they were read from, and within it.
     """
     names = "usaf wban_code station_name country state icao lat lon elevation begin end".split()
     schema = ", ".join(f"`{n}` string" for n in names)
     raw = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', enforceSchema=True)
-    ordered = raw.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    ordered = ordered.withColumn(ARRIVAL, F.struct("_file", "_line")).drop("_file", "_line")
-    return clean_stations(ordered)
+    split = ("_metadata.file_path", "_metadata.file_block_start")
+    arrival = F.struct(*split, F.monotonically_increasing_id().alias("line"))
+    return clean_stations(raw.select("*", arrival.alias(ARRIVAL)))
 
 
 def read_call_signs(spark: SparkSession, path: str) -> DataFrame:
