@@ -27,20 +27,24 @@ def get_session(app_name: str = "placetime", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where nothing is configured and the master is local (tests, a laptop) is a
-    temporary folder made and recorded in the session.
+    Only where nothing is configured and the master is local (tests, a laptop) is a temporary
+    folder made, one per application.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="placetime-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="placetime-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
