@@ -151,17 +151,22 @@ def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def typed(column: Column, kind: str) -> Column:
-    """Text converted to an inferred type; times of day stay text."""
+    """Text converted to a type; a value that does not fit fails the load. Times of day stay text."""
     text = cleaned(column)
-    if kind == "boolean":
-        return F.when(text.isNotNull(), F.lower(text).isin(*TRUE_WORDS))
+    word = F.lower(text)
+    parsed = {
+        "boolean": F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False)),
+        "date": _date(_iso(text)),
+        "timestamp_ntz": parse_instant(text),
+    }
     if kind in ("int", "bigint", "double"):
-        return F.trim(F.replace(text, F.lit(","), F.lit(""))).cast(kind)
-    if kind == "date":
-        return _date(_iso(text))
-    if kind == "timestamp_ntz":
-        return parse_instant(text)
-    return text
+        value = F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast(kind)
+    elif kind in parsed:
+        value = parsed[kind]
+    else:
+        return text
+    problem = F.raise_error(F.concat(F.lit(f"not a {kind}: "), text))
+    return F.when(text.isNotNull() & value.isNull(), problem).otherwise(value)
 
 
 def apply_types(raw: DataFrame, types: Mapping[str, str]) -> DataFrame:

@@ -256,6 +256,13 @@ def test_typed_values(spark, tmp_path):
     assert rows[1]["when"] is None and rows[1]["n"] is None
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "boolean", "date", "timestamp_ntz"])
+def test_bad_value_fails_the_load(spark, tmp_path, kind):
+    path = _write(tmp_path, "a\nNA\nno such value\n")
+    with pytest.raises(Exception, match=f"not a {kind}"):
+        read_points(spark, path, types={"a": kind}).collect()
+
+
 def test_bad_row_fails_the_load(spark, tmp_path):
     with pytest.raises(Exception):
         read_raw(spark, _write(tmp_path, "a,b\n1,2\n1,2,3\n")).collect()
