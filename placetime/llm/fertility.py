@@ -24,6 +24,7 @@ SCRIPTS = {
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 WINDOW = 5
+ENTROPY_WINDOW = 64
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -46,12 +47,20 @@ def repeated_lines(text: str) -> int:
 
 
 def entropy(ids: np.ndarray) -> float:
-    """Bits per token of a text's own token distribution, as a share of the most its length allows."""
-    if len(ids) < 2:
+    """Bits per token of the token distribution in windows of `ENTROPY_WINDOW` tokens, averaged over the
+    whole text, as a share of the most there can be; so long and short texts compare."""
+    size = min(ENTROPY_WINDOW, len(ids))
+    if size < 2:
         return 1.0
-    _, times = np.unique(ids, return_counts=True)
-    share = times / len(ids)
-    return float(-(share * np.log2(share)).sum() / np.log2(len(ids)))
+    rows = ids[: len(ids) // size * size].reshape(-1, size)
+    if len(ids) % size:
+        rows = np.vstack([rows, ids[-size:]])
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    begins = np.append(np.flatnonzero(new.ravel()), rows.size)
+    times = np.diff(begins)
+    return float(1 - (times * np.log2(times)).sum() / rows.size / np.log2(size))
 
 
 def measures(
@@ -111,7 +120,7 @@ def _band_key(lang: Column, text: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.coalesce(script, F.lit("Latin")))
 
 
-def bands(measured: DataFrame, reach: float = 4.0) -> DataFrame:
+def bands(measured: DataFrame, reach: float = 2.0) -> DataFrame:
     """Per key, the middle of each measure and how far from it a long text may lie.
 
     All documents count. The middle is the median and the spread that of the half of the documents
@@ -129,8 +138,8 @@ def bands(measured: DataFrame, reach: float = 4.0) -> DataFrame:
 
 
 #: What a band is widened by at least, and by what over the root of the tokens: short texts vary more.
-LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "token_entropy": 0.04}
-SHORT = {"chars_per_token": 2.5, "byte_share": 1.0, "token_entropy": 0.8}
+LEAST = {"chars_per_token": 0.2, "byte_share": 0.02, "token_entropy": 0.012}
+SHORT = {"chars_per_token": 7.0, "byte_share": 0.4, "token_entropy": 0.45}
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
