@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MOST_COPIES = 3
 #: Newton's method ends when every source's expected tokens are within this share of its target.
 CLOSE = 1e-9
 MAX_ROUNDS = 60
+#: Frames with one row per source are broadcast up to so many sources (some MB); beyond, joins shuffle.
+BROADCAST_SOURCES = 50_000
 #: Rounding looks for its threshold in so many steps at a time, so many times.
 STEPS = 64
 LEVELS = 4
@@ -60,7 +64,7 @@ def _rate(tilt: Column, size: Column, scale: Column, most: int = MOST_COPIES) ->
     return most * grown / (most - 1 + grown)
 
 
-def balance(sizes: DataFrame, goals: DataFrame, tables: Tables) -> DataFrame:
+def balance(sizes: DataFrame, goals: DataFrame, tables: Tables, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(source, tilt, scale): the dual solution, by Newton iterations over all documents.
 
     A document's rate depends on its source and size alone, so documents are counted by
@@ -69,16 +73,16 @@ def balance(sizes: DataFrame, goals: DataFrame, tables: Tables) -> DataFrame:
     60 or -60. Steps are kept within a bracket that shrinks, so the iteration can't run away.
     """
     counts = tables.settle(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    scale = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
+    scale = counts.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
     at_most = F.col("target") >= MOST_COPIES * F.col("source_size") * (1 - 1e-12)
-    state = goals.join(scale, F.col("source").eqNullSafe(scale["source"])).select(
-        goals["source"], "target", "scale",
+    state = goals.join(scale, F.col("source").eqNullSafe(F.col("s"))).select(
+        "source", "target", "scale",
         F.when(at_most, 60.0).otherwise(0.0).alias("tilt"), F.lit(-4000.0).alias("low"), F.lit(4000.0).alias("high"),
         at_most.alias("done"),
     )
     state = tables.settle(state)
     for _ in range(MAX_ROUNDS):
-        joined = counts.join(F.broadcast(state), counts["source"].eqNullSafe(state["source"])).drop(counts["source"])
+        joined = counts.join(small(state), counts["source"].eqNullSafe(state["source"])).drop(counts["source"])
         rate = _rate(F.col("tilt"), F.col("size"), F.col("scale"))
         slope = rate * (MOST_COPIES - rate) / MOST_COPIES * F.col("size") / F.col("scale")
         sums = joined.groupBy("source", "target", "scale", "tilt", "low", "high", "done").agg(
@@ -102,7 +106,7 @@ def balance(sizes: DataFrame, goals: DataFrame, tables: Tables) -> DataFrame:
     return state.select("source", "tilt", "scale")
 
 
-def _rounded(rated: DataFrame, tables: Tables) -> DataFrame:
+def _rounded(rated: DataFrame, tables: Tables, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds `copies`, whole numbers next to the rates whose tokens meet each source's target as nearly as
     the documents at the edge allow.
 
@@ -119,12 +123,12 @@ def _rounded(rated: DataFrame, tables: Tables) -> DataFrame:
     state = fixed.select(F.col("source").alias("s"), "target", "taken", F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"))
     state = tables.settle(state)
     for _ in range(LEVELS):
-        inside = rows.join(F.broadcast(state.select("s", "low", "width")), F.col("source").eqNullSafe(F.col("s")))
+        inside = rows.join(small(state.select("s", "low", "width")), F.col("source").eqNullSafe(F.col("s")))
         step = F.floor((F.col("edge") - F.col("low")) / F.col("width") * STEPS)
         summed = inside.filter((F.col("edge") >= F.col("low")) & (F.col("edge") < F.col("low") + F.col("width"))).groupBy("s", step.alias("step")).agg(F.sum("size").alias("tokens"))
         upto = Window.partitionBy("s").orderBy("step")
         rising = summed.withColumn("sum", F.sum("tokens").over(upto)).select(F.col("s").alias("of"), "step", "sum")
-        joined = state.join(F.broadcast(rising), F.col("s").eqNullSafe(F.col("of")), "left")
+        joined = state.join(rising, F.col("s").eqNullSafe(F.col("of")), "left")
         # Steps that are taken whole stay below the target; the next level looks into the one after them.
         fits = F.col("taken") + F.col("sum") <= F.col("target")
         best = joined.groupBy("s", "target", "taken", "low", "width").agg(
@@ -139,11 +143,11 @@ def _rounded(rated: DataFrame, tables: Tables) -> DataFrame:
         tables.drop(state)
         state = after
     # Of the last step, all or none, whichever comes nearer.
-    inside = rows.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    inside = rows.join(small(state.drop("target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     last = (F.col("edge") >= F.col("low")) & (F.col("edge") < F.col("low") + F.col("width"))
     rest = inside.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(last, F.col("size")).otherwise(0)).alias("rest"), F.first("taken").alias("base"))
     rest = tables.settle(rest)
-    joined = inside.join(F.broadcast(rest), F.col("source").eqNullSafe(F.col("s")))
+    joined = inside.join(small(rest), F.col("source").eqNullSafe(F.col("s")))
     also = last & (F.abs(F.col("base") + F.col("rest") - F.col("target")) < F.abs(F.col("base") - F.col("target")))
     extra = (F.col("edge") < F.col("low")) | also
     return joined.withColumn("copies", F.col("whole") + extra.cast("long"))
@@ -167,8 +171,8 @@ def mix(
     The result depends on the rows alone, not on their order or partitioning. Rows alike in
     all of id, source and text get the same number of copies. A null source is a source of its own, the
     last; documents without words have rate 1 and are taken once. Columns besides the
-    three named don't matter. An empty table gives no rows. Everything that is broadcast has one
-    row per source or per source and step.
+    three named don't matter. An empty table gives no rows. What is broadcast has one row per source,
+    and that only up to a checked number of sources.
     """
     tables = Tables(docs.sparkSession, "mixing")
     rows = docs.select(
@@ -177,10 +181,11 @@ def mix(
     )
     rows = tables.settle(rows)
     goals = tables.settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    tilts = balance(rows, goals, tables)
+    small = F.broadcast if goals.count() <= BROADCAST_SOURCES else (lambda frame: frame)
+    tilts = balance(rows, goals, tables, small)
     per_source = goals.join(tilts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     per_source = tables.settle(per_source.withColumnRenamed("source", "s"))
-    joined = rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = rows.join(small(per_source), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     at_most = F.col("target") >= MOST_COPIES * F.col("source_size") * (1 - 1e-12)
     rate = (
         F.when(F.col("size") == 0, 1.0)
@@ -189,6 +194,6 @@ def mix(
     )
     rated = joined.withColumn("rate", rate).drop("tilt", "scale")
     empty = rated.filter("size = 0").withColumn("copies", F.lit(1).cast("long"))
-    rounded = _rounded(rated.filter("size > 0"), tables)
+    rounded = _rounded(rated.filter("size > 0"), tables, small)
     out = "doc_id row_hash source size source_size target rate copies".split()
     return rounded.select(*out).unionAll(empty.select(*out))

@@ -15,8 +15,8 @@ from placetime.llm.tables import Tables
 from placetime.llm.words import BLANK, U64, mix, shingles, slices, words
 
 #: The counts that order n-grams: 2^SKETCH_BITS sums over all documents, shuffled in pieces.
-SKETCH_BITS = 18
-PIECE_BITS = 12
+SKETCH_BITS = 20
+PIECE_BITS = 14
 #: Documents of one key go to blocks of about so many n-grams; a task holds two blocks.
 BLOCK_NGRAMS = 1 << 18
 #: The suffix filter counts a set's n-grams by so many ranges of their hashes.
@@ -64,7 +64,8 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
         pieces = sketch.reshape(-1, 1 << PIECE_BITS)
         used = np.flatnonzero(pieces.any(axis=1)).tolist()
         empty = [pa.nulls(len(used), pa.int64())] * 4
-        counts = pa.array([pieces[i].astype("<u4").tobytes() for i in used], pa.binary())
+        # Only the order follows from the counts, so a task may cut them off.
+        counts = pa.array([np.minimum(pieces[i], 65535).astype("<u2").tobytes() for i in used], pa.binary())
         yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), counts], schema=kinds)
 
     return docs.mapInArrow(run, schema)
@@ -76,7 +77,7 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(1 << PIECE_BITS, np.int64)
         for part in group["counts"]:
-            counts += np.frombuffer(part, "<u4")
+            counts += np.frombuffer(part, "<u2")
         return pd.DataFrame({"piece": [key[0]], "counts": [counts.tobytes()]})
 
     rows = (
@@ -144,20 +145,16 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of two rows of one group that may be similar, by length, by the place of the key
     they share, and by the counts in ranges of hashes; the key must be the first that both
-    prefixes hold, so no pair comes up under two keys."""
+    prefixes hold, so no pair comes up under two keys. Without the columns for the last two tests, pairs
+    pass that may fail them."""
     key, first, second, block, n, at = (rows.column(c).to_numpy() for c in (*GROUP, "block", "n", "at"))
-    ranges = np.frombuffer(b"".join(rows.column("ranges").to_pylist()), "<u4").reshape(-1, RANGES)
-    earlier: dict[int, frozenset] = {}
-    lists = rows.column("earlier").combine_chunks()
-    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-
-    def before(i: int) -> frozenset:
-        if i not in earlier:
-            earlier[i] = frozenset(values[bounds[i] : bounds[i + 1]].tolist())
-        return earlier[i]
+    in_full = "ranges" in rows.column_names
+    if in_full:
+        ranges = np.frombuffer(b"".join(rows.column("ranges").to_pylist()), "<u4").reshape(-1, RANGES)
+        earlier = [frozenset(p) for p in rows.column("earlier").to_pylist()]
 
     apart, near = 1, np.arange(len(key))
     while True:
@@ -172,11 +169,13 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
         fits = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         fits &= (block[i] != block[j]) | (first[i] == second[i])
         i, j, least = i[fits], j[fits], least[fits]
-        if len(i):
+        if len(i) and in_full:
             fits = np.minimum(ranges[i], ranges[j]).sum(axis=1) >= least
-            for x, y in zip(i[fits].tolist(), j[fits].tolist()):
-                if before(x).isdisjoint(before(y)):
-                    yield x, y
+            i, j = i[fits], j[fits]
+            fits = np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(i.tolist(), j.tolist())], bool)
+            i, j = i[fits], j[fits]
+        if len(i):
+            yield i, j
         apart += 1
 
 
@@ -211,10 +210,11 @@ def _links(percent: int):
                     parent[x] = x = parent.get(parent[x], parent[x])
                 return x
 
-            for i, j in _pairs(rows, percent):
-                low, high = sorted((root(int(docs[i])), root(int(docs[j]))))
-                if low != high and similar(grams[i], grams[j], percent):
-                    parent[high] = low
+            for some, others in _pairs(rows, percent):
+                for i, j in zip(some.tolist(), others.tolist()):
+                    low, high = sorted((root(int(docs[i])), root(int(docs[j]))))
+                    if low != high and similar(grams[i], grams[j], percent):
+                        parent[high] = low
             found = [(x, root(x)) for x in parent if root(x) != x]
             columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
@@ -309,12 +309,13 @@ def jaccard_components(
     spots = tables.settle(narrow.join(shared, "key"))
     spread = spots.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = spread.select(
+        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "doc_id", "n", "at"
+    )
+    near = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
     filters = heads.select(node.alias("doc_id"), "prefix", "ranges")
-    pairs = spread.join(filters, "doc_id").select(
-        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-        "block", "doc_id", "n", "at", F.expr("slice(prefix, 1, at)").alias("earlier"), "ranges",
-    )
-    active = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
+    full = near.join(filters, "doc_id").withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
+    active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
     again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2").join(wanted, "node", "left_semi"))
@@ -335,7 +336,7 @@ def jaccard_components(
             "fp1", "fp2", F.coalesce("least", "rep").alias("component_id")
         )
     )
-    tables.drop(heads, shared, spots, active, again, edges, joined)
+    tables.drop(heads, shared, spots, near, active, again, edges, joined)
     out = rows.join(final, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

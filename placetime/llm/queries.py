@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetime.llm import fertility
+from placetime.llm import fertility, licenses, line_dedup, mixing, topk, toxicity
 from placetime.llm.ngram_join import jaccard_components
 from placetime.llm.packing import pack
 from placetime.llm.registry import query
@@ -48,3 +48,38 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = Tables(spark, "fertility").settle(fertility.measures(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")))
     return fertility.judged(measured, fertility.bands(measured))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(documents(spark, sf_dir), min_words=5, near_words=10)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "n_near", F.md5("clean_text").alias("clean_md5"))
+
+
+@query("op3_va_file_topk")
+def op3_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
+@query("op6_toxicity_grammar")
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    grammar = toxicity.learn(docs, read(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, grammar)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op9_source_mixing")
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies", "rate")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 from placetime.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Tables:
     """Written tables of one operator's run: computed once, kept if executors are lost.
@@ -21,7 +23,12 @@ class Tables:
 
     def settle(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, self.name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # shuffle files go once the table is there
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         read = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(read)] = path
         read._settled_by = self  # keeps the id from being given again

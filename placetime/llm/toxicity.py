@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placetime.llm.words import LOWER, NOT_ALNUM, U64, span_hashes, slices, text_hash, words
+from placetime.llm.tables import Tables
+from placetime.llm.words import NOT_ALNUM, U64, span_hashes, slices, text_hash, words
 
 # Seeds of the grammar: common words, in natural order per language.
 INSULTS = (
@@ -172,24 +172,21 @@ def matched(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col:
 
 
 def _contexts(sample: DataFrame) -> DataFrame:
-    """(word, before, toxic): the words of labelled texts and what stands before them, once per batch of rows."""
+    """(doc, word, before, toxic): the words of labelled texts and what stands before them, once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
         lower = {c: c + 32 for c in range(65, 91)}
+        kinds = [("doc", pa.int64()), ("word", pa.string()), ("before", pa.string()), ("toxic", pa.int32())]
         for batch in batches:
-            seen: set[tuple[str, str, int]] = set()
             for i in range(batch.num_rows):
-                text, toxic = batch.column(0)[i].as_py() or "", batch.column(1)[i].as_py()
-                parts = [w for w in between.split(text.translate(lower)) if w]
-                seen.update(zip(parts, ["", *parts], [toxic] * len(parts)))
-            word, before, toxic = zip(*seen) if seen else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(word, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32())],
-                names=["word", "before", "toxic"],
-            )
+                doc, text, toxic = (batch.column(c)[i].as_py() for c in range(3))
+                parts = [w for w in between.split((text or "").translate(lower)) if w]
+                pairs = set(zip(parts, ["", *parts]))
+                columns = [[doc] * len(pairs), [p[0] for p in pairs], [p[1] for p in pairs], [toxic] * len(pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], schema=pa.schema(kinds))
 
-    return sample.mapInArrow(run, "word string, before string, toxic int")
+    return sample.mapInArrow(run, "doc long, word string, before string, toxic int")
 
 
 def _log_odds(share: Column, toxic: Column, clean: Column) -> Column:
@@ -211,8 +208,8 @@ def learn(
     A word's weight comes from how many different words it follows in toxic and in other texts:
     a word that insults follows many, while words of a text that was copied often follow the same
     one in each copy. Stems sum up the words they begin, so unseen inflections match too.
-    Words and stems count that occur with at least 8 contexts in toxic texts, ten times likelier
-    there than elsewhere (nearly all their uses, that is); the `max_words` heaviest are taken.
+    Words and stems count that occur with at least 6 contexts, first seen in at least 4 toxic texts, and ten
+    times likelier there than elsewhere; the `max_words` heaviest are taken.
     The coefficients of the score are then a logistic fit on what the grammar matches in the same rows.
 
     Labels other than 0 and 1 are ignored; an id with both counts as toxic. Without any usable label, the seeds weigh 3.
@@ -225,30 +222,34 @@ def learn(
     # About max_labelled rows of an id and a flag: a fixed bound, so the texts need no shuffle.
     sample = docs.join(F.broadcast(drawn), id_col).select(id_col, text_col, label_col)
 
-    contexts = _contexts(sample.select(text_col, label_col)).groupBy("word", "before").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
-    counted = contexts.groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("least")).alias("clean")
+    key = F.xxhash64(id_col)
+    contexts = _contexts(sample.select(key.alias("doc"), text_col, label_col)).groupBy("word", "before").agg(
+        F.max("toxic").alias("toxic"), F.min("toxic").alias("least"), F.min("doc").alias("doc")
     )
-    counted = counted.cache()
+    tables = Tables(docs.sparkSession, "toxicity")
+    contexts = tables.settle(contexts)
+    where = F.when(F.col("toxic") == 1, F.col("doc"))
+    sums = [F.sum("toxic").alias("toxic"), F.sum(1 - F.col("least")).alias("clean"), F.count_distinct(where).alias("docs")]
+    counted = contexts.groupBy("word").agg(*sums)
+    counted = tables.settle(counted)
     totals = counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     toxic, other = float(totals["toxic"] or 0), float(totals["clean"] or 0)
     insults = {text_hash(w): 3.0 for w in INSULTS}
     stems: dict[int, dict[int, float]] = {}
     if toxic and other:
         weight = _log_odds(F.lit(toxic / (toxic + other)), F.col("toxic"), F.col("clean"))
-        stemmed = counted.filter(F.octet_length("word") > 4).select(
-            F.explode(F.array(*(F.when(F.char_length("word") > k, F.substring("word", 1, k)) for k in (4, 5, 6)))).alias("stem"),
-            "toxic", "clean",
-        ).filter("stem is not null").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("words"))
-        heavy = (F.col("toxic") >= 8) & (F.col("weight") >= math.log(10))
+        heads = F.array(*(F.when(F.char_length("word") > k, F.substring("word", 1, k)) for k in (4, 5, 6)))
+        stemmed = contexts.select(F.explode(heads).alias("stem"), "word", "toxic", "least", "doc").filter("stem is not null")
+        stemmed = stemmed.groupBy("stem").agg(*sums, F.approx_count_distinct("word").alias("words"))
+        heavy = (F.col("toxic") >= 6) & (F.col("docs") >= 4) & (F.col("weight") >= math.log(10))
         for row in counted.withColumn("weight", weight).filter(heavy).orderBy(F.desc("weight"), "word").limit(max_words).collect():
             insults[text_hash(row["word"])] = row["weight"]
-        found = stemmed.withColumn("weight", weight).filter(heavy & (F.col("words") >= 3) & (F.col("toxic") >= 16))
+        found = stemmed.withColumn("weight", weight).filter(heavy & (F.col("words") >= 3))
         for row in found.orderBy(F.desc("weight"), "stem").limit(max_words).collect():
             size = len(row["stem"].encode())
             if size in STEM_BYTES:
                 stems.setdefault(size, {})[text_hash(row["stem"])] = row["weight"]
-    counted.unpersist()
+    tables.drop(counted, contexts)
 
     grammar = Grammar(insults, stems, ())
     hits = matched(sample, grammar, id_col, text_col).join(F.broadcast(drawn), id_col)
@@ -300,5 +301,3 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
         total = total + F.lit(factor) * F.col(column)
     return matched(docs, grammar, id_col, text_col).withColumn("score", 1 / (1 + F.exp(-total)))
 
-
-assert LOWER is not None and pd is not None
