@@ -81,7 +81,7 @@ def measures(
         for batch in batches:
             out: list[tuple] = []
             for lo, hi, data, offsets in slices(batch.column(2)):
-                found = words(data, offsets, BLANK)
+                found = words(data, offsets, BLANK, fold=False)
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
                 chars = np.concatenate([[0], np.cumsum(lead[found.ends] - lead[found.starts])])
@@ -153,7 +153,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     with_bands = measured.join(F.broadcast(limits), "band_key", "left")
 
     def reach(m: str) -> Column:
-        return F.col(f"{m}_reach") + LEAST[m] + SHORT[m] / F.sqrt("n_tokens")
+        return F.col(f"{m}_reach") + LEAST[m] + SHORT[m] / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
 
     def low(m: str) -> Column:
         return F.col(m) < F.col(f"{m}_mid") - reach(m)

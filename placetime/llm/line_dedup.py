@@ -20,17 +20,24 @@ def _order(prefix: str = "") -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, line_no, words): every line that holds a word, its words joined by single blanks."""
-    split = docs.select(
+    """(doc_id, text_hash, line_no, line): every line of every whole text."""
+    return docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
     )
-    words = F.trim(F.regexp_replace("line", BLANKS, " "))
-    return split.select(*AT, words.alias("words")).filter("words <> ''")
+
+
+def _words(line: str = "line") -> Column:
+    """A line's words joined by single blanks. Most lines are like that already, which a few searches tell."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.trim(F.regexp_replace(line, BLANKS, " "))).otherwise(F.col(line))
 
 
 def _keyed(lines: DataFrame, min_words: int) -> DataFrame:
     """Adds n (words) and a 128-bit key of each line, and leaves out shorter lines."""
+    lines = lines.withColumn("words", _words()).drop("line").filter("words <> ''")
     n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     with_n = lines.withColumn("n", n).filter(F.col("n") >= min_words)
     return with_n.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit("second"), "words"))
@@ -81,25 +88,23 @@ def repeated_lines(
     halves = distinct.filter(F.col("n") >= near_words).select(F.explode(F.array(*HALVES)).alias("half"), "h1")
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
     shared = tables.settle(shared)
-    close = tables.settle(halves.join(shared, "half", "left_semi").select("h1").distinct())
-    wanted = distinct.join(close, "h1", "left_semi").select(
-        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "n", "first",
-        F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line_no").alias("l"),
-    )
-    wanted = tables.settle(wanted)
-    there = (
-        (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("d"))
-        & (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l"))
+    close = tables.settle(halves.join(tables.hinted(shared), "half", "left_semi").select("h1").distinct())
+    wanted = tables.settle(
+        distinct.join(tables.hinted(close), "h1", "left_semi").select(
+            "h1", "h2", "n", "first", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line_no").alias("l")
+        )
     )
-    chosen = lines.drop("n").join(wanted, there).dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "first", "words")
-    chosen = tables.settle(chosen)
+    # Their words are read at the earliest place alone.
+    there = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l"))
+    chosen = lines_of(docs, id_col, text_col).join(tables.hinted(wanted), there).withColumn("words", _words())
+    chosen = tables.settle(chosen.dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "first", "words"))
     near = _verified(chosen, _candidates(chosen, tables))
     near = tables.settle(near.select("h1", "h2").distinct())
 
     # A first occurrence goes if an earlier line is near; all others go.
-    gone = distinct.join(near, ["h1", "h2"], "left_semi").select("first.doc_id", "first.text_hash", "first.line_no", F.lit(True).alias("near"))
+    gone = distinct.join(tables.hinted(near), ["h1", "h2"], "left_semi").select("first.doc_id", "first.text_hash", "first.line_no", F.lit(True).alias("near"))
     many = tables.settle(distinct.filter("first <> last").select("h1", "h2", "first"))
-    exact = occurrence.select("h1", "h2", "at").join(many, ["h1", "h2"]).filter(F.col("at") != F.col("first"))
+    exact = occurrence.select("h1", "h2", "at").join(tables.hinted(many), ["h1", "h2"]).filter(F.col("at") != F.col("first"))
     exact = exact.select("at.doc_id", "at.text_hash", "at.line_no", F.lit(False).alias("near"))
     tables.drop(shared, close, wanted, chosen)
     return exact.unionAll(gone).groupBy(*AT).agg(F.min("near").alias("near"))

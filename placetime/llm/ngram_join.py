@@ -20,7 +20,7 @@ PIECE_BITS = 14
 #: Documents of one key go to blocks of about so many n-grams; a task holds two blocks.
 BLOCK_NGRAMS = 1 << 18
 #: The suffix filter counts a set's n-grams by so many ranges of their hashes.
-RANGES = 32
+RANGES = 16
 
 
 def need(n: Column | np.ndarray, m, percent: int):
@@ -151,9 +151,10 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
     prefixes hold, so no pair comes up under two keys. Without the columns for the last two tests, pairs
     pass that may fail them."""
     key, first, second, block, n, at = (rows.column(c).to_numpy() for c in (*GROUP, "block", "n", "at"))
-    in_full = "ranges" in rows.column_names
-    if in_full:
+    given = set(rows.column_names)
+    if "ranges" in given:
         ranges = np.frombuffer(b"".join(rows.column("ranges").to_pylist()), "<u4").reshape(-1, RANGES)
+    if "earlier" in given:
         earlier = [frozenset(p) for p in rows.column("earlier").to_pylist()]
 
     apart, near = 1, np.arange(len(key))
@@ -169,9 +170,10 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         fits = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         fits &= (block[i] != block[j]) | (first[i] == second[i])
         i, j, least = i[fits], j[fits], least[fits]
-        if len(i) and in_full:
+        if len(i) and "ranges" in given:
             fits = np.minimum(ranges[i], ranges[j]).sum(axis=1) >= least
             i, j = i[fits], j[fits]
+        if len(i) and "earlier" in given:
             fits = np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(i.tolist(), j.tolist())], bool)
             i, j = i[fits], j[fits]
         if len(i):
@@ -313,16 +315,16 @@ def jaccard_components(
         "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "doc_id", "n", "at"
     )
     near = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
-    filters = heads.select(node.alias("doc_id"), "prefix", "ranges")
-    full = near.join(filters, "doc_id").withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
+    full = near.join(heads.select(node.alias("doc_id"), "ranges"), "doc_id")
     active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
-    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2").join(wanted, "node", "left_semi"))
+    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2", "prefix").join(wanted, "node", "left_semi"))
     # Of rows that repeat an id, only the one with the class's text gives the class's set.
     read = _gram_sets(texts.join(again.select("doc_id").distinct(), "doc_id", "left_semi"), size)
     sets = read.join(again, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
-    candidates = active.join(sets.select(F.col("node").alias("doc_id"), "grams"), "doc_id")
+    sets = sets.select(F.col("node").alias("doc_id"), "grams", "prefix")
+    candidates = active.join(sets, "doc_id").withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
     verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long")
     edges = tables.settle(verified)
     linked = components(edges, tables)

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetime.llm import fertility, licenses, line_dedup, mixing, topk, toxicity
+from placetime.llm import cotraining, fertility, licenses, line_dedup, mixing, token_counts, topk, toxicity
 from placetime.llm.ngram_join import jaccard_components
 from placetime.llm.packing import pack
 from placetime.llm.registry import query
@@ -83,3 +83,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return token_counts.recounted(docs, token_counts.cleaning_edits(docs), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op4_quality_cotraining")
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a third of the rows are held out, as for toxicity."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    labels = read(spark, sf_dir, "labels").filter(~held_out)
+    scored = cotraining.classify(documents(spark, sf_dir), labels, rounds=3)
+    kept = F.col("score") >= 0.5
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text_score", "page_score", "score",
+        kept.cast("int").alias("predicted"), kept.alias("kept"),
+    )

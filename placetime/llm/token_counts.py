@@ -83,69 +83,54 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], encoder: Byte
         if upto <= start <= end <= len(text):
             kept.append((start, end, new))
             upto = end
+    if not kept:
+        return text, tree, 0
+    if not text:
+        after = "".join(new for _, _, new in kept)
+        return after, build(after, encoder, leaf_words), len(after)
     ends = np.cumsum(tree.chars)
+    begins = ends - tree.chars
     n = len(ends)
-    regions: list[list] = []  # [first leaf, last leaf, edits]
-    for start, end, new in kept:
-        if not n:
-            first = last = -1
-        else:
-            first = min(int(np.searchsorted(ends, start, "right")), n - 1)
-            last = min(int(np.searchsorted(ends, max(start, end - 1), "right")), n - 1)
-        if regions and first <= regions[-1][1]:
-            regions[-1][1] = max(last, regions[-1][1])
-            regions[-1][2].append((start, end, new))
-        else:
-            regions.append([first, last, [(start, end, new)]])
-
-    def begin(leaf: int) -> int:
-        return int(ends[leaf - 1]) if leaf > 0 else 0
-
-    # Regions are made whole from the left; one that grows into the next takes it in.
-    done: list[tuple[int, int, str]] = []  # first leaf, last leaf, text
-    queue = regions[::-1]
-    while queue:
-        first, last, changes = queue.pop()
-        low, high = begin(max(first, 0)), (int(ends[last]) if n else 0)
-        at, out = low, []
-        for start, end, new in changes:
-            out += [text[at:start], new]
-            at = end
-        fresh = "".join(out) + text[at:high]
-        if queue and queue[-1][0] <= last:
-            queue[-1] = [first, max(last, queue[-1][1]), changes + queue[-1][2]]
-            continue
-        if low > 0 and not _safe(text[low - 1], fresh[:1] or text[high : high + 1]):
-            if done and done[-1][1] == first - 1:  # the region before was changed as well
-                before = regions_of(done.pop(), kept, begin, ends)
-                queue.append([before[0], last, before[1] + changes])
-            else:
-                queue.append([first - 1, last, changes])
-            continue
-        if n and high < len(text) and not _safe(fresh[-1:] or (text[low - 1] if low else ""), text[high]):
-            queue.append([first, last + 1, changes])
-            continue
-        done.append((first, last, fresh))
-
-    if not done:
-        return text, tree, 0
+    first = np.minimum(np.searchsorted(ends, [e[0] for e in kept], "right"), n - 1)
+    last = np.minimum(np.searchsorted(ends, [max(e[0], e[1] - 1) for e in kept], "right"), n - 1)
+    touched = np.zeros(n, bool)
+    for a, b in zip(first, last):
+        touched[a : b + 1] = True
+    grown = True
+    while grown:
+        grown, regions = False, []
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], touched, [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):  # leaves a up to b
+            low, high = int(begins[a]), int(ends[b - 1])
+            fresh, at = [], low
+            for k in np.flatnonzero((first >= a) & (first < b)).tolist():
+                start, end, new = kept[k]
+                fresh += [text[at:start], new]
+                at = end
+            fresh = "".join([*fresh, text[at:high]])
+            before, after = text[low - 1 : low] if low else "", text[high : high + 1]
+            if a > 0 and not _safe(before, fresh[:1] or after):
+                touched[a - 1] = grown = True
+            if b < n and not _safe(fresh[-1:] or before, after):
+                touched[b] = grown = True
+            regions.append((a, b, fresh))
+
     chars, tokens, pieces, encoded, at = [], [], [], 0, 0
     same_shape, updates = True, []
-    for first, last, fresh in done:
-        first, last = max(first, 0), max(last, -1)
+    for a, b, fresh in regions:
         leaves = leaves_of(fresh, leaf_words)
         counts = [len(encoder.ids(x)) for x in leaves]
         encoded += len(fresh)
-        pieces += [text[begin(at) : begin(first)], fresh]
-        chars += [*tree.chars[at:first].tolist(), *map(len, leaves)]
-        tokens += [*tree.tokens[at:first].tolist(), *counts]
-        same_shape &= len(leaves) == last - first + 1
-        updates += list(zip(range(first, last + 1), counts))
-        at = last + 1
-    pieces.append(text[begin(at) :])
+        pieces += [text[int(begins[at]) : int(begins[a])] if at < n else "", fresh]
+        chars += [*tree.chars[at:a].tolist(), *map(len, leaves)]
+        tokens += [*tree.tokens[at:a].tolist(), *counts]
+        same_shape &= len(leaves) == b - a
+        updates += list(zip(range(a, b), counts))
+        at = b
+    pieces.append(text[int(begins[at]) :] if at < n else "")
     chars += tree.chars[at:].tolist()
     tokens += tree.tokens[at:].tolist()
-    if same_shape and len(chars) == n:
+    if same_shape:
         tree.chars = np.array(chars, np.int64)
         for leaf, count in updates:
             tree.update(leaf, count)
@@ -153,12 +138,6 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], encoder: Byte
     return "".join(pieces), Tree(np.array(chars, np.int64), np.array(tokens, np.int64)), encoded
 
 
-def regions_of(region: tuple[int, int, str], kept: list, begin, ends: np.ndarray) -> tuple[int, list]:
-    """The edits of a finished region again."""
-    low, high = begin(max(region[0], 0)), int(ends[region[1]])
-    return region[0], [e for e in kept if low <= e[0] and e[1] <= high]
-
-
 def _safe(before: str, after: str) -> bool:
     """May a text be cut between these characters without changing its ids?"""
     return not before or not after or (not _BLANK.match(before) and bool(_BLANK.match(after)))

@@ -85,8 +85,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK) -> Words:
-    """The words of each text, hashed with A-Z as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK, fold: bool = True) -> Words:
+    """The words of each text; with `fold`, hashes take A-Z as a-z."""
     n = len(data)
     inside = ~between[data]
     edge = np.zeros(n + 1, bool)
@@ -103,13 +103,13 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK) ->
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
     power, _ = _power(n)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[LOWER[data]] * power[:n], out=sums[1:])
+    np.cumsum(_BYTE[LOWER[data] if fold else data] * power[:n], out=sums[1:])
     found = Words(starts, ends, np.searchsorted(starts, offsets), np.zeros(0, U64), sums)
     return found._replace(hashes=span_hashes(found, starts, ends))
 
 
 def span_hashes(found: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of any spans of the slice; equal bytes (A-Z as a-z) give equal hashes."""
+    """Hashes of any spans of the slice; equal bytes (folded as the words were) give equal hashes."""
     _, inverse = _power(len(found.sums) - 1)
     return mix((found.sums[ends] - found.sums[starts]) * inverse[starts])
 
