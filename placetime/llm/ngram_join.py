@@ -316,15 +316,17 @@ def jaccard_components(
     )
     near = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
     full = near.join(heads.select(node.alias("doc_id"), "ranges"), "doc_id")
+    fitting = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
+    full = fitting.join(heads.select(node.alias("doc_id"), "prefix"), "doc_id")
+    full = full.withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
     active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
-    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2", "prefix").join(wanted, "node", "left_semi"))
+    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2").join(wanted, "node", "left_semi"))
     # Of rows that repeat an id, only the one with the class's text gives the class's set.
     read = _gram_sets(texts.join(again.select("doc_id").distinct(), "doc_id", "left_semi"), size)
     sets = read.join(again, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
-    sets = sets.select(F.col("node").alias("doc_id"), "grams", "prefix")
-    candidates = active.join(sets, "doc_id").withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
+    candidates = active.join(sets.select(F.col("node").alias("doc_id"), "grams"), "doc_id")
     verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long")
     edges = tables.settle(verified)
     linked = components(edges, tables)
@@ -338,7 +340,7 @@ def jaccard_components(
             "fp1", "fp2", F.coalesce("least", "rep").alias("component_id")
         )
     )
-    tables.drop(heads, shared, spots, near, active, again, edges, joined)
+    tables.drop(heads, shared, spots, near, fitting, active, again, edges, joined)
     out = rows.join(final, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
