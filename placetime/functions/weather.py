@@ -22,9 +22,13 @@ PRESENT_WEATHER = (
 )
 
 
+# What counts as a number: a cast alone would take suffixes such as 12D as well.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def number(text: Column) -> Column:
     value = F.trim(text)
-    return F.when(~value.isin(*MISSING), value.try_cast("double"))
+    return F.when(~value.isin(*MISSING) & value.rlike(NUMBER), value.try_cast("double"))
 
 
 def whole(text: Column) -> Column:

@@ -128,6 +128,16 @@ def attach_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the first in `order`; partial maxima keep the shuffle small."""
+    """One whole row per key, the first in `order`, by a row number within the key."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
+
+
+def largest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One whole row per key, the largest by the other columns in their order; maxima combine map side."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    row = F.max(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row")
+    best = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(row)
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`") for c in df.columns])

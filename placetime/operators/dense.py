@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placetime.functions.timeparts import bucket_count, step
-
-MAX_BUCKETS = 1_000_000
-
-
-def check_length(unit: str, start, end) -> None:
-    if bucket_count(unit, start, end) > MAX_BUCKETS:
-        raise ValueError(f"more than {MAX_BUCKETS} buckets: choose a coarser unit or a shorter range")
+from placetime.functions.timeparts import CLOCK_UNITS, step
 
 
 def dense_runs(aggregates: DataFrame, by: str, unit: str, first: Column, stop: Column) -> DataFrame:
@@ -28,6 +21,13 @@ def dense_runs(aggregates: DataFrame, by: str, unit: str, first: Column, stop: C
     begin = F.when(F.row_number().over(group) == 1, first).otherwise(own)
     until = F.coalesce(F.lead("time_bucket").over(group), stop)
     marked = aggregates.filter((own >= first) & (own < stop)).select("*", begin.alias("_begin"), until.alias("_until"))
+    if unit in CLOCK_UNITS:
+        # Days first, then the buckets of each day, so no list is longer than a day's or the days'.
+        day = F.explode(F.sequence(F.to_date("_begin"), F.to_date("_until"), F.expr("INTERVAL '1' DAY")))
+        marked = marked.select("*", day.alias("_day"))
+        opens = F.greatest(F.col("_begin"), F.col("_day").cast("timestamp_ntz"))
+        closes = F.least(F.col("_until"), F.col("_day").cast("timestamp_ntz") + F.expr("INTERVAL '1' DAY"))
+        marked = marked.withColumns({"_begin": opens, "_until": closes}).drop("_day").filter(F.col("_begin") < F.col("_until"))
     run = F.filter(F.sequence("_begin", "_until", step(unit)), lambda t: t < F.col("_until"))
     dense = marked.select("*", F.explode(run).alias("_bucket")).drop("_begin", "_until")
     return dense.withColumn("_real", F.col("_bucket") == own)

@@ -131,7 +131,8 @@ def compile_arguments(
     """Flat `column` / `column__operator` arguments joined with AND.
 
     `obs_date` stands for the date column; `<date>__time_of_day_ge` and `_le` bound the hour;
-    `location__within` takes GeoJSON. Unknown columns give warnings, or an error if `strict`.
+    `location__within` takes GeoJSON. Unknown columns and values that don't fit give warnings, or an
+    error if `strict`.
     `null_word` is the text that stands for a missing value.
     """
     parts: list[Column] = []
@@ -156,5 +157,10 @@ def compile_arguments(
             value = None if null_word is not None and value == null_word else value
             if value is None and op in ("eq", "ne"):
                 op = "is" if op == "eq" else "isnot"
-            parts.append(condition(schema, name, op, value))
+            try:
+                parts.append(condition(schema, name, op, value))
+            except (ValueError, TypeError) as error:
+                if strict:
+                    raise
+                warnings.append(f"unused argument {key!r}: {error}")
     return (reduce(and_, parts) if parts else F.lit(True)), warnings

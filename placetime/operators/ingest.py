@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placetime.functions.text import location_lat, location_lon, row_hash
-from placetime.operators.catalog import dataset_extent, shape_extent
+from placetime.operators.catalog import dataset_extent, largest_per_key, shape_extent
 from placetime.sources.points import PointRoles, parse_instant
 
 DERIVED = ("hash", "point_date", "lon", "lat", "geom")
@@ -78,8 +78,8 @@ def ingest_shapes(shapes: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def ingest_new_rows(staging: DataFrame, existing: DataFrame, keys: Sequence[str] = ("hash",)) -> DataFrame:
-    """Staging rows whose key is not stored yet, one per key."""
-    return staging.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """Staging rows whose key is not stored yet, the largest row per key."""
+    return largest_per_key(staging, keys).join(existing.select(*keys), list(keys), "left_anti")
 
 
 def append_new_rows(staging: DataFrame, existing: DataFrame, keys: Sequence[str] = ("hash",)) -> DataFrame:

@@ -149,13 +149,25 @@ def nearest_in_time(
     """
     keys = list(key)
     slot_of = F.floor(F.col("_t") / HALF_WINDOW_MICROS)
-    seen = obs.select(
-        "node_id", micros(F.col("datetime")).alias("_t"), F.struct(*obs.columns).alias("_o"), F.struct(*tie).alias("_tie")
-    ).withColumn("slot", slot_of)
+
+    def seen_of(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "node_id", micros(F.col("datetime")).alias("_t"), F.struct(*obs.columns).alias("_o"), F.struct(*tie).alias("_tie")
+        ).withColumn("slot", slot_of)
+
     asked = queries.select(*keys, "node_id", micros(F.col("instant")).alias("_t"))
     visits = asked.withColumn("slot", F.explode(F.array(*[slot_of + i for i in (-1, 0, 1)])))
     place = ["node_id", "slot"]
 
+    # Only slots that are asked for take part, and only instants near any query leave the scan.
+    wanted = settled(visits.select(*place).distinct(), "asked-slots")
+    ends = asked.agg(F.min("_t").alias("first"), F.max("_t").alias("last"))
+    near_any = obs.filter(
+        (F.col("datetime") >= F.timestamp_micros(ends.select(F.col("first") - HALF_WINDOW_MICROS).scalar()).cast("timestamp_ntz"))
+        & (F.col("datetime") <= F.timestamp_micros(ends.select(F.col("last") + HALF_WINDOW_MICROS).scalar()).cast("timestamp_ntz"))
+    )
+    seen = seen_of(near_any).join(broadcast_if_small(wanted, F.octet_length("node_id") + 24), place, "left_semi")
+
     dense, busy = hot_groups(seen, place, hot_rows), hot_groups(visits, place, hot_rows)
     seen = with_pieces(seen, place, ["_t", "_tie"], own=dense, other=busy)
     visits = with_pieces(visits, place, ["_t", *keys], own=busy, other=dense)

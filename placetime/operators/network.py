@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import point_geojson, point_in
-from placetime.plans.sizing import broadcast_if_small, fits
+from placetime.plans.sizing import broadcast_if_small
 
 
 def _mountings(bridge: DataFrame) -> DataFrame:
@@ -33,11 +33,8 @@ def network_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
 def nested_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
     """(network, node, tree): sensor -> {alias: feature.property} in one map per node.
 
-    A node's map holds each kind of sensor once; that the kinds fit is checked first.
+    A presentation of `network_tree`: a node's map holds each kind of sensor mounted on it once.
     """
-    known = sensors.select("sensor", "observed_properties")
-    if not fits(known, _width(known)):
-        raise ValueError("too many kinds of sensors for one map per node, use network_tree")
     by_name = F.array_sort(F.collect_list(F.struct("sensor", F.map_entries("observed_properties").alias("p"))))
     as_map = F.map_from_entries(F.transform(by_name, lambda e: F.struct(e["sensor"], F.map_from_entries(e["p"]))))
     return network_tree(bridge, sensors).groupBy("network", "node").agg(as_map.alias("tree"))
@@ -99,13 +96,16 @@ def network_metadata(networks: DataFrame, bridge: DataFrame, sensors: DataFrame)
     in_use = reported(links.select("network", "sensor").distinct(), sensors)
     of_features = in_use.select("network", F.col("feature").alias("name"), F.lit("feature").alias("kind"))
     members = of_nodes.unionByName(of_sensors).unionByName(of_features).distinct()
-    return networks.select("network", "info").join(members, "network", "left").select("network", "info", "kind", "name")
+    known = networks.select("network", "info")
+    named = members.join(broadcast_if_small(known, _width(known)), "network").select("network", "info", "kind", "name")
+    # Members never move by network, of which there are few; networks without members come on top.
+    empty = known.join(links.select("network").distinct(), "network", "left_anti")
+    none = F.lit(None).cast("string")
+    return named.unionByName(empty.select("network", "info", none.alias("kind"), none.alias("name")))
 
 
 def node_metadata(nodes: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Nodes as GeoJSON-like rows with their sensors, each kind once; that the kinds fit is checked."""
-    if not fits(bridge.select("sensor").distinct(), 64):
-        raise ValueError("too many kinds of sensors for one list per node, use network_tree")
+    """Nodes as GeoJSON-like rows with the list of their sensors, each kind once."""
     mountings = bridge.groupBy("network", "node").agg(F.sort_array(F.collect_set("sensor")).alias("sensors"))
     return nodes.join(mountings, ["network", "node"], "left").select(
         F.lit("Feature").alias("type"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placetime.functions.timeparts import bucket, check_unit, ts_lit
-from placetime.operators.dense import check_length, dense_runs
+from placetime.operators.dense import dense_runs
 from placetime.operators.filters import compile_tree, condition
 from placetime.operators.points import newest
 from placetime.plans.sizing import HOT_ROWS, hot_groups
@@ -147,7 +147,7 @@ def _large_medians(df: DataFrame, keys: Sequence[str], name: str, accuracy: int
     """Exact medians of groups too large for one task.
 
     A sketch brackets the median: its rank error is at most 1/accuracy, so the bounds asked
-    for two errors to either side enclose it. Only values between the bounds are ranked, and
+    for two errors to either side should enclose it, which counts confirm. Only values between the bounds are ranked, and
     equal ones are counted first; values below are merely counted.
     """
     value = F.col(f"`{name}`").cast("double")
@@ -158,16 +158,27 @@ def _large_medians(df: DataFrame, keys: Sequence[str], name: str, accuracy: int
     )
     bounds = F.broadcast(bracket.select(*keys, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi")))
     placed = known.join(bounds, list(keys))
-    below = placed.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.first("n").alias("n"))
+    first = F.floor((F.col("n") + 1) / 2)
+    second = F.floor((F.col("n") + 2) / 2)
+    counts = placed.groupBy(*keys).agg(
+        F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v") <= F.col("hi")).alias("within"),
+        F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+    )
+    # A group whose middle the sketch missed is ranked whole.
+    holds = (F.col("below") < first) & (F.col("within") >= second)
+    checked = counts.select(
+        *keys, "n", F.when(holds, F.col("below")).otherwise(0).alias("below"),
+        F.when(holds, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"), F.when(holds, F.col("hi")).alias("hi"),
+    )
+    below = checked.select(*keys, "n", "below")
     middle = (
-        placed.filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        known.join(F.broadcast(checked.select(*keys, "lo", "hi")), list(keys))
+        .filter((F.col("v") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
     running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = middle.join(below, list(keys)).withColumn("upto", F.col("below") + F.sum("c").over(running))
-    first = F.floor((F.col("n") + 1) / 2)
-    second = F.floor((F.col("n") + 2) / 2)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") >= rank, F.col("v")))
@@ -180,7 +191,6 @@ def fill_gaps(aggregates: DataFrame, unit: str, start, end) -> DataFrame:
 
     Nodes that never reported stay absent.
     """
-    check_length(unit, start, end)
     values = [c for c in aggregates.columns if c not in ("node_id", "time_bucket")]
     dense = dense_runs(aggregates, "node_id", unit, bucket(ts_lit(start), unit), ts_lit(end))
 

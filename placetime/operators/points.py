@@ -12,7 +12,6 @@ from placetime.functions.timeparts import JSON_OPTIONS, ts_lit
 from placetime.operators.filters import compile_tree, time_of_day
 
 DERIVED = ("point_date", "hash", "lon", "lat")
-MAX_LIMIT = 10_000
 
 
 def select_points(
@@ -49,10 +48,12 @@ def newest(df: DataFrame, ts: str, tie: Sequence[str], limit: int | None = 1000,
     return ordered if limit is None else ordered.limit(limit)
 
 
-def detail(points: DataFrame, limit: int = 1000, offset: int = 0, tie: Sequence[str] = ("hash",), **filters) -> DataFrame:
-    """The newest matching rows."""
-    if not 0 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 0 and {MAX_LIMIT}")
+def detail(
+    points: DataFrame, limit: int = 1000, offset: int = 0, tie: Sequence[str] = ("hash",), max_limit: int | None = None, **filters
+) -> DataFrame:
+    """The newest matching rows; a service may set the greatest limit it allows."""
+    if limit < 0 or (max_limit is not None and limit > max_limit):
+        raise ValueError(f"limit must not be negative, nor above {max_limit}")
     return newest(select_points(points, **filters), filters.get("ts", "point_date"), tie, limit, offset)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placetime.functions.timeparts import DATE_UNITS, bucket, bucket_count, spine, step, ts_lit
-from placetime.operators.dense import check_length, dense_runs
+from placetime.operators.dense import dense_runs
 from placetime.operators.points import select_points
 
 # Rows of (dataset, bucket, count); far below any broadcast limit.
@@ -84,7 +84,6 @@ def stacked_panel(points: DataFrame, unit: str, start, end, by: str = "dataset_n
     """The panel of datasets kept in one table, told apart by a column: one scan for any number of
     them. Datasets without a matching row do not appear."""
     _require(unit)
-    check_length(unit, start, end)
     kept = select_points(points, start, end, ts=ts, **filters)
     counts = kept.groupBy(by, bucket(F.col(ts), unit).alias("time_bucket")).agg(F.count(F.lit(1)).alias("n"))
     first, last = bucket(ts_lit(start), unit), bucket(ts_lit(end), unit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placetime.functions import metar, weather
 from placetime.functions.geometry import point_geojson
 from placetime.functions.timeparts import month_bounds, ts_lit
-from placetime.operators.catalog import first_per_key
+from placetime.operators.catalog import first_per_key, largest_per_key
 from placetime.operators.filters import compile_arguments
 from placetime.operators.points import newest
 from placetime.plans.sizing import broadcast_if_small
@@ -89,7 +89,7 @@ def _stations_kept(df: DataFrame, only: Sequence[str] | None, without: Sequence[
     if only is not None:
         df = df.filter(F.col("wban_code").isin(*only))
     if without is not None:
-        df = df.filter(~F.col("wban_code").isin(*without))
+        df = df.filter(~F.coalesce(F.col("wban_code").isin(*without), F.lit(False)))
     return df
 
 
@@ -125,7 +125,7 @@ def clean_hourly(
     """
     old, text = _is_old(raw), _texts(raw, HOURLY_HEADERS)
     if drop_special:
-        raw = raw.filter(F.trim(text["report_type"]) != "SP")
+        raw = raw.filter(~F.trim(text["report_type"]).eqNullSafe("SP"))
     code, none = F.trim(text["wban_code"]), F.lit(None)
     sky = F.trim(text["sky_condition"])
     speed = weather.whole(text["wind_speed"])
@@ -209,9 +209,12 @@ def time_column(reports: DataFrame) -> str:
 
 
 def weather_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored reports plus the incoming ones whose station and time are new."""
+    """Stored reports plus the incoming ones whose station and time are new.
+
+    Of reports of one station and time the largest row is taken, so a rerun gives the same.
+    """
     keys = ["wban_code", time_column(stored)]
-    fresh = incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    fresh = largest_per_key(incoming, keys).join(stored.select(*keys), keys, "left_anti")
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -253,7 +256,8 @@ def weather_query(
     known = reports.filter(wanted).join(numbers, "wban_code", "left_semi")
     page = newest(known, ts, tie, limit, offset)
     renamed = stations.select("wban_code", *[F.col(c).alias(f"station_{c}") for c in stations.columns if c != "wban_code"])
-    return page.join(renamed, "wban_code")
+    # A shuffled join loses the order of the page.
+    return page.join(renamed, "wban_code").orderBy(F.col(ts).desc_nulls_first(), *[F.col(c).asc() for c in tie])
 
 
 def station_query(stations: DataFrame, arguments: Mapping[str, object] | None = None) -> DataFrame:

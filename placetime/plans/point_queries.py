@@ -192,15 +192,17 @@ _REACH = metres_to_degrees(100, 0)[1]
 @query(
     "within_line_buffer",
     duck("ship_points")
-    + f", {edges_sql(LINE)}, along AS (SELECT *, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1))"
-    " / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS raw FROM ship_points, border),"
+    + f", {edges_sql(LINE)}, along AS (SELECT p.*, p.rowid_ AS r, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1))"
+    " / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS raw, x1, y1, x2, y2"
+    " FROM (SELECT *, row_number() OVER () AS rowid_ FROM ship_points) p, border),"
     " near AS (SELECT *, x1 + greatest(0e0, least(1e0, raw)) * (x2 - x1) AS nx, y1 + greatest(0e0, least(1e0, raw)) * (y2 - y1) AS ny FROM along)"
-    " SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, lon, lat FROM near"
-    f" WHERE (lon - nx) * (lon - nx) + (lat - ny) * (lat - ny) <= {lit(_REACH * _REACH)}",
+    " SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, any_value(l_quantity) AS l_quantity,"
+    " any_value(lon) AS lon, any_value(lat) AS lat FROM near"
+    f" WHERE (lon - nx) * (lon - nx) + (lat - ny) * (lat - ny) <= {lit(_REACH * _REACH)} GROUP BY r",
 )
 def within_line_buffer(spark, sf):
     points = pts.select_points(derive(spark, sf, "ship_points"), geom=LINE)
-    return points.select("l_orderkey", "l_linenumber", "l_quantity", "lon", "lat").distinct()
+    return points.select("l_orderkey", "l_linenumber", "l_quantity", "lon", "lat")
 
 
 # -- detail ---------------------------------------------------------------------------------

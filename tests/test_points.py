@@ -160,7 +160,7 @@ def test_bad_conditions_fail_before_running(flu, tree):
 
 def test_bad_arguments(flu):
     with pytest.raises(ValueError):
-        points.detail(flu, limit=10_001)
+        points.detail(flu, limit=10_001, max_limit=10_000)
     with pytest.raises(ValueError):
         timeseries.timeseries(flu, "hour", "2013-01-01", "2013-01-02")
     with pytest.raises(ValueError):
