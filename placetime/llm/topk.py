@@ -14,7 +14,7 @@ from placetime.llm.tables import Tables
 #: Vectors of a block of the approximation file, and of a block of queries.
 BLOCK = 4096
 QUERIES = 512
-CELL_BITS = 4
+CELL_BITS = 6
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -160,7 +160,7 @@ def top_k(
     integer inner product, its own id left out, ties to the smaller id; all, if there are fewer.
 
     1. Equal vectors are folded into one with its k + 1 least ids.
-    2. The approximation file holds a cell of 4 bits per component, between the least and greatest
+    2. The approximation file holds a cell of 6 bits per component, between the least and greatest
        value of each component in the whole table. Blocks of it meet blocks of queries; cells bound
        each product from below and above, and a block keeps what may be among a query's best.
     3. Per query, what lies above the (k + 1)th best lower bound of all blocks is left. The ones with
