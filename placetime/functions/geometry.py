@@ -279,17 +279,26 @@ def _segments_meet(e, f) -> Column:
     return boxes & (side_e <= 0) & (side_f <= 0)
 
 
+def _segments_near(e, f, distance: float) -> Column:
+    """Are two segments at most `distance` apart? They meet, or an end of one is that near to the other."""
+    ends = [_near_edge(x, y, other, distance) for one, other in ((e, f), (f, e)) for x, y in (one[:2], one[2:])]
+    return reduce(lambda a, b: a | b, ends, _segments_meet(e, f))
+
+
 def geometries_intersect(geom: Column, shape: str | dict | Geometry) -> Column:
-    """Does a geometry column meet a literal geometry?
+    """Does a geometry column meet a literal geometry? A line reaches as far as its buffer.
 
     They meet if their borders do, or if a part of one lies inside the other; one vertex per
     ring decides the latter, because without a border crossing a ring is all in or all out.
     """
     shape = geometry(shape)
     own, other = geom["edges"], edge_array(shape.edges)
-    if shape.buffer:
-        raise ValueError("give the widened line as an area when intersecting shapes")
-    borders = F.exists(own, lambda e: F.exists(other, lambda f: _segments_meet(_fields(e), _fields(f))))
+
+    def meet(e: Column, f: Column) -> Column:
+        e, f = _fields(e), _fields(f)
+        return _segments_near(e, f, shape.buffer) if shape.buffer else _segments_meet(e, f)
+
+    borders = F.exists(own, lambda e: F.exists(other, lambda f: meet(e, f)))
     tests = [borders]
     if shape.is_area:
         tests.append(

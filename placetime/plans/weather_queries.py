@@ -295,9 +295,9 @@ def metar_decode(spark, sf):
 @query(
     "metar_prune",
     f"WITH {_METAR_SQL} SELECT wban_code, datetime, wind_speed FROM decoded WHERE datetime >="
-    " (SELECT max(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + INTERVAL '26' MONTH FROM lineitem)",
+    " (SELECT max(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + INTERVAL '266' MONTH FROM lineitem)",
 )
 def metar_prune(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    hourly = lines.select((F.to_date("l_shipdate").cast("timestamp_ntz") + F.expr("INTERVAL '26' MONTH")).alias("datetime"))
+    hourly = lines.select((F.to_date("l_shipdate").cast("timestamp_ntz") + F.expr("INTERVAL '266' MONTH")).alias("datetime"))
     return wx.metar_prune(_metars(spark, sf), hourly).select("wban_code", "datetime", "wind_speed")

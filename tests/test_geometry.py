@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from placetime.functions.geometry import geometries_intersect, geometry, metres_to_degrees, point_in
 from placetime.functions.text import slug, slugs
 from placetime.operators import nearest, shapes, spatial
+from placetime.operators.catalog import box_geometry, catalog_search
+from placetime.operators.shapes import shapes_filter
 from placetime.sources.shapes import parse_features, read_shapes
 
 
@@ -178,3 +180,17 @@ def test_neighbours_equal_brute_force(spark, k, limit):
 def test_slugs():
     assert slug("A-Awef-Basdf-123") == "a_awef_basdf_123"
     assert slugs(["Zip Code", "zip  code", "!"]) == ["zip_code", "zip_code_2", "column"]
+
+
+def test_a_line_reaches_shapes_and_datasets_within_its_buffer(spark):
+    line = {"type": "LineString", "coordinates": [[0, 0], [1, 0]]}  # 100 m are 0.000898 degrees
+    boxes = {
+        "beside": (0.4, 0.0005, 0.6, 0.1), "too far": (0.4, 0.002, 0.6, 0.1), "around": (-1.0, -1.0, 2.0, 1.0),
+        "beyond": (1.0005, -0.1, 1.1, 0.1), "too far beyond": (1.002, -0.1, 1.1, 0.1), "corner": (1.0008, 0.0008, 1.1, 0.1),
+    }
+    catalog = spark.createDataFrame([(n, *b) for n, b in boxes.items()], "dataset_name string, xmin double, ymin double, xmax double, ymax double")
+    near = {"beside", "around", "beyond"}
+    found = catalog_search(catalog, geom=line, ingested=F.lit(True))
+    assert {r["dataset_name"] for r in found.collect()} == near
+    shapes = catalog.withColumn("geom", box_geometry())
+    assert {r["dataset_name"] for r in shapes_filter(shapes, line).collect()} == near
