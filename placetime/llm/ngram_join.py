@@ -315,9 +315,15 @@ def jaccard_components(
         "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "doc_id", "n", "at"
     )
     near = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
-    full = near.join(heads.select(node.alias("doc_id"), "ranges"), "doc_id")
+
+    def narrowed(rows: DataFrame, column: str) -> DataFrame:
+        """A column of the heads that `rows` ask for; while these are few, the others don't move."""
+        asked = tables.settle(rows.select("doc_id").distinct())
+        return heads.select(node.alias("doc_id"), column).join(tables.hinted(asked), "doc_id", "left_semi")
+
+    full = near.join(narrowed(near, "ranges"), "doc_id")
     fitting = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
-    full = fitting.join(heads.select(node.alias("doc_id"), "prefix"), "doc_id")
+    full = fitting.join(narrowed(fitting, "prefix"), "doc_id")
     full = full.withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
     active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
