@@ -19,8 +19,10 @@ SKETCH_BITS = 20
 PIECE_BITS = 14
 #: Documents of one key go to blocks of about so many n-grams; a task holds two blocks.
 BLOCK_NGRAMS = 1 << 18
-#: The suffix filter counts a set's n-grams by so many ranges of their hashes.
+#: The suffix filter counts a set's n-grams by so many ranges of their hashes; its finer form has
+#: ranges of about so many n-grams.
 RANGES = 16
+FINE_NGRAMS = 8
 
 
 def need(n: Column | np.ndarray, m, percent: int):
@@ -91,9 +93,9 @@ def frequencies(profiled: DataFrame) -> np.ndarray:
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """Per document fp1, fp2, n, its prefix in rare-first order, and for the suffix filter the
-    number of n-grams in each range of hashes. Documents without n-grams are left out."""
+    number of n-grams in each range of hashes, coarse and fine. Documents without n-grams are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, ranges binary"
+    schema = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, ranges binary, fine binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -105,20 +107,38 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                     ids.append(at)
                     length = n - -(-percent * n // 100) + 1
                     order = np.lexsort((grams, counts[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    ranges = np.bincount((grams & U64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                    out.append((n, *_fingerprint(grams), _signed(grams[order[:length]]), ranges.astype("<u4").tobytes()))
+                    ranges, fine = _by_range(grams, RANGES).astype("<u4"), fine_ranges(grams)
+                    out.append((n, *_fingerprint(grams), _signed(grams[order[:length]]), ranges.tobytes(), fine.tobytes()))
                 at += 1
-            columns = list(zip(*out)) if out else [[]] * 5
+            columns = list(zip(*out)) if out else [[]] * 6
             whole = pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(ids, whole)),
-                 *(pa.array(c, t) for c, t in zip(columns, (whole, whole, whole, pa.list_(whole), pa.binary())))],
-                names=["doc_id", "n", "fp1", "fp2", "prefix", "ranges"],
+                 *(pa.array(c, t) for c, t in zip(columns, (whole, whole, whole, pa.list_(whole), pa.binary(), pa.binary())))],
+                names=["doc_id", "n", "fp1", "fp2", "prefix", "ranges", "fine"],
             )
 
     return docs.mapInArrow(run, schema)
 
 
+def _by_range(grams: np.ndarray, parts: int) -> np.ndarray:
+    return np.bincount((grams & U64(parts - 1)).astype(np.int64), minlength=parts)
+
+
+def fine_ranges(grams: np.ndarray) -> np.ndarray:
+    """The number of n-grams in each of about n / FINE_NGRAMS ranges, a byte each."""
+    parts = 1 << max(1, (len(grams) // FINE_NGRAMS).bit_length())
+    while (counts := _by_range(grams, parts)).max() > 255:
+        parts *= 2
+    return counts.astype(np.uint8)
+
+
+def most_common(one: np.ndarray, other: np.ndarray) -> int:
+    """No two sets with these fine ranges have more n-grams in common."""
+    few, many = sorted((one, other), key=len)
+    return int(np.minimum(few, many.reshape(-1, len(few)).sum(axis=0, dtype=np.int64)).sum())
+
+
 GROUP = ["key", "first", "second"]
 
 
@@ -148,7 +168,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of two rows of one group that may be similar, by length, by the place of the key
     they share, and by the counts in ranges of hashes; the key must be the first that both
-    prefixes hold, so no pair comes up under two keys. Without the columns for the last two tests, pairs
+    prefixes hold, so no pair comes up under two keys. Without the columns for the last tests, pairs
     pass that may fail them."""
     key, first, second, block, n, at = (rows.column(c).to_numpy() for c in (*GROUP, "block", "n", "at"))
     given = set(rows.column_names)
@@ -156,6 +176,8 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         ranges = np.frombuffer(b"".join(rows.column("ranges").to_pylist()), "<u4").reshape(-1, RANGES)
     if "earlier" in given:
         earlier = [frozenset(p) for p in rows.column("earlier").to_pylist()]
+    if "fine" in given:
+        fine = [np.frombuffer(f, np.uint8) for f in rows.column("fine").to_pylist()]
 
     apart, near = 1, np.arange(len(key))
     while True:
@@ -172,9 +194,12 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         i, j, least = i[fits], j[fits], least[fits]
         if len(i) and "ranges" in given:
             fits = np.minimum(ranges[i], ranges[j]).sum(axis=1) >= least
-            i, j = i[fits], j[fits]
+            i, j, least = i[fits], j[fits], least[fits]
         if len(i) and "earlier" in given:
             fits = np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(i.tolist(), j.tolist())], bool)
+            i, j, least = i[fits], j[fits], least[fits]
+        if len(i) and "fine" in given:
+            fits = np.array([most_common(fine[x], fine[y]) >= m for x, y, m in zip(i.tolist(), j.tolist(), least.tolist())], bool)
             i, j = i[fits], j[fits]
         if len(i):
             yield i, j
@@ -275,7 +300,7 @@ def jaccard_components(
       n-gram of their prefixes. N-grams in one prefix only are dropped by a count that precedes.
     * A crowded n-gram is cut into blocks and its pairs of blocks go to different tasks. Within a
       task, pairs are filtered by length, by the place of the first n-gram they share and by the
-      counts of the remaining ones in ranges of hashes; pairs are never emitted as rows.
+      counts of n-grams in ranges of hashes, first few and then fine ones; pairs are never emitted as rows.
     * Only documents with a partner left are read again for their sets, and each such pair is
       verified once, under the first n-gram that both prefixes share, unless links found
       before in the task already join the two.
@@ -315,6 +340,7 @@ def jaccard_components(
         "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "doc_id", "n", "at"
     )
     near = tables.settle(_sorted_groups(pairs).mapInArrow(_active(percent), pairs.schema))
+    tables.drop(shared, spots)
 
     def narrowed(rows: DataFrame, column: str) -> DataFrame:
         """A column of the heads that `rows` ask for; while these are few, the others don't move."""
@@ -325,14 +351,18 @@ def jaccard_components(
     fitting = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
     full = fitting.join(narrowed(fitting, "prefix"), "doc_id")
     full = full.withColumn("earlier", F.expr("slice(prefix, 1, at)")).drop("prefix")
+    unseen = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
+    tables.drop(near, fitting)
+    full = unseen.join(narrowed(unseen, "fine"), "doc_id")
     active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
     again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2").join(wanted, "node", "left_semi"))
     # Of rows that repeat an id, only the one with the class's text gives the class's set.
-    read = _gram_sets(texts.join(again.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = read.join(again, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
-    candidates = active.join(sets.select(F.col("node").alias("doc_id"), "grams"), "doc_id")
+    read = _gram_sets(texts.join(tables.hinted(again).select("doc_id"), "doc_id", "left_semi"), size)
+    # Sets move once by node, for repeated rows and for the join, and once to their groups.
+    sets = read.join(tables.hinted(again), ["doc_id", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "grams")
+    candidates = active.join(sets.dropDuplicates(["doc_id"]), "doc_id")
     verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long")
     edges = tables.settle(verified)
     linked = components(edges, tables)
@@ -346,7 +376,7 @@ def jaccard_components(
             "fp1", "fp2", F.coalesce("least", "rep").alias("component_id")
         )
     )
-    tables.drop(heads, shared, spots, near, fitting, active, again, edges, joined)
+    tables.drop(heads, unseen, active, again, edges, joined)
     out = rows.join(final, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

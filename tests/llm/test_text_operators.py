@@ -139,6 +139,20 @@ def test_ngram_join_against_brute_force(documents, size, percent):
     assert got == brute_components(rows, size, percent)
 
 
+def test_fine_ranges_bound_the_overlap():
+    from placetime.llm.ngram_join import fine_ranges, most_common
+
+    rng = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 1), (1, 900, 1), (40, 700, 20), (500, 520, 480), (3000, 3000, 100), (5, 6, 0)):
+        shared, one, other = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (both, n - both, m - both))
+        left, right = (np.unique(np.concatenate([shared, rest])) for rest in (one, other))
+        bound = most_common(fine_ranges(left), fine_ranges(right))
+        assert both <= bound <= min(n, m) and bound == most_common(fine_ranges(right), fine_ranges(left))
+    # N-grams that agree in their lowest bits take more ranges, not fuller ones.
+    alike = np.arange(600, dtype=np.uint64) << np.uint64(12)
+    assert fine_ranges(alike).sum(dtype=int) == 600
+
+
 def test_ngram_join_splits_crowded_keys(documents, monkeypatch):
     from placetime.llm import ngram_join
 
