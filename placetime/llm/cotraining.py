@@ -184,31 +184,41 @@ RIDGE = 3.0
 NEWTON_ROUNDS = 4
 
 
-def _fit(rows: DataFrame, pupil: str, view: View, teacher: Teacher | None) -> View:
-    """Newton iterations for one view; gradient and Hessian are summed over all rows by Spark."""
+def _fit(rows: DataFrame, views_now: dict[str, View], teacher: Teacher | None) -> dict[str, View]:
+    """Newton iterations for both views at once; gradients and Hessians are summed over all rows by Spark."""
+    now, moving = dict(views_now), list(views_now)
     for _ in range(NEWTON_ROUNDS):
 
-        def step(batch: pa.RecordBatch, view: View = view) -> dict[str, np.ndarray]:
-            weight, label = _targets(batch, teacher, pupil)
-            used = weight > 0
-            x = _design(view, _matrix(batch.column(batch.schema.get_field_index(f"{pupil}_view")))[used])
-            p = sigmoid(np.clip(x @ view.beta, -30, 30))
-            w, y = weight[used], label[used]
-            return {"gradient": x.T @ (w * (y - p)), "hessian": (x * (w * p * (1 - p))[:, None]).T @ x}
-
-        sums = _sums(rows, step, ["gradient", "hessian"])
-        k = len(view.beta)
-        if not len(sums["gradient"]):
-            return view
-        penalty = np.full(k, RIDGE)
-        penalty[0] = 1e-6
-        gradient = sums["gradient"] - penalty * view.beta
-        change = np.linalg.solve(sums["hessian"].reshape(k, k) + np.diag(penalty + 1e-9), gradient)
-        change *= min(1.0, 5.0 / max(1e-12, np.abs(change).max()))
-        view = view._replace(beta=view.beta + change)
-        if np.abs(change).max() < 1e-3:
+        def step(batch: pa.RecordBatch, given: tuple = tuple((name, now[name]) for name in moving)) -> dict[str, np.ndarray]:
+            out = {}
+            for name, view in given:
+                weight, label = _targets(batch, teacher, name)
+                used = weight > 0
+                x = _design(view, _matrix(batch.column(batch.schema.get_field_index(f"{name}_view")))[used])
+                p = sigmoid(np.clip(x @ view.beta, -30, 30))
+                w, y = weight[used], label[used]
+                out[f"{name} gradient"] = x.T @ (w * (y - p))
+                out[f"{name} hessian"] = (x * (w * p * (1 - p))[:, None]).T @ x
+            return out
+
+        sums = _sums(rows, step, [f"{name} {part}" for name in moving for part in ("gradient", "hessian")])
+        for name in list(moving):
+            view = now[name]
+            k = len(view.beta)
+            if not len(sums[f"{name} gradient"]):
+                moving.remove(name)
+                continue
+            penalty = np.full(k, RIDGE)
+            penalty[0] = 1e-6
+            gradient = sums[f"{name} gradient"] - penalty * view.beta
+            change = np.linalg.solve(sums[f"{name} hessian"].reshape(k, k) + np.diag(penalty + 1e-9), gradient)
+            change *= min(1.0, 5.0 / max(1e-12, np.abs(change).max()))
+            now[name] = view._replace(beta=view.beta + change)
+            if np.abs(change).max() < 1e-3:
+                moving.remove(name)
+        if not moving:
             break
-    return view
+    return now
 
 
 BINS = np.linspace(-30, 30, 1201)
@@ -272,7 +282,7 @@ def train(rows: DataFrame, rounds: int = 3) -> Quality:
         now[name] = View(middle, spread, np.zeros(k + 1))
     teacher = None
     for turn in range(rounds + 1):
-        now = {name: _fit(rows, name, view, teacher) for name, view in now.items()}
+        now = _fit(rows, now, teacher)
         if turn < rounds:
             sure = _sure(rows, now, SURE_SHARE * (turn + 1))
             teacher = Teacher(now["text"], now["page"], sure["text"], sure["page"])
