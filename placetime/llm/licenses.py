@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,34 +103,51 @@ def template_matches(
     key_cols: tuple[str, ...] = ("doc_id",),
     text_col: str = "text",
     block_end: str = "\n",
+    across_lines: bool = False,
 ) -> DataFrame:
     """(keys, block, label, containment): every block of a text that holds at least `threshold` % of the
     different words of a template; blocks end at `block_end`.
 
-    Words are ordered by the number of blocks of the whole table that hold them, rare first. For a
-    template of n words and an overlap of at least a, one of its first n - a + 1 words must be
-    among a block's first m - a + 1, where m of the block's words belong to any template; blocks and
-    templates are joined on these prefixes, with m >= a (length) and with enough words left behind the
-    place of the shared one (position). Each pair is joined on the first word it shares, so it is
+    With `across_lines`, line ends don't matter: a template is looked for in every run of consecutive words
+    of the whole text that is no longer than the longest template. Runs are taken in blocks of twice that
+    length that overlap by half, so each run lies in one; containment is that of the block's best run.
+
+    Words are ordered by the number of blocks (with `across_lines`: of texts) of the whole table that hold
+    them, rare first. For a template of n words and an overlap of at least a, one of its first n - a + 1
+    words must be among a block's first m - a + 1, where m of the block's words belong to any template;
+    blocks and templates are joined on these prefixes, with m >= a (length) and with enough words left behind
+    the place of the shared one (position). Each pair is joined on the first word it shares, so it is
     verified once. What is broadcast is made from the templates alone.
     """
     spark = docs.sparkSession
     keys = list(key_cols)
-    known = {label: list(dict.fromkeys(w for w in re.split(BETWEEN, notice.lower()) if w)) for label, notice in templates.items()}
-    known = {label: notice for label, notice in known.items() if notice}
+    all_words = {label: [w for w in re.split(BETWEEN, notice.lower()) if w] for label, notice in templates.items()}
+    known = {label: list(dict.fromkeys(notice)) for label, notice in all_words.items() if notice}
     if not known:
         return docs.select(*keys, F.lit(0).cast("long").alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
+    longest = max(map(len, all_words.values()))
     vocabulary = sorted({word for notice in known.values() for word in notice})
     least = {label: -(-threshold * len(notice) // 100) for label, notice in known.items()}
 
     def literal(words: list[str]) -> Column:
         return F.array(*(F.lit(w) for w in words))
 
-    blocks = docs.select(*keys, F.posexplode(F.split(F.col(text_col), block_end)).alias("block", "line"))
-    spaced = F.split(F.trim(F.regexp_replace(F.lower("line"), BETWEEN, " ")), " ")
+    def words_in(text: str) -> Column:
+        return F.split(F.trim(F.regexp_replace(F.lower(text), BETWEEN, " ")), " ")
+
+    def any_fits(found: Column) -> Column:
+        """Do words found hold enough of any template? The words are made once, however many templates there are."""
+        fits = [lambda f, t=t, label=label: F.size(F.array_intersect(literal(t), f)) >= least[label] for label, t in known.items()]
+        return F.exists(F.array(found), lambda f: reduce(Column.__or__, (fit(f) for fit in fits)))
+
     tables = Tables(spark, "licenses")
-    holding = blocks.select(*keys, F.col("block").cast("long").alias("block"), F.array_intersect(literal(vocabulary), spaced).alias("found"))
-    counted = {r["word"]: r["n"] for r in holding.select(F.explode("found").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if across_lines:
+        blocks = docs.select(*keys, F.lit(0).cast("long").alias("block"), words_in(text_col).alias("words_of_block"))
+    else:
+        lines = docs.select(*keys, F.posexplode(F.split(F.col(text_col), block_end)).alias("block", "line"))
+        blocks = lines.select(*keys, F.col("block").cast("long").alias("block"), words_in("line").alias("words_of_block"))
+    holding = blocks.select(F.explode(F.array_intersect(literal(vocabulary), F.col("words_of_block"))).alias("word"))
+    counted = {r["word"]: r["n"] for r in holding.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda word: (counted.get(word, 0), word))
     place = {word: i for i, word in enumerate(ordered)}
 
@@ -143,20 +161,31 @@ def template_matches(
 
     # The intersection keeps the order of its first list, so a block's words come rare first.
     smallest = min(least.values())
-    found = F.array_intersect(literal(ordered), F.col("words_of_line"))
-    usable = (
-        blocks.select(*keys, F.col("block").cast("long").alias("block"), spaced.alias("words_of_line"))
-        .select(*keys, "block", found.alias("found"))
-        .filter(F.size("found") >= smallest)
-    )
+    found = F.array_intersect(literal(ordered), F.col("words_of_block"))
+    run = []
+    if across_lines:
+        # Texts that don't hold enough of any template anywhere go before they are cut into blocks.
+        texts = blocks.filter(any_fits(found)).select(*keys, "words_of_block")
+        last = F.floor(F.greatest(F.size("words_of_block") - longest, F.lit(0)) / longest).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words_of_block", k * longest + 1, 2 * longest))
+        blocks = texts.select(*keys, F.posexplode(cut).alias("block", "words_of_block")).withColumn("block", F.col("block").cast("long"))
+        usable = blocks.filter(any_fits(found)).select(*keys, "block", found.alias("found"), "words_of_block")
+        run = ["words_of_block"]
+    else:
+        usable = blocks.select(*keys, "block", found.alias("found")).filter(F.size("found") >= smallest)
     usable = tables.settle(usable)
-    heads = usable.select(*keys, "block", "found", F.posexplode(F.slice("found", 1, F.size("found") - smallest + 1)).alias("b_at", "word"))
+    heads = usable.select(*keys, "block", "found", *run, F.posexplode(F.slice("found", 1, F.size("found") - smallest + 1)).alias("b_at", "word"))
     m, n = F.size("found"), F.size("words")
     fits = (m >= F.col("need")) & (F.least(n - F.col("t_at"), m - F.col("b_at")) >= F.col("need"))
     pairs = heads.join(F.broadcast(indexed), "word").filter(fits)
     common = F.array_intersect("words", "found")
     verified = pairs.withColumn("common", common).filter((F.element_at("common", 1) == F.col("word")) & (F.size("common") >= F.col("need")))
-    out = tables.settle(verified.select(*keys, "block", "label", (F.size("common") / F.size("words")).alias("containment")))
+    held = F.size("common")
+    if across_lines:
+        begins = F.sequence(F.lit(1), F.greatest(F.size("words_of_block") - longest, F.lit(0)) + 1)
+        held = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect("words", F.slice("words_of_block", i, longest)))))
+    out = verified.withColumn("held", held).filter("held >= need")
+    out = tables.settle(out.select(*keys, "block", "label", (F.col("held") / F.size("words")).alias("containment")))
     tables.drop(usable)
     return out
 
@@ -168,12 +197,13 @@ def scan(
     threshold: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
+    across_lines: bool = False,
 ) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The base counts the places of license phrases in the whole text (see `phrase_hits`); to its
-    labels come those of the templates that some line of the text holds to `threshold` % (see
-    `template_matches`). The score is 1 with a phrase, else the greatest containment found, else 0.
+    labels come those of the templates that some line of the text holds to `threshold` %, or with
+    `across_lines` some run of words, whatever its line ends (see `template_matches`). The score is 1 with a phrase, else the greatest containment found, else 0.
 
     Null and empty texts have no words, no places and empty labels. Repeated rows give a row each,
     rows that share an id but not the text are told apart, and null ids are documents of their own.
@@ -181,7 +211,7 @@ def scan(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     base = phrase_hits(rows, phrases).drop("text")
-    matches = template_matches(rows, templates, threshold, ("doc_id", "text_hash"))
+    matches = template_matches(rows, templates, threshold, ("doc_id", "text_hash"), across_lines=across_lines)
     per_doc = matches.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )

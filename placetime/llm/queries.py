@@ -82,7 +82,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir), across_lines=True)
 
 
 @query("op1_token_counts")

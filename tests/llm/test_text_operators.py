@@ -442,6 +442,42 @@ def test_licenses_against_brute_force(documents):
     assert licenses.scan(documents(rows).limit(0)).count() == 0
 
 
+def brute_license_runs(text, threshold=80):
+    """As `brute_licenses`, with every run of words no longer than the longest template in place of lines."""
+    def plain(x):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
+
+    w, notices = plain(text or ""), {label: plain(notice) for label, notice in licenses.TEMPLATES.items()}
+    longest, best = max(map(len, notices.values())), {}
+    for label, notice in notices.items():
+        held = max(len(set(notice) & set(w[i : i + longest])) for i in range(max(len(w) - longest, 0) + 1))
+        if 100 * held >= threshold * len(set(notice)):
+            best[label] = held / len(set(notice))
+    return best
+
+
+def test_licenses_across_line_ends(documents):
+    rng = random.Random(11)
+    rows = [(1, None), (2, ""), (3, "the " * 4000)]
+    for label, notice in licenses.TEMPLATES.items():
+        for width, start in ((5, ""), (12, " * "), (9, "# ")):
+            w = split(notice)
+            wrapped = "\n".join(start + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+            rows.append((100 + len(rows), made_up(rng, rng.randint(0, 150)) + "\n" + wrapped + "\n" + made_up(rng, rng.randint(0, 150))))
+        # All words of a template, but nowhere together.
+        rows.append((100 + len(rows), " ".join(x + " " + made_up(rng, 9, "xyz") for x in split(notice))))
+        cut = [x for x in split(notice) if rng.random() > 0.15]
+        rows.append((100 + len(rows), "\n".join(split(made_up(rng, 40)) + cut)))
+    got = {r["doc_id"]: r for r in licenses.scan(documents(rows).repartition(3), across_lines=True).collect()}
+    for i, text in rows:
+        base, best = brute_licenses(text)[4], brute_license_runs(text)
+        assert got[i]["labels"] == ",".join(sorted({*base.split(","), *best} - {""})), text
+        assert got[i]["score"] == (1.0 if base else max(best.values(), default=0.0))
+    wrapped = [r for r in got.values() if "mit-notice" in r["labels"].split(",")]
+    assert len(wrapped) >= 3 and all(r["score"] > 0 for r in wrapped)
+    assert licenses.scan(documents(rows).limit(0), across_lines=True).count() == 0
+
+
 # --- 4 co-training ---------------------------------------------------------------------------------------
 
 
