@@ -46,19 +46,20 @@ def _keyed(lines: DataFrame, min_words: int) -> DataFrame:
 HALVES = ["half1", "half2", "half3", "half4"]
 
 
-def _halves() -> list[Column]:
+def _halves(near_words: int) -> list[Column]:
     """Keys of a line's halves. Two lines that differ by one word inserted, deleted or replaced agree in the
     first half or in the rest, halves being those of the shorter one; so a line of n words gives the
-    halves for n and for n - 1 words, each under the number it was cut for."""
+    halves for n and for n - 1 words, each under the number it was cut for. Lines of fewer than
+    `near_words` words have none."""
     keys = []
     for n in ("n", "(n - 1)"):
         keys.append(F.expr(f"xxhash64('head', {n}, substring_index(words, ' ', cast({n} div 2 as int)))"))
         keys.append(F.expr(f"xxhash64('tail', {n}, substring_index(words, ' ', -cast({n} - {n} div 2 as int)))"))
-    return [key.alias(name) for key, name in zip(keys, HALVES)]
+    return [F.when(F.col("n") >= near_words, key).alias(name) for key, name in zip(keys, HALVES)]
 
 
 def repeated_lines(
-    docs: DataFrame, min_words: int = 5, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, text_hash, line_no, near) of every line that an earlier line of the corpus repeats.
 
@@ -77,7 +78,7 @@ def repeated_lines(
     """
     tables = Tables(docs.sparkSession, "line-dedup")
     lines = _keyed(lines_of(docs, id_col, text_col), min_words)
-    occurrence = tables.settle(lines.select("h1", "h2", "n", _order().alias("at"), *_halves()))
+    occurrence = tables.settle(lines.select("h1", "h2", "n", _order().alias("at"), *_halves(near_words)))
     distinct = tables.settle(
         occurrence.groupBy("h1", "h2").agg(
             F.min("at").alias("first"), F.max("at").alias("last"), F.first("n").alias("n"), *(F.first(h).alias(h) for h in HALVES)
@@ -170,7 +171,7 @@ def _verified(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, min_words: int = 5, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`docs` with n_lines, n_dropped, n_near and clean_text: whole texts without the lines that an earlier
     line repeats (see `repeated_lines`). A text of which no line with a word is left becomes "".

@@ -52,7 +52,7 @@ def op8_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(documents(spark, sf_dir), min_words=5, near_words=10)
+    cleaned = line_dedup.dedup_lines(documents(spark, sf_dir), min_words=1, near_words=5)
     return cleaned.select("doc_id", "n_lines", "n_dropped", "n_near", F.md5("clean_text").alias("clean_md5"))
 
 

@@ -237,6 +237,29 @@ def test_line_dedup_template_lines_copies_and_empty(documents):
     assert set(got[0].asDict()) >= {"doc_id", "text", "lang", "source", "n", "size"}
 
 
+def test_line_dedup_takes_short_lines(documents):
+    """By default every line with a word counts when equal, and from 5 words on when near."""
+    rng = random.Random(4)
+    pool = [split(made_up(rng, rng.choice([1, 2, 4, 5, 6, 8]))) for _ in range(14)]
+    rows = [(0, "}\n \n}"), (1, "a b\n\nthe end\na  b"), (2, "one two three four five"), (3, "one two three four six")]
+    rows += [(4, "read on"), (5, "read  on"), (6, "read of")]
+    for i in range(10, 50):
+        lines = []
+        for _ in range(rng.randint(1, 6)):
+            line = list(rng.choice(pool))
+            if rng.random() < 0.4:
+                line[rng.randrange(len(line))] = rng.choice("xyz")
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    gone = brute_lines(rows, 1, 5)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(rows).repartition(4)).collect()}
+    for i, text in rows:
+        kept = [line for k, line in enumerate(text.split("\n")) if (i, k) not in gone]
+        assert got[i]["n_dropped"] == len(text.split("\n")) - len(kept), i
+        assert got[i]["clean_text"] == ("\n".join(kept) if any(split(x) for x in kept) else ""), i
+    assert (got[0]["n_dropped"], got[3]["n_near"], got[5]["clean_text"], got[6]["n_dropped"]) == (1, 1, "", 0)
+
+
 # --- 1 token counts --------------------------------------------------------------------------------------
 
 
