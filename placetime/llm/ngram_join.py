@@ -220,16 +220,17 @@ def _active(percent: int):
 
 
 def _links(percent: int):
-    """Verified links of sorted groups, as (document, least document that it hangs together with here).
-
-    A pair whose documents already hang together by links found before needs no look; so a
-    group of n similar documents gives n - 1 rows.
+    """Of sorted groups, every pair that the filters leave is verified. Rows are (document, least document
+    that it hangs together with here, null) and (document, itself, rows that it links with here), so
+    a group of n similar documents gives 2n - 1 rows, whatever the number of its links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches):
             docs = rows.column("doc_id").to_numpy()
             grams = [np.frombuffer(g, U64) for g in rows.column("grams").to_pylist()]
+            copies = rows.column("copies").to_numpy()
+            n_links = np.zeros(len(docs), np.int64)
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -239,12 +240,17 @@ def _links(percent: int):
 
             for some, others in _pairs(rows, percent):
                 for i, j in zip(some.tolist(), others.tolist()):
+                    if not similar(grams[i], grams[j], percent):
+                        continue
+                    n_links[i] += copies[j]
+                    n_links[j] += copies[i]
                     low, high = sorted((root(int(docs[i])), root(int(docs[j]))))
-                    if low != high and similar(grams[i], grams[j], percent):
+                    if low != high:
                         parent[high] = low
-            found = [(x, root(x)) for x in parent if root(x) != x]
-            columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+            found = [(x, root(x), None) for x in parent if root(x) != x]
+            found += [(int(docs[i]), int(docs[i]), int(n_links[i])) for i in np.flatnonzero(n_links)]
+            columns = [pa.array([row[k] for row in found], pa.int64()) for k in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_links"])
 
     return run
 
@@ -286,7 +292,8 @@ def _gram_sets(docs: DataFrame, size: int) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row of `docs`: id, n_shingles (size of its set) and component_id.
+    """Per row of `docs`: id, n_shingles (size of its set), component_id and n_links, the number of other
+    rows that it links with.
 
     A document's set holds the distinct runs of `size` words (of non-blank characters, A-Z as a-z)
     of its whole text; a shorter text is one run. Two documents link when the Jaccard similarity
@@ -302,11 +309,11 @@ def jaccard_components(
       task, pairs are filtered by length, by the place of the first n-gram they share and by the
       counts of n-grams in ranges of hashes, first few and then fine ones; pairs are never emitted as rows.
     * Only documents with a partner left are read again for their sets, and each such pair is
-      verified once, under the first n-gram that both prefixes share, unless links found
-      before in the task already join the two.
+      verified once, under the first n-gram that both prefixes share. Links are summed per class
+      in the task, each weighed by the rows of the class at its other end.
 
     Null and empty texts and texts of blanks have an empty set and link with nothing. Rows without
-    an id keep their size, get a null component and link with nothing. Repeated ids with
+    an id keep their size, get a null component and link with nothing. Repeated rows are rows of their own. Repeated ids with
     different texts: each row links by its own text, and the id ties no rows. Other columns
     don't matter. An empty table gives no rows.
     """
@@ -316,14 +323,14 @@ def jaccard_components(
     profiled = tables.settle(profile(texts, size))
     rows = profiled.filter("piece is null").select("doc_id", "n", "fp1", "fp2")
     classes = tables.settle(
-        rows.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
+        rows.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     counts = frequencies(profiled)
 
     # One row per class: the row of its representative.
-    reps = classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2")
+    reps = classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "copies")
     found = prefixes(texts.filter("doc_id is not null"), counts, size, percent)
-    heads = tables.settle(found.join(reps, ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]))
+    heads = tables.settle(found.join(reps, ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"]))
     node = F.xxhash64("doc_id", "fp1", "fp2")  # a class; ids may repeat
 
     shared = tables.settle(
@@ -357,27 +364,30 @@ def jaccard_components(
     active = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
 
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
-    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2").join(wanted, "node", "left_semi"))
+    again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2", "copies").join(wanted, "node", "left_semi"))
     # Of rows that repeat an id, only the one with the class's text gives the class's set.
     read = _gram_sets(texts.join(tables.hinted(again).select("doc_id"), "doc_id", "left_semi"), size)
     # Sets move once by node, for repeated rows and for the join, and once to their groups.
-    sets = read.join(tables.hinted(again), ["doc_id", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "grams")
+    sets = read.join(tables.hinted(again), ["doc_id", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "grams", "copies")
     candidates = active.join(sets.dropDuplicates(["doc_id"]), "doc_id")
-    verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long")
+    verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long, n_links long")
     edges = tables.settle(verified)
-    linked = components(edges, tables)
+    linked = components(edges.select("a", "b"), tables)
+    summed = edges.filter("n_links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("links"))
 
     # From nodes back to the smallest id: a component's name is the least representative in it.
     members = heads.select(node.alias("node"), F.col("doc_id").alias("rep"), "fp1", "fp2")
-    joined = tables.settle(members.join(linked, "node"))
+    joined = tables.settle(members.join(linked, "node").join(summed, "node"))
     named = joined.join(joined.groupBy("component").agg(F.min("rep").alias("least")), "component")
     final = tables.settle(
-        classes.join(named.select("fp1", "fp2", F.col("least")), ["fp1", "fp2"], "left").select(
-            "fp1", "fp2", F.coalesce("least", "rep").alias("component_id")
+        classes.join(named.select("fp1", "fp2", "least", "links"), ["fp1", "fp2"], "left").select(
+            "fp1", "fp2", F.coalesce("least", "rep").alias("component_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
     tables.drop(heads, unseen, active, again, edges, joined)
     out = rows.join(final, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    links = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), 0).otherwise(F.col("n_links")).cast("long")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), links.alias("n_links"))
 

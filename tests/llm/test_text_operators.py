@@ -169,6 +169,34 @@ def test_ngram_join_splits_crowded_keys(documents, monkeypatch):
     assert jaccard_components(documents(rows).limit(0), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize("block", [200, 1 << 18])
+def test_ngram_join_counts_every_link(documents, monkeypatch, block):
+    from placetime.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", block)
+    rng = random.Random(7)
+    base = split(made_up(rng, 60))
+    rows = [(1, None), (2, " "), (3, "alone here"), (None, " ".join(base)), (4, "short text"), (5, "SHORT text"), (5, "another one")]
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = f"w{rng.randint(0, 9)}"
+        rows += [(100 + i, " ".join(text))] * rng.choice([1, 1, 1, 3])
+
+    def grams(text):
+        w = split((text or "").lower())
+        return {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, min(1, len(w))))}
+
+    sets = [(i, grams(t)) for i, t in rows]
+    want = []
+    for k, (i, s) in enumerate(sets):
+        others = [t for m, (j, t) in enumerate(sets) if m != k and None not in (i, j) and s and t]
+        want.append((i or 0, len(s), sum(100 * len(s & t) >= 90 * len(s | t) for t in others)))
+    got = jaccard_components(documents(rows).repartition(3), 3, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in got) == sorted(want)
+    assert max(n for _, _, n in want) > 10
+
+
 # --- 2 line dedup ----------------------------------------------------------------------------------------
 
 
