@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens; a document taken several times is packed several times."""
-    pieces = pack(docs, tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    pieces = pack(docs, tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1, added_tokens=True)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens"
     )

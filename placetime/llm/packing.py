@@ -58,11 +58,12 @@ class _Bins:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Packs documents into sequences of at most `capacity` tokens; one row per piece.
 
-    A document is its ids and then `end_id`. It is cut into pieces whose lengths are reciprocal
+    A document is its ids (see `ByteBpe` for `added_tokens`) and then `end_id`. It is cut into pieces whose lengths are reciprocal
     parts of the capacity (1, 1/2, 1/4, ...); a bin of the class 1/j takes j pieces and is full to
     the last token. Each task fills its own bins in the order of its rows, with at most one open
     bin per class in memory, so there is no shuffle and nothing to agree on; a task run again
@@ -78,7 +79,7 @@ def pack(
     schema = SCHEMA.format(key=id_col, type=key_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(tokenizer)
+        encoder = ByteBpe(tokenizer, added_tokens)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 40)
         out: list[tuple] = []
         kinds: pa.Schema | None = None

@@ -33,7 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    pieces = pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1, added_tokens=True)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens"
     )
@@ -88,7 +88,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_token_counts")
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return token_counts.recounted(docs, token_counts.cleaning_edits(docs), tokenizer("byte_bpe_50k.json"))
+    return token_counts.recounted(docs, token_counts.cleaning_edits(docs), tokenizer("byte_bpe_50k.json"), added_tokens=True)
 
 
 @query("op4_quality_cotraining")

@@ -143,12 +143,12 @@ def _safe(before: str, after: str) -> bool:
     return not before or not after or (not _BLANK.match(before) and bool(_BLANK.match(after)))
 
 
-def build_trees(docs: DataFrame, tokenizer: str, leaf_words: int = LEAF_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_trees(docs: DataFrame, tokenizer: str, leaf_words: int = LEAF_WORDS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """(id, text_hash, n_tokens, chars, tokens): the tree of every whole text, its leaves' characters and tokens as
     32-bit numbers; the sums above follow from them. One pass without a shuffle. Null counts as empty, with 0 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(tokenizer)
+        encoder = ByteBpe(tokenizer, added_tokens)
         for batch in batches:
             out = []
             for text in batch.column(2):
@@ -163,7 +163,8 @@ def build_trees(docs: DataFrame, tokenizer: str, leaf_words: int = LEAF_WORDS, i
 
 
 def apply_edits(
-    docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str, leaf_words: int = LEAF_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str, leaf_words: int = LEAF_WORDS, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Documents that `edits` (id, text_hash, start, end, replacement) change, with their trees after the edits.
 
@@ -183,7 +184,7 @@ def apply_edits(
     names = ["text", "n_edits", "n_tokens", "chars", "tokens", "encoded_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(tokenizer)
+        encoder = ByteBpe(tokenizer, added_tokens)
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
@@ -242,7 +243,7 @@ def cleaning_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col)).mapInArrow(run, schema)
 
 
-def recounted(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recounted(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Per row of `docs`: id, n_tokens, n_edits, n_tokens_after and encoded_chars.
 
     Counts every whole text once, as a tree, and after the edits again from the trees. Rows without
@@ -250,9 +251,9 @@ def recounted(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "
     Repeated rows give a row each. Other columns don't matter. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "token-counts")
-    trees = tables.settle(build_trees(docs, tokenizer, id_col=id_col, text_col=text_col))
+    trees = tables.settle(build_trees(docs, tokenizer, id_col=id_col, text_col=text_col, added_tokens=added_tokens))
     edits = tables.settle(edits)
-    changed = apply_edits(docs, trees, edits, tokenizer, id_col=id_col, text_col=text_col)
+    changed = apply_edits(docs, trees, edits, tokenizer, id_col=id_col, text_col=text_col, added_tokens=added_tokens)
     changed = tables.settle(
         changed.select(F.col(id_col).alias("_d"), F.col("text_hash").alias("_t"), "n_edits", F.col("n_tokens").alias("_after"), "encoded_chars")
     )

@@ -25,11 +25,20 @@ class ByteBpe:
 
     Its ids follow the merge order, so the same vocabulary read as ranks gives the same ids several
     times faster; that is used for letters whose classes no Unicode version disputes, the
-    `tokenizers` library for the rest. Strings of special tokens are ordinary text.
+    `tokenizers` library for the rest. Strings of special tokens are ordinary text; with `added_tokens`,
+    the file's added tokens keep their ids instead, as in a plain call of the library, which then
+    encodes the texts that hold one.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, added_tokens: bool = False):
+        self.path, self.added_tokens = path, added_tokens
+
+    @cached_property
+    def _added(self) -> list[str]:
+        if not self.added_tokens:
+            return []
+        with open(self.path, encoding="utf-8") as file:
+            return [token["content"] for token in json.load(file).get("added_tokens") or []]
 
     @cached_property
     def _library(self):
@@ -40,6 +49,13 @@ class ByteBpe:
         made.encode_special_tokens = True
         return made
 
+    @cached_property
+    def _plain_library(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @cached_property
     def _ranks(self):
         import tiktoken
@@ -57,6 +73,8 @@ class ByteBpe:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, as unsigned little-endian 32-bit numbers."""
+        if any(token in text for token in self._added):
+            return np.array(self._plain_library.encode(text, add_special_tokens=False).ids, "<u4")
         if text.isascii() or max(text) < DISPUTED:
             return np.array(self._ranks.encode_ordinary(text), "<u4")
         return np.array(self._mixed(text), "<u4")

@@ -85,6 +85,27 @@ def test_packing_round_trip(spark, documents, vocabulary):
     assert sorted(got) == want
 
 
+def test_added_tokens_as_in_a_plain_call(documents, vocabulary):
+    from tokenizers import Tokenizer
+
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(6)
+    library, encoder = Tokenizer.from_file(path), ByteBpe(path, added_tokens=True)
+    assert encoder.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    alphabet = ["a", "word", " ", "  ", "\n", "<|endoftext|>", "<|endo", "ftext|>", "日", "'s", "\xa0"]
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text).tolist() == want
+        tree = token_counts.build(text, encoder, leaf_words=2)
+        assert tree.total == len(want)
+        cut = rng.randint(0, len(text))
+        after, tree, _ = token_counts.edit(text, tree, [(cut, min(len(text), cut + 5), "|>")], encoder, leaf_words=2)
+        assert tree.total == len(library.encode(after, add_special_tokens=False).ids)
+    text = "a <|endoftext|> b"
+    (piece,) = pack(documents([(1, text)]), path, capacity=5, added_tokens=True).collect()
+    assert np.frombuffer(piece["ids"], "<u4").tolist() == [64, 220, 50256, 275, 1]
+
+
 def test_packing_classes_and_empty(documents, vocabulary):
     assert class_sizes(2048) == [2048 >> i for i in range(12)]
     assert class_sizes(100) == [100, 50, 25, 12, 6, 3, 1]
