@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetime.llm import cotraining, fertility, licenses, line_dedup, mixing, token_counts, topk, toxicity
+from placetime.llm import chat, cotraining, fertility, licenses, line_dedup, merkle, mixing, token_counts, topk, toxicity
 from placetime.llm.ngram_join import jaccard_components
 from placetime.llm.packing import pack
 from placetime.llm.registry import query
@@ -102,3 +102,28 @@ def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text_score", "page_score", "score",
         kept.cast("int").alias("predicted"), kept.alias("kept"),
     )
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other document is claimed with the text it has after its line ends are lost."""
+    docs = documents(spark, sf_dir)
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    claimed = merkle.leaf([text if name == "text" else F.col(name) for name in merkle.FIELDS])
+    proofs = merkle.manifest(docs, carried={"claimed": claimed})
+    folded = merkle.folded(F.col("claimed"), F.col("path"))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    told = proofs.select("doc_id", "leaf", "subroot", "root", proof, folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Conversation -7: both turns hold the control strings of the template.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op12_chat_formatting")
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.render(turns.unionAll(more)))
