@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetime.llm import chat, cotraining, fertility, licenses, line_dedup, merkle, mixing, token_counts, topk, toxicity
+from placetime.llm import chat, collocations, cotraining, fertility, licenses, line_dedup, merkle, mixing, token_counts, topk, toxicity
 from placetime.llm.ngram_join import jaccard_components
 from placetime.llm.packing import pack
 from placetime.llm.registry import query
@@ -127,3 +127,8 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.render(turns.unionAll(more)))
+
+
+@query("op13_collocations")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), min_count=100, top=2000)
