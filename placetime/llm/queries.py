@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placetime.llm import chat, collocations, cotraining, fertility, licenses, line_dedup, merkle, mixing, token_counts, topk, toxicity
+from placetime.llm import chat, collocations, cotraining, fertility, licenses, line_dedup, merkle, mixing, oracles, token_counts, topk, toxicity
 from placetime.llm.ngram_join import jaccard_components
 from placetime.llm.packing import pack
 from placetime.llm.registry import query
@@ -104,7 +104,7 @@ def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op11_merkle_manifest")
+@query("op11_merkle_manifest", oracles.MERKLE)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other document is claimed with the text it has after its line ends are lost."""
     docs = documents(spark, sf_dir)
@@ -122,13 +122,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-@query("op12_chat_formatting")
+@query("op12_chat_formatting", oracles.CHAT)
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.render(turns.unionAll(more)))
 
 
-@query("op13_collocations")
+@query("op13_collocations", oracles.COLLOCATIONS)
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), min_count=100, top=2000)
