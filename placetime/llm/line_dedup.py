@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placetime.llm.ordered import places
 from placetime.llm.tables import Tables
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -64,137 +65,130 @@ def repeated_lines(
     """(doc_id, text_hash, line_no, near) of every line that an earlier line of the corpus repeats.
 
     A line repeats an earlier one if their words are the same, or if both have `near_words` words or more
-    and one word inserted, deleted or replaced makes them the same (`near`); a line with fewer than
+    and one word inserted, deleted or replaced makes them the same (`near`): the edit bound is one word in
+    `near_words`, so shorter lines have a bound of none and repeat when equal. A line with fewer than
     `min_words` words repeats nothing. Earlier is by document id (null last), hash of the text and line number.
 
     1. Lines with equal words are one, at the earliest place; that combines map side.
-    2. Only lines that share a half with another one can be near; they alone go on.
-    3. Of these, every variant with one word deleted is emitted as a hashed key, without its words. Lines
-       of the same length with the same variant at the same place differ by one replaced word: per
-       key the earliest is found. A line whose own key is a variant of a longer one differs
+    2. Only lines that share a half with another one can be near; they alone go on, under a number
+       in the order of their places.
+    3. Of these, every variant with one word deleted is emitted as a hashed key with the line's number and
+       the place of the word. Lines with the same variant at the same place differ by one replaced word:
+       per key the earliest is found. A line whose own key is a variant of a longer one differs
        from it by one inserted word: such keys are aggregated to the earliest on either side.
        So a key gives one candidate per line, however many lines share it, and no pairs.
     4. Candidates are verified on the words themselves.
     """
     tables = Tables(docs.sparkSession, "line-dedup")
     lines = _keyed(lines_of(docs, id_col, text_col), min_words)
-    occurrence = tables.settle(lines.select("h1", "h2", "n", _order().alias("at"), *_halves(near_words)))
-    distinct = tables.settle(
-        occurrence.groupBy("h1", "h2").agg(
-            F.min("at").alias("first"), F.max("at").alias("last"), F.first("n").alias("n"), *(F.first(h).alias(h) for h in HALVES)
-        )
-    )
+    occurrence = tables.settle(lines.select("h1", "h2", *AT, *_halves(near_words)))
+    firsts = occurrence.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last"))
+    firsts = tables.settle(firsts.select("h1", "h2", "first", (F.col("first") != F.col("last")).alias("again")))
 
     # Lines that share a half with another line.
-    halves = distinct.filter(F.col("n") >= near_words).select(F.explode(F.array(*HALVES)).alias("half"), "h1")
+    halves = occurrence.select(F.explode(F.array(*HALVES)).alias("half"), "h1").filter(F.col("half").isNotNull())
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
     shared = tables.settle(shared)
-    close = tables.settle(halves.join(tables.hinted(shared), "half", "left_semi").select("h1").distinct())
-    wanted = tables.settle(
-        distinct.join(tables.hinted(close), "h1", "left_semi").select(
-            "h1", "h2", "n", "first", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line_no").alias("l")
-        )
-    )
+    close = tables.settle(halves.join(shared, "half", "left_semi").select("h1").distinct())
+    wanted = firsts.join(close, "h1", "left_semi").select(
+        "h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line_no").alias("l")
+    )
+    wanted = tables.settle(wanted)
     # Their words are read at the earliest place alone.
     there = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l"))
-    chosen = lines_of(docs, id_col, text_col).join(tables.hinted(wanted), there).withColumn("words", _words())
-    chosen = tables.settle(chosen.dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "first", "words"))
-    near = _verified(chosen, _candidates(chosen, tables))
-    near = tables.settle(near.select("h1", "h2").distinct())
+    chosen = lines_of(docs, id_col, text_col).join(wanted, there).withColumn("words", _words()).dropDuplicates(["h1", "h2"])
+    chosen = tables.settle(chosen.select(F.lit(0).alias("all"), *AT, "words"))
+    order = [F.col("doc_id").isNull().asc(), *(F.col(name).asc() for name in AT)]
+    chosen = tables.settle(places(chosen, "all", order, tables).select(F.col("index").alias("id"), *AT, "words"))
+    near = _verified(chosen, _candidates(chosen, tables)).select("id").distinct()
 
     # A first occurrence goes if an earlier line is near; all others go.
-    gone = distinct.join(tables.hinted(near), ["h1", "h2"], "left_semi").select("first.doc_id", "first.text_hash", "first.line_no", F.lit(True).alias("near"))
-    many = tables.settle(distinct.filter("first <> last").select("h1", "h2", "first"))
-    exact = occurrence.select("h1", "h2", "at").join(tables.hinted(many), ["h1", "h2"]).filter(F.col("at") != F.col("first"))
-    exact = exact.select("at.doc_id", "at.text_hash", "at.line_no", F.lit(False).alias("near"))
-    tables.drop(shared, close, wanted, chosen)
-    return exact.unionAll(gone).groupBy(*AT).agg(F.min("near").alias("near"))
+    gone = tables.settle(chosen.join(near, "id", "left_semi").select(*AT, F.lit(True).alias("near")))
+    exact = occurrence.select("h1", "h2", _order().alias("at")).join(firsts.filter("again").select("h1", "h2", "first"), ["h1", "h2"])
+    exact = exact.filter("at <> first").select("at.doc_id", "at.text_hash", "at.line_no", F.lit(False).alias("near"))
+    repeated = tables.settle(exact.unionAll(gone).groupBy(*AT).agg(F.min("near").alias("near")))
+    tables.drop(occurrence, firsts, shared, close, wanted, chosen, gone)
+    return repeated
 
 
 def _candidates(chosen: DataFrame, tables: Tables) -> DataFrame:
-    """(h1, h2, e1, e2, place): a line, an earlier one that it may be near to, and the place of the word of
+    """(id, earlier, place): a line, an earlier one that it may be near to, and the place of the word of
     the longer line (or of both) that differs."""
     # Lines go to their tasks before they are laid out as words, and stay there.
-    words = chosen.repartition("h1", "h2").select("h1", "h2", "n", "first", F.posexplode(F.split("words", " ")).alias("at", "word"))
-    line = Window.partitionBy("h1", "h2")
-    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-
-    def hashes(salt: str) -> tuple[Column, Column]:
-        """Hashes of a line and of it without this word, as words are hashed with their places."""
-        kept = F.xxhash64(F.lit(salt), "word", "at")
-        moved = F.xxhash64(F.lit(salt), "word", F.col("at") - 1)
-        before = F.bit_xor(kept).over(so_far).bitwiseXOR(kept)
-        after = F.bit_xor(moved).over(line).bitwiseXOR(F.bit_xor(moved).over(so_far))
-        return F.bit_xor(kept).over(line), before.bitwiseXOR(after)
-
-    (whole1, without1), (whole2, without2) = hashes("a"), hashes("b")
-    variants = tables.settle(
-        words.select("h1", "h2", "first", "n", F.col("at").alias("place"), without1.alias("v1"), without2.alias("v2"), whole1.alias("w1"), whole2.alias("w2"))
-    )
-
-    # Replaced words: same length, same place, same rest. The earliest of them stands for all earlier ones.
-    key = ["n", "place", "v1", "v2"]
-    who = F.struct("first", "h1", "h2")
-    same = variants.groupBy(*key).agg(F.min(who).alias("e"), F.max(who).alias("last")).filter("e <> last").drop("last")
-    same = tables.settle(same)
-    replaced = variants.join(same, key).filter(F.col("e.first") < F.col("first"))
-    replaced = replaced.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), "place")
+    words = chosen.repartition("id").select("id", F.posexplode(F.split("words", " ")).alias("place", "word"))
+    line = Window.partitionBy("id")
+    so_far = line.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    # Hashes of a line and of it without this word, as words are hashed with their places.
+    kept, moved = F.xxhash64("word", "place"), F.xxhash64("word", F.col("place") - 1)
+    before = F.bit_xor(kept).over(so_far).bitwiseXOR(kept)
+    after = F.bit_xor(moved).over(line).bitwiseXOR(F.bit_xor(moved).over(so_far))
+    whole = F.when(F.col("place") == 0, F.bit_xor(kept).over(line))
+    variants = tables.settle(words.select(before.bitwiseXOR(after).alias("key"), "place", "id", whole.alias("whole")))
+
+    # Replaced words: same place, same rest. The earliest of them stands for all earlier ones.
+    same = variants.groupBy("key", "place").agg(F.min("id").alias("earlier"), F.max("id").alias("last"))
+    same = tables.settle(same.filter("earlier <> last").drop("last"))
+    replaced = variants.join(same, ["key", "place"]).filter("earlier < id").select("id", "earlier", "place")
 
     # Inserted words: a shorter line is a variant of a longer one; a variant meets one line at most.
-    shorter = variants.filter("place = 0").select(
-        F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first").alias("s_first"), F.col("n").alias("s_n"),
-        F.col("w1").alias("v1"), F.col("w2").alias("v2"),
-    )
-    pairs = tables.settle(variants.drop("w1", "w2").join(shorter, ["v1", "v2"]).filter("n = s_n + 1"))
-    deleted = pairs.filter("s_first < first").select("h1", "h2", F.col("s1").alias("e1"), F.col("s2").alias("e2"), "place")
-    earliest = pairs.filter("first < s_first").groupBy("s1", "s2").agg(F.min(F.struct("first", "h1", "h2", "place")).alias("e"))
-    inserted = earliest.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.place").alias("place"))
-    found = tables.settle(replaced.unionAll(deleted).unionAll(inserted).dropDuplicates(["h1", "h2", "e1", "e2"]))
+    shorter = variants.filter(F.col("whole").isNotNull()).select(F.col("id").alias("short"), F.col("whole").alias("key"))
+    pairs = tables.settle(variants.join(shorter, "key").select("id", "short", "place"))
+    deleted = pairs.filter("short < id").select("id", F.col("short").alias("earlier"), "place")
+    earliest = pairs.filter("id < short").groupBy("short").agg(F.min(F.struct("id", "place")).alias("e"))
+    inserted = earliest.select(F.col("short").alias("id"), F.col("e.id").alias("earlier"), F.col("e.place").alias("place"))
+    found = tables.settle(replaced.unionAll(deleted).unionAll(inserted).dropDuplicates(["id", "earlier"]))
     tables.drop(variants, same, pairs)
     return found
 
 
 def _verified(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates whose words differ by one edit at the place found."""
-    one = chosen.select("h1", "h2", F.col("n").alias("n1"), F.split("words", " ").alias("w1"))
-    other = chosen.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("n2"), F.split("words", " ").alias("w2"))
-    both = candidates.join(one, ["h1", "h2"]).join(other, ["e1", "e2"])
+    words = F.split("words", " ")
+    one, other = chosen.select("id", words.alias("w1")), chosen.select(F.col("id").alias("earlier"), words.alias("w2"))
+    both = candidates.join(one, "id").join(other, "earlier")
 
-    def without(words: str, n: str) -> Column:
+    def without(words: str) -> Column:
         head = F.slice(words, F.lit(1), F.col("place"))
-        return F.concat(head, F.slice(words, F.col("place") + 2, F.col(n)))
+        return F.concat(head, F.slice(words, F.col("place") + 2, F.size(words)))
 
-    same = (F.col("n1") == F.col("n2")) & (without("w1", "n1") == without("w2", "n2"))
-    longer = (F.col("n1") == F.col("n2") + 1) & (without("w1", "n1") == F.col("w2"))
-    shorter = (F.col("n2") == F.col("n1") + 1) & (F.col("w1") == without("w2", "n2"))
+    n1, n2 = F.size("w1"), F.size("w2")
+    same = (n1 == n2) & (without("w1") == without("w2"))
+    longer = (n1 == n2 + 1) & (without("w1") == F.col("w2"))
+    shorter = (n2 == n1 + 1) & (F.col("w1") == without("w2"))
     return both.filter(same | longer | shorter)
 
 
+RESULTS = ("n_lines", "n_dropped", "n_near", "clean_text")
+
+
 def dedup_lines(
     docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`docs` with n_lines, n_dropped, n_near and clean_text: whole texts without the lines that an earlier
     line repeats (see `repeated_lines`). A text of which no line with a word is left becomes "".
 
-    Other columns are kept as they are. Null texts stay null and have no lines, as empty ones.
+    Other columns are kept as they are, whatever their names; columns called like a result give way to it. Null
+    texts stay null and have no lines, as empty ones. Texts and lines of any length are taken whole.
     Rows alike in id and text are one document: each keeps the same lines. Rows that share an id
     but not the text are told apart, and rows without an id come last. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "line-dedup")
+    kept_columns = [c for c in docs.columns if c not in RESULTS]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     gone = repeated_lines(docs, min_words, near_words, id_col, text_col)
     per_doc = gone.groupBy("doc_id", "text_hash").agg(
-        F.collect_list("line_no").alias("_gone"), F.sum(F.col("near").cast("long")).alias("_near")
+        F.collect_list("line_no").alias("gone"), F.sum(F.col("near").cast("long")).alias("near")
     )
-    per_doc = tables.settle(per_doc.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "_gone", "_near"))
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(per_doc, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    joined = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.transform(places, lambda i: F.element_at("_lines", i + 1))
+    per_doc = tables.settle(per_doc)
+    joined = rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    joined = joined.withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.transform(left, lambda i: F.element_at("lines", i + 1))
     any_word = F.exists(kept, lambda line: F.trim(F.regexp_replace(line, BLANKS, " ")) != "")
-    clean = F.when(F.col("_gone").isNull(), F.col(text_col)).when(any_word, F.array_join(kept, "\n")).otherwise("")
-    n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size("_lines")).cast("long")
+    clean = F.when(F.col("gone").isNull(), F.col("text")).when(any_word, F.array_join(kept, "\n")).otherwise("")
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("lines")).cast("long")
     return joined.select(
-        *docs.columns, n_lines.alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), F.lit(0)).alias("n_dropped"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"), clean.alias("clean_text"),
+        "row.*", n_lines.alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0)).alias("n_dropped"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), clean.alias("clean_text"),
     )
