@@ -285,6 +285,54 @@ def _segments_near(e, f, distance: float) -> Column:
     return reduce(lambda a, b: a | b, ends, _segments_meet(e, f))
 
 
+#: Sides of a literal geometry that one lattice cell should hold about.
+SIDES_PER_CELL = 4
+MOST_CELLS = 64
+
+
+def edge_lattice(edges: Sequence[tuple], box: tuple[float, float, float, float]) -> tuple[int, list[list[dict]]]:
+    """(cells along a side, sides in each cell row by row) of a lattice over the box; a side lies in every cell
+    that its own box touches. A few sides get a single cell."""
+    side = max(1, min(MOST_CELLS, len(edges) // SIDES_PER_CELL))
+    if side == 1:
+        return 1, []
+    cells: list[list[dict]] = [[] for _ in range(side * side)]
+    for x1, y1, x2, y2 in edges:
+        columns, rows = ((_cell_of(min(a, b), lo, hi, side), _cell_of(max(a, b), lo, hi, side)) for a, b, lo, hi in ((x1, x2, box[0], box[2]), (y1, y2, box[1], box[3])))
+        for row in range(rows[0], rows[1] + 1):
+            for column in range(columns[0], columns[1] + 1):
+                cells[row * side + column].append({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+    return side, cells
+
+
+def _cell_of(value: float, low: float, high: float, side: int) -> int:
+    """The cell of a value along one axis; values beyond the box count to the cell at its border."""
+    step = (high - low) / side
+    return min(side - 1, max(0, math.floor((value - low) / step))) if step > 0 else 0
+
+
+def _meets_in_cells(e: Column, cells: Column, side: int, box, buffer: float, meet) -> Column:
+    """Does a side meet one of the lattice, among those of the cells it touches itself?"""
+
+    def span(a: Column, b: Column, low: float, high: float) -> tuple[Column, Column, Column]:
+        step = (high - low) / side
+        first, last = F.least(a, b) - buffer, F.greatest(a, b) + buffer
+
+        def cell(value: Column) -> Column:
+            return F.least(F.greatest(F.floor((value - low) / step), F.lit(0)), F.lit(side - 1)) if step > 0 else F.lit(0).cast("long")
+
+        return cell(first), cell(last), (first <= high) & (last >= low)
+
+    x1, y1, x2, y2 = _fields(e)
+    left, right, across = span(x1, x2, box[0], box[2])
+    bottom, top, along = span(y1, y2, box[1], box[3])
+    found = F.exists(
+        F.sequence(bottom, top),
+        lambda row: F.exists(F.sequence(left, right), lambda column: F.exists(F.get(cells, (row * side + column).cast("int")), lambda f: meet(e, f))),
+    )
+    return across & along & found
+
+
 def geometries_intersect(geom: Column, shape: str | dict | Geometry) -> Column:
     """Does a geometry column meet a literal geometry? A line reaches as far as its buffer.
 
@@ -298,7 +346,12 @@ def geometries_intersect(geom: Column, shape: str | dict | Geometry) -> Column:
         e, f = _fields(e), _fields(f)
         return _segments_near(e, f, shape.buffer) if shape.buffer else _segments_meet(e, f)
 
-    borders = F.exists(own, lambda e: F.exists(other, lambda f: meet(e, f)))
+    side, held = edge_lattice(shape.edges, shape.box)
+    if side == 1:
+        borders = F.exists(own, lambda e: F.exists(other, lambda f: meet(e, f)))
+    else:
+        cells = F.from_json(F.lit(json.dumps(held)), f"array<{EDGE_TYPE}>")
+        borders = F.exists(own, lambda e: _meets_in_cells(e, cells, side, shape.box, shape.buffer, meet))
     tests = [borders]
     if shape.is_area:
         tests.append(

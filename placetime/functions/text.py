@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELD_SEPARATOR = "\x1f"
+# What counts as a number: a cast alone would take suffixes such as 12D as well.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 NULL_MARK = "\\N"
 
 
@@ -36,10 +38,16 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(FIELD_SEPARATOR, *parts))
 
 
+def strict_double(text: Column) -> Column:
+    """A number as written in full, blanks around it allowed; null for any other text."""
+    value = F.trim(text)
+    return F.when(value.rlike(NUMBER), value.try_cast("double"))
+
+
 def location_lat(location: Column) -> Column:
     """Latitude from text such as "(41.88, -87.73)"."""
-    return F.regexp_extract(location, r"\((.*),.*\)", 1).try_cast("double")
+    return strict_double(F.regexp_extract(location, r"\((.*),.*\)", 1))
 
 
 def location_lon(location: Column) -> Column:
-    return F.regexp_extract(location, r"\(.*,(.*)\)", 1).try_cast("double")
+    return strict_double(F.regexp_extract(location, r"\(.*,(.*)\)", 1))

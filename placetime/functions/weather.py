@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placetime.functions.text import NUMBER, strict_double
+
 # Marks for a missing number, traces of precipitation, compass points, codes.
 MISSING = ("M", "-", "err", "null", "")
 TRACE = "T"
@@ -22,10 +24,6 @@ PRESENT_WEATHER = (
 )
 
 
-# What counts as a number: a cast alone would take suffixes such as 12D as well.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def number(text: Column) -> Column:
     value = F.trim(text)
     return F.when(~value.isin(*MISSING) & value.rlike(NUMBER), value.try_cast("double"))
@@ -58,7 +56,7 @@ def wind(speed: Column, direction: Column) -> tuple[Column, Column]:
     """Direction (rounded degrees or VRB, as text) and compass point; both null in a calm."""
     mark = F.trim(direction)
     variable = mark.isin(*VARIABLE_MARKS)
-    degrees = F.rint(mark.try_cast("double")).cast("int")
+    degrees = F.rint(strict_double(mark)).cast("int")
     calm = F.coalesce(speed == 0, F.lit(False))
     known = ~calm & ~mark.isin("", "-")
     text = F.when(known & variable, F.lit("VRB")).when(known, degrees.cast("string"))

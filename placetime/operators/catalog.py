@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placetime.functions.geometry import Geometry, box_polygon, geometries_intersect, geometry, geometry_struct
 from placetime.functions.timeparts import ts_lit
@@ -133,11 +134,28 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def largest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One whole row per key, the largest by the other columns in their order; maxima combine map side."""
-    others = [c for c in df.columns if c not in keys]
+    """One whole row per key, the largest by the other columns in their order; maxima combine map side.
+
+    Columns that have no order of their own, as maps, are compared as JSON.
+    """
+    others = [f for f in df.schema.fields if f.name not in keys]
     if not others:
         return df.distinct()
-    row = F.max(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row")
-    best = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(row)
-    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{f.name}`") for f in others])
+    if all(_orderable(f.dataType) for f in others):
+        best = F.max(row)
+    else:
+        best = F.max_by(row, F.struct(*[
+            F.col(f"`{f.name}`") if _orderable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) for f in others
+        ]))
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(best.alias("_row"))
+    return found.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`") for c in df.columns])

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placetime.functions.text import location_lat, location_lon, row_hash
+from placetime.functions.text import location_lat, location_lon, row_hash, strict_double
 from placetime.operators.catalog import dataset_extent, largest_per_key, shape_extent
+from placetime.operators.layout import along_curve
 from placetime.sources.points import PointRoles, parse_instant
 
 DERIVED = ("hash", "point_date", "lon", "lat", "geom")
@@ -28,10 +29,15 @@ def _instant(df: DataFrame, name: str) -> Column:
     return parse_instant(column) if isinstance(df.schema[name].dataType, T.StringType) else column.cast("timestamp_ntz")
 
 
+def _coordinate(df: DataFrame, name: str) -> Column:
+    column = F.col(f"`{name}`")
+    return strict_double(column) if isinstance(df.schema[name].dataType, T.StringType) else column.cast("double")
+
+
 def derive_point(df: DataFrame, roles: PointRoles) -> DataFrame:
     """Adds `point_date`, `lon`, `lat`; a place needs both coordinates, and (0, 0) is no place."""
     if roles.lat and roles.lon:
-        lon, lat = F.col(f"`{roles.lon}`").try_cast("double"), F.col(f"`{roles.lat}`").try_cast("double")
+        lon, lat = _coordinate(df, roles.lon), _coordinate(df, roles.lat)
     else:
         text = F.col(f"`{roles.location}`")
         lon, lat = location_lon(text), location_lat(text)
@@ -45,8 +51,8 @@ def derive_point(df: DataFrame, roles: PointRoles) -> DataFrame:
 def ingest_points(df: DataFrame, roles: PointRoles, path: str | None = None) -> DataFrame:
     """A point dataset from typed rows: deduplicated, hashed, placed in time and space.
 
-    With a `path` the result replaces what is stored there, as a refresh rebuilds a dataset:
-    sorted inside files by date and place, which lets parquet skip row groups.
+    With a `path` the result replaces what is stored there, as a refresh rebuilds a dataset, laid
+    out along a curve through date and place (see `layout`), which lets filters skip files.
     """
     # The user's own coordinate columns may already be called lon and lat.
     taken = {"lon", "lat", "point_date"} & set(df.columns)
@@ -64,7 +70,7 @@ def ingest_points(df: DataFrame, roles: PointRoles, path: str | None = None) ->
     points = derive_point(dedup_hash(raw), roles)
     if path is None:
         return points
-    points.sortWithinPartitions("point_date", "lon", "lat").write.mode("overwrite").parquet(path)
+    along_curve(points).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placetime.functions.timeparts import micros
 from placetime.operators.network import sensor_properties
-from placetime.plans.sizing import BROADCAST_BYTES, HOT_ROWS, broadcast_if_small, fits, hot_groups, settled, split_join, with_pieces
+from placetime.plans.sizing import HOT_ROWS, broadcast_if_small, hot_of, settled, with_pieces
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
 RESULTS = 3
 
-# Lattices for the neighbour search: cell sizes in degrees, coarse to fine. The coarsest has
-# one cell for the whole globe.
-CELL_SIZES = tuple(1024.0 / 2**level for level in range(21))
-ORIGIN = -512.0
-CELL_ROW_BYTES = 64
-BLOCKS_PER_CELL = 4
+# The neighbour search halves a square around all nodes again and again; a cell of level i is one of
+# 4 ** i along a side. Cells of at most `LEAF` nodes are not divided, nor those of the last level.
+SPLIT = 4
+LEAF = 8
+DEEPEST = 14
+# Levels of so many cells at most (1.2 MB) are broadcast.
+BROADCAST_LEVELS = 3
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -40,85 +44,106 @@ def reporting_nodes(
     return nodes.join(carrying, ["network", "node"], "left_semi")
 
 
-def _on_levels(df: DataFrame, x: str, y: str, shift: float = 0.0) -> DataFrame:
-    """One row per lattice with the cell of a place, or with the lower cell of the block around a
-    place moved down by half a cell."""
-    cell = "CAST(floor(({v} - {o}D) / {s}D - {shift}D) AS BIGINT)"
-    cells = [
-        f"struct({i} AS level, " + ", ".join(f"{cell.format(v=v, o=ORIGIN, s=s, shift=shift)} AS {n}" for v, n in ((x, "cx"), (y, "cy"))) + ")"
-        for i, s in enumerate(CELL_SIZES)
-    ]
-    spread_out = df.select("*", F.expr(f"explode(array({', '.join(cells)}))").alias("_c"))
-    return spread_out.select(*df.columns, "_c.level", "_c.cx", "_c.cy")
+def _sides_away(at: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Distance on one axis to the nearer and the farther end of a range."""
+    return F.greatest(low - at, at - high, F.lit(0.0)), F.greatest(high - at, at - low)
 
 
-def knn_nodes(
-    queries: DataFrame,
-    nodes: DataFrame,
-    k: int = NEIGHBOURS,
-    key: str = "query_id",
-    limit: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """(key, network, node, distance, rank) of the k nearest nodes for every query point.
+def _bounds(df: DataFrame) -> DataFrame:
+    """Adds the least and the greatest distance of the query at (qx, qy) to a node of the cell."""
+    (near_x, far_x), (near_y, far_y) = _sides_away(F.col("qx"), F.col("x0"), F.col("x1")), _sides_away(F.col("qy"), F.col("y0"), F.col("y1"))
+    zero = F.lit(0.0)
+    return df.withColumn("lower", distance(near_x, near_y, zero, zero)).withColumn("upper", distance(far_x, far_y, zero, zero))
 
-    Exact, and without pairing everything. Nodes are first counted per block of 2 by 2 cells, on
-    lattices of several sizes. A query takes the finest lattice on which the block around it
-    holds k nodes; the k nearest are then no farther than that block's farthest corner, so only
-    nodes in cells within that radius are ranked. Ties share a rank; the k-th place goes to the
-    smallest names.
+
+CELL = ["level", "cx", "cy"]
+CELL_BOX = ["n", "x0", "x1", "y0", "y1"]
+
+
+def _cells(placed: DataFrame, k: int, levels: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes with a cell per level, cells with their number of nodes and the box around these, depth).
+
+    Tries as many levels as evenly spread nodes would need and a few more; twice as many if that left crowded cells.
     """
-    placed = nodes.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
-        "network", "node", F.col("lon").alias("_nx"), F.col("lat").alias("_ny")
-    )
-    placed = settled(placed, "nodes")  # counted, then read twice
-    asked = queries.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
-        key, F.col("lon").alias("_qx"), F.col("lat").alias("_qy")
-    )
-    cell = ["level", "cx", "cy"]
-    located = _on_levels(placed, "_nx", "_ny")
-    lower = F.array(F.lit(-1), F.lit(0))
-    blocks = located.select("level", "cx", F.explode(F.transform(lower, lambda i: F.col("cy") + i)).alias("cy")).select(
-        "level", F.explode(F.transform(lower, lambda i: F.col("cx") + i)).alias("cx"), "cy"
-    )
-    crowded = blocks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*cell)
-    # One measurement serves both tables: they grow with the nodes by known factors.
-    small = fits(placed, len(CELL_SIZES) * BLOCKS_PER_CELL * CELL_ROW_BYTES, limit)
-    if small:
-        crowded, located = F.broadcast(crowded), F.broadcast(located)
-    level = _on_levels(asked, "_qx", "_qy", 0.5).join(crowded, cell, "left_semi").groupBy(key).agg(F.max("level").alias("level"))
-    # Where no block holds k nodes there are fewer than k of them, and the coarsest lattice serves.
-    leveled = asked.join(level, key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    size = F.element_at(F.array(*[F.lit(s) for s in CELL_SIZES]), F.col("level") + 1)
-    sized = leveled.withColumn("_s", size)
-
-    def reach(value: Column) -> Column:
-        """Distance on one axis to the farther side of the block."""
-        start = F.floor((value - ORIGIN) / F.col("_s") - 0.5) * F.col("_s") + ORIGIN
-        return F.greatest(value - start, start + 2 * F.col("_s") - value)
-
-    x, y = F.col("_qx"), F.col("_qy")
-    corner = distance(reach(x), reach(y), F.lit(0.0), F.lit(0.0)) * (1 + 1e-9)
-    ranged = sized.withColumn("_r", F.when(F.col("level") == 0, 2 * CELL_SIZES[0]).otherwise(corner))
-
-    def cells_within(value: Column) -> Column:
-        ends = [F.floor((value + sign * F.col("_r") - ORIGIN) / F.col("_s")).cast("long") for sign in (-1, 1)]
-        return F.explode(F.sequence(*ends))
-
-    candidates = ranged.select("*", cells_within(x).alias("cx")).select("*", cells_within(y).alias("cy"))
-    gap = distance(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
-    met = candidates.join(located, cell) if small else split_join(candidates, located, cell, [key, "_qx", "_qy"], hot_rows)
-    pairs = (
-        met.select(key, "network", "node", "_r", gap.alias("distance"))
-        .filter(F.col("distance") <= F.col("_r"))
-        .drop("_r")
+    x0, y0, x1, y1, n = placed.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count(F.lit(1))).first()
+    if not n:
+        return placed, placed, 0
+    side = max(x1 - x0, y1 - y0)
+    deepest = min(DEEPEST, levels or 2 + math.ceil(math.log(n / LEAF + 1, SPLIT * SPLIT))) if side > 0 else 1
+
+    def cell(value: str, start: float, parts: int) -> str:
+        return f"CAST(least(floor(({value} - {start!r}D) / {side or 1.0!r}D * {parts}), {parts - 1}) AS BIGINT)"
+
+    by_level = ", ".join(
+        f"struct({i} AS level, {cell('x', x0, SPLIT**i)} AS cx, {cell('y', y0, SPLIT**i)} AS cy)" for i in range(1, deepest + 1)
     )
+    located = placed.select("*", F.expr(f"explode(array({by_level}))").alias("c")).select(*placed.columns, "c.*")
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    cells = settled(located.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *box), "cells")
+    crowded = cells.filter(F.col("n") > LEAF).agg(F.max("level")).first()[0] or 0
+    if crowded == deepest and levels is None and deepest > 1:
+        # Of nodes at the same place only the k with the smallest names can count.
+        at_place = Window.partitionBy("x", "y").orderBy("network", "node")
+        fewer = placed.withColumn("place", F.row_number().over(at_place)).filter(F.col("place") <= k).drop("place")
+        return _cells(settled(fewer, "nodes"), k, DEEPEST)
+    depth = min(crowded + 1, deepest)
+    return located.filter(F.col("level") <= depth), cells, depth
+
+
+def knn_nodes(queries: DataFrame, nodes: DataFrame, k: int = NEIGHBOURS, key: str = "query_id") -> DataFrame:
+    """(key, network, node, distance, rank) of the k nearest nodes for every query point.
+
+    Exact, by branch and bound over nested cells, all queries at once, level by level. For each cell the box around
+    its nodes bounds their distances from both sides. The cells with the least upper bounds that hold k nodes
+    together give the distance beyond which no neighbour lies; cells that begin farther away are
+    dropped, the others divided. So what is left of a level is a few cells around the k-th neighbour, wherever
+    the query lies. Ties share a rank; the k-th place goes to the smallest names.
+    """
+    placed = nodes.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("network", "node", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    placed = settled(placed, "nodes")
+    asked = queries.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.col("lon").alias("qx"), F.col("lat").alias("qy"))
+    located, cells, depth = _cells(placed, k)
+    if depth == 0:
+        none = F.lit(None).cast("string")
+        return asked.filter(F.lit(False)).select(key, none.alias("network"), none.alias("node"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+
+    # The first level has at most 16 cells; every query begins with all of them.
+    top = cells.filter("level = 1").select(*CELL, *CELL_BOX)
+    rows = json.dumps([row.asDict() for row in top.collect()])
+    front = asked.select("*", F.explode(F.from_json(F.lit(rows), T.ArrayType(top.schema))).alias("c")).select(key, "qx", "qy", "c.*")
+    front = _pruned(_bounds(front), key, k)
+    for level in range(2, depth + 1):
+        below = cells.filter(F.col("level") == level).select(
+            F.expr(f"cx div {SPLIT}").alias("px"), F.expr(f"cy div {SPLIT}").alias("py"), *[F.col(c).alias(f"_{c}") for c in [*CELL, *CELL_BOX]]
+        )
+        if level <= BROADCAST_LEVELS:
+            below = F.broadcast(below)
+        # Cells that are not divided meet nothing, under keys of their own that fall apart.
+        open_ = (F.col("level") == level - 1) & (F.col("n") > LEAF)
+        own = -1 - F.pmod(F.xxhash64(key), F.lit(1 << 30))
+        to = front.withColumn("jx", F.when(open_, F.col("cx")).otherwise(own)).withColumn("jy", F.when(open_, F.col("cy")).otherwise(own))
+        grown = to.join(below, (F.col("jx") == F.col("px")) & (F.col("jy") == F.col("py")), "left")
+        grown = grown.select(key, "qx", "qy", *[F.coalesce(f"_{c}", c).alias(c) for c in [*CELL, *CELL_BOX]])
+        front = _pruned(_bounds(grown), key, k)
+
+    gap = distance(F.col("qx"), F.col("qy"), F.col("x"), F.col("y"))
+    met = front.select(key, "qx", "qy", *CELL, "reach").join(located, CELL)
+    pairs = met.select(key, "network", "node", "reach", gap.alias("distance")).filter(F.col("distance") <= F.col("reach")).drop("reach")
     by_query = Window.partitionBy(key)
     place = F.row_number().over(by_query.orderBy("distance", "network", "node"))
     ranked = pairs.withColumn("_place", place).filter(F.col("_place") <= k)
     return ranked.withColumn("rank", F.rank().over(by_query.orderBy("distance"))).drop("_place")
 
 
+def _pruned(cells: DataFrame, key: str, k: int) -> DataFrame:
+    """A query's cells that may hold one of its k nearest nodes, with `reach`, a distance that holds k of them."""
+    by_query = Window.partitionBy(key)
+    nearer = by_query.orderBy("upper").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = F.when(F.sum("n").over(nearer) >= k, F.col("upper"))
+    bounded = cells.withColumn("enough", enough).withColumn("reach", F.coalesce(F.min("enough").over(by_query), F.lit(float("inf"))))
+    return bounded.filter(F.col("lower") <= F.col("reach")).drop("enough", "lower", "upper")
+
+
 def nearest_node(nodes: DataFrame, lon: float, lat: float, k: int = NEIGHBOURS) -> DataFrame:
     """The k nearest nodes of a single place: a top-k per task, then a merge of k rows each."""
     gap = distance(F.col("lon"), F.col("lat"), F.lit(float(lon)), F.lit(float(lat)))
@@ -144,31 +169,37 @@ def nearest_in_time(
     too many observations are cut into pieces, each visited by the slot's queries; slots with
     too many queries have their observations repeated per piece instead.
 
+    Only node, time, tie and a hash of the row travel; the rows found are read once more by these.
+
     Equally close observations: the earlier one first, then the one whose neighbours in the
     (time, tie) order are closer to the query.
     """
     keys = list(key)
+    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") if _hashed(f.dataType) else F.to_json(F.struct(f"`{f.name}`")) for f in obs.schema.fields])
     slot_of = F.floor(F.col("_t") / HALF_WINDOW_MICROS)
 
     def seen_of(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            "node_id", micros(F.col("datetime")).alias("_t"), F.struct(*obs.columns).alias("_o"), F.struct(*tie).alias("_tie")
-        ).withColumn("slot", slot_of)
+        return rows.select("node_id", micros(F.col("datetime")).alias("_t"), row_hash.alias("_o"), F.struct(*tie).alias("_tie")).withColumn(
+            "slot", slot_of
+        )
 
     asked = queries.select(*keys, "node_id", micros(F.col("instant")).alias("_t"))
     visits = asked.withColumn("slot", F.explode(F.array(*[slot_of + i for i in (-1, 0, 1)])))
     place = ["node_id", "slot"]
 
     # Only slots that are asked for take part, and only instants near any query leave the scan.
-    wanted = settled(visits.select(*place).distinct(), "asked-slots")
     ends = asked.agg(F.min("_t").alias("first"), F.max("_t").alias("last"))
     near_any = obs.filter(
         (F.col("datetime") >= F.timestamp_micros(ends.select(F.col("first") - HALF_WINDOW_MICROS).scalar()).cast("timestamp_ntz"))
         & (F.col("datetime") <= F.timestamp_micros(ends.select(F.col("last") + HALF_WINDOW_MICROS).scalar()).cast("timestamp_ntz"))
     )
-    seen = seen_of(near_any).join(broadcast_if_small(wanted, F.octet_length("node_id") + 24), place, "left_semi")
-
-    dense, busy = hot_groups(seen, place, hot_rows), hot_groups(visits, place, hot_rows)
+    seen = seen_of(near_any)
+    # One count tells which slots are asked for and which are crowded, on either side.
+    both = seen.select(*place, F.lit(1).alias("s"), F.lit(0).alias("v")).unionAll(visits.select(*place, F.lit(0).alias("s"), F.lit(1).alias("v")))
+    counted = both.groupBy(*place).agg(F.sum("s").alias("s"), F.sum("v").alias("v")).filter("s > 0 AND v > 0")
+    counted = settled(counted, "slots")
+    dense, busy = hot_of(counted, place, "s", hot_rows), hot_of(counted, place, "v", hot_rows)
+    seen, visits = (side.join(counted.select(*place), place, "left_semi") for side in (seen, visits))
     seen = with_pieces(seen, place, ["_t", "_tie"], own=dense, other=busy)
     visits = with_pieces(visits, place, ["_t", *keys], own=busy, other=dense)
     seen = seen.withColumnsRenamed({"own_piece": "po", "other_piece": "pq"})
@@ -205,8 +236,16 @@ def nearest_in_time(
     gap = F.abs(F.col("_n._t") - F.col("_now"))
     window = Window.partitionBy(*keys, "node_id").orderBy(gap, F.col("_n._t"), *tie_order)
     ranked = pairs.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= results)
-    values = [F.col(f"_n._o.`{c}`").alias(c) for c in obs.columns if c not in {*keys, "node_id"}]
-    return ranked.select(*keys, "node_id", *values, gap.alias("gap"), "place")
+    winners = ranked.select(*keys, "node_id", F.col("_n._t").alias("_t"), F.col("_n._o").alias("_o"), gap.alias("gap"), "place")
+    values = [c for c in obs.columns if c not in {*keys, "node_id"}]
+    rows = near_any.select("node_id", micros(F.col("datetime")).alias("_t"), row_hash.alias("_o"), *[F.col(f"`{c}`") for c in values])
+    # Rows alike in everything are interchangeable, and each is met by all of them.
+    found = winners.join(rows, ["node_id", "_t", "_o"]).dropDuplicates([*keys, "node_id", "place"])
+    return found.select(*keys, "node_id", *values, "gap", "place")
+
+
+def _hashed(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
 
 
 def nearest_observations(

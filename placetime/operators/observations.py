@@ -6,18 +6,19 @@ property.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placetime.functions.timeparts import bucket, check_unit, ts_lit
 from placetime.operators.dense import dense_runs
 from placetime.operators.filters import compile_tree, condition
-from placetime.operators.points import newest
-from placetime.plans.sizing import HOT_ROWS, hot_groups
+from placetime.operators.paging import newest
+from placetime.plans.sizing import HOT_ROWS, hot_groups, settled
 
 META_COLUMNS = ("node_id", "datetime", "meta_id", "sensor")
 
@@ -76,11 +77,17 @@ def with_results(obs: DataFrame, feature: str) -> DataFrame:
     )
 
 
-def merge_features(by_feature: Mapping[str, DataFrame], limit: int | None = 1000, offset: int = 0, **filters) -> DataFrame:
+def merge_features(
+    by_feature: Mapping[str, DataFrame],
+    limit: int | None = 1000,
+    offset: int = 0,
+    tie: Sequence[str] = ("feature", "node_id", "sensor"),
+    **filters,
+) -> DataFrame:
     """Observations of several features together, newest first; absent properties are null."""
     tagged = [select_observations(df, **filters).withColumn("feature", F.lit(name)) for name, df in by_feature.items()]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return newest(whole, "datetime", ("feature", "node_id", "sensor"), limit, offset)
+    return newest(whole, "datetime", tie, limit, offset)
 
 
 def numeric_properties(obs: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
@@ -143,47 +150,61 @@ def node_aggregate(
     return usual.unionByName(merged.select(*usual.columns))
 
 
-def _large_medians(df: DataFrame, keys: Sequence[str], name: str, accuracy: int = 1000) -> DataFrame:
-    """Exact medians of groups too large for one task.
+BINS = 4096
+
 
-    A sketch brackets the median: its rank error is at most 1/accuracy, so the bounds asked
-    for two errors to either side should enclose it, which counts confirm. Only values between the bounds are ranked, and
-    equal ones are counted first; values below are merely counted.
+def _large_medians(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Exact medians of groups too large for one task, by counts alone.
+
+    A bracket (low, high) around the middle of each group is cut into bins of equal width; the number of values per
+    bin, with their least and greatest, combines map side and tells which bin holds the middle and where in it.
+    Its least and greatest value are the next bracket. Values equal to an end of the bracket have a bin of their own, so
+    every pass narrows it; it ends when both are the same. No group is ranked, sorted or gathered anywhere.
+    NaN is greater than any number.
     """
+    keys = list(keys)
     value = F.col(f"`{name}`").cast("double")
     known = df.select(*keys, value.alias("v")).filter(F.col("v").isNotNull())
-    low, high = 0.5 - 2.0 / accuracy, 0.5 + 2.0 / accuracy
-    bracket = known.groupBy(*keys).agg(
-        F.percentile_approx("v", [low, high], accuracy).alias("b"), F.count(F.lit(1)).alias("n")
-    )
-    bounds = F.broadcast(bracket.select(*keys, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi")))
-    placed = known.join(bounds, list(keys))
-    first = F.floor((F.col("n") + 1) / 2)
-    second = F.floor((F.col("n") + 2) / 2)
-    counts = placed.groupBy(*keys).agg(
-        F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v") <= F.col("hi")).alias("within"),
-        F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+    number = ~F.isnan("v")
+    extent = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(number).alias("numbers"),
+        F.min(F.when(number, F.col("v"))).alias("low"), F.max(F.when(number, F.col("v"))).alias("high"),
     )
-    # A group whose middle the sketch missed is ranked whole.
-    holds = (F.col("below") < first) & (F.col("within") >= second)
-    checked = counts.select(
-        *keys, "n", F.when(holds, F.col("below")).otherwise(0).alias("below"),
-        F.when(holds, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"), F.when(holds, F.col("hi")).alias("hi"),
-    )
-    below = checked.select(*keys, "n", "below")
-    middle = (
-        known.join(F.broadcast(checked.select(*keys, "lo", "hi")), list(keys))
-        .filter((F.col("v") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
-        .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+    # The two middle values, the same one for an odd number; each has its place from 1 on in its bracket.
+    middles = F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
+    state = extent.select(*keys, "numbers", "low", "high", F.posexplode(middles).alias("which", "rank"))
+    beyond = F.col("rank") > F.col("numbers")
+    nan = F.lit(float("nan"))
+    state = state.select(
+        *keys, "which", "rank", F.when(beyond, nan).otherwise(F.col("low")).alias("low"), F.when(beyond, nan).otherwise(F.col("high")).alias("high")
     )
-    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = middle.join(below, list(keys)).withColumn("upto", F.col("below") + F.sum("c").over(running))
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= rank, F.col("v")))
-
-    return ranked.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(name))
+    state = settled(state, "medians")
+    while not (open_ := state.filter("low < high")).isEmpty():
+        state = settled(_narrowed(known.filter(number), open_, keys).unionByName(state.filter("NOT low < high")), "medians")
+    return state.groupBy(*keys).agg(F.avg("low").alias(name))
+
+
+def _narrowed(known: DataFrame, open_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The brackets after one more count; there are two per crowded group, few enough to broadcast."""
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    most = F.lit(sys.float_info.max)
+    held = [F.greatest(F.least(c, most), -most) / 2 for c in (v, low, high)]
+    share = (held[0] - held[1]) / (held[2] - held[1])
+    inner = F.least(F.floor(share * (BINS - 2)), F.lit(BINS - 3)) + 1
+    bin_ = F.when(v == low, 0).when(v == high, BINS - 1).otherwise(F.coalesce(inner, F.lit(1))).cast("int")
+    inside = known.join(F.broadcast(open_), list(keys)).filter((v >= low) & (v <= high))
+    bins = inside.groupBy(*keys, "which", "rank", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+    # At most BINS entries a group.
+    rows = bins.groupBy(*keys, "which", "rank").agg(F.sort_array(F.collect_list(F.struct("bin", "c", "low", "high"))).alias("bins"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("struct<rank:long,low:double,high:double>").alias("found"))
+
+    def step(at: Column, one: Column) -> Column:
+        here = at["found"].isNull() & (at["seen"] + one["c"] >= F.col("rank"))
+        found = F.struct((F.col("rank") - at["seen"]).alias("rank"), one["low"].alias("low"), one["high"].alias("high"))
+        return F.struct((at["seen"] + one["c"]).alias("seen"), F.when(here, found).otherwise(at["found"]).alias("found"))
+
+    picked = rows.select(*keys, "which", F.aggregate("bins", start, step)["found"].alias("found"))
+    return picked.select(*keys, "which", "found.rank", "found.low", "found.high")
 
 
 def fill_gaps(aggregates: DataFrame, unit: str, start, end) -> DataFrame:

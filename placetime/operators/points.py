@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placetime.functions.geometry import point_geojson, point_in
 from placetime.functions.timeparts import JSON_OPTIONS, ts_lit
 from placetime.operators.filters import compile_tree, time_of_day
+from placetime.operators.paging import newest
 
 DERIVED = ("point_date", "hash", "lon", "lat")
 
@@ -37,17 +38,6 @@ def select_points(
     return points
 
 
-def newest(df: DataFrame, ts: str, tie: Sequence[str], limit: int | None = 1000, offset: int = 0) -> DataFrame:
-    """Newest rows first, missing dates leading; offset counts before limit.
-
-    Runs as a top-k per task and one merge of at most offset + limit rows.
-    """
-    ordered = df.orderBy(F.col(ts).desc_nulls_first(), *[F.col(c).asc() for c in tie])
-    if offset:
-        ordered = ordered.offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
-
-
 def detail(
     points: DataFrame, limit: int = 1000, offset: int = 0, tie: Sequence[str] = ("hash",), max_limit: int | None = None, **filters
 ) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from placetime.functions import metar, weather
 from placetime.functions.geometry import point_geojson
+from placetime.functions.text import strict_double
 from placetime.functions.timeparts import month_bounds, ts_lit
 from placetime.operators.catalog import first_per_key, largest_per_key
 from placetime.operators.filters import compile_arguments
-from placetime.operators.points import newest
+from placetime.operators.paging import newest, newest_order
 from placetime.plans.sizing import broadcast_if_small
 
 # Order of arrival of raw lines, where the first one counts.
@@ -181,7 +182,7 @@ def clean_stations(raw: DataFrame) -> DataFrame:
     The first line is found by a minimum that combines map side, so many lines of one station
     never meet in one task.
     """
-    lat, lon, elevation = (F.regexp_replace(F.col(c), r"\+", "").try_cast("double") for c in ("lat", "lon", "elevation"))
+    lat, lon, elevation = (strict_double(F.regexp_replace(F.col(c), r"\+", "")) for c in ("lat", "lon", "elevation"))
     placed = raw.filter((F.col("wban_code") != "99999") & lat.isNotNull() & lon.isNotNull())
     typed = placed.select(
         "wban_code",
@@ -257,7 +258,7 @@ def weather_query(
     page = newest(known, ts, tie, limit, offset)
     renamed = stations.select("wban_code", *[F.col(c).alias(f"station_{c}") for c in stations.columns if c != "wban_code"])
     # A shuffled join loses the order of the page.
-    return page.join(renamed, "wban_code").orderBy(F.col(ts).desc_nulls_first(), *[F.col(c).asc() for c in tie])
+    return page.join(renamed, "wban_code").orderBy(*newest_order(ts, tie))
 
 
 def station_query(stations: DataFrame, arguments: Mapping[str, object] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from placetime.operators.grid import grid_count
 from placetime.plans.derived import derive, duck
 from placetime.plans.registry import query
 from placetime.session import scratch_path
-from placetime.sources import exports
+from placetime.sources import exports, store
 from placetime.sources.points import read_points
 
 EVENT_START, EVENT_END = "2024-01-05 06:30:00", "2024-01-24 18:00:00"
@@ -344,6 +344,38 @@ def timeseries_stacked(spark, sf):
     return ts.stacked_panel(_orders(spark, sf), "month", ORDER_START, ORDER_END, by="o_orderpriority", tree=tree)
 
 
+_CATALOG_NAMES = "'ds' || CAST(o_custkey % 40 AS {t})"
+_MONTHS = (
+    "kept AS (SELECT dataset_name, CAST(date_trunc('month', point_date) AS TIMESTAMP) AS time_bucket FROM named JOIN found USING (dataset_name)"
+    f" WHERE point_date >= TIMESTAMP '{ORDER_START}' AND point_date <= TIMESTAMP '{ORDER_END}' AND {_RECT_SQL}),"
+    " counts AS (SELECT dataset_name, time_bucket, count(*) AS n FROM kept GROUP BY ALL),"
+    " totals AS (SELECT dataset_name, count(*) AS total FROM kept GROUP BY ALL),"
+    f" series AS (SELECT unnest(generate_series(date_trunc('month', TIMESTAMP '{ORDER_START}'), date_trunc('month', TIMESTAMP '{ORDER_END}'),"
+    " INTERVAL 1 MONTH)) AS time_bucket)"
+)
+
+
+@query(
+    "timeseries_catalog",
+    duck("order_points")
+    + f", named AS (SELECT *, {_CATALOG_NAMES.format(t='VARCHAR')} AS dataset_name FROM order_points),"
+    f" found AS (SELECT DISTINCT dataset_name FROM named WHERE o_custkey % 40 % 3 > 0), {_MONTHS}"
+    " SELECT t.dataset_name, s.time_bucket, COALESCE(n, 0) AS count, total FROM totals t CROSS JOIN series s"
+    " LEFT JOIN counts c ON c.dataset_name = t.dataset_name AND c.time_bucket = s.time_bucket",
+)
+def timeseries_catalog(spark, sf):
+    """Forty stored datasets, found through their catalog and counted in one scan; a third of them isn't approved."""
+    root = scratch_path(spark, "datasets")
+    named = _orders(spark, sf).withColumn("dataset_name", F.expr(_CATALOG_NAMES.format(t="STRING")))
+    named.select("hash", "point_date", "lon", "lat", "dataset_name").write.partitionBy("dataset_name").parquet(root)
+    extents = named.groupBy("dataset_name", (F.col("o_custkey") % 40 % 3 > 0).alias("approved_status")).agg(
+        F.min("point_date").alias("obs_from"), F.max("point_date").alias("obs_to"), F.min("lon").alias("xmin"),
+        F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"),
+    )
+    catalog = extents.withColumn("date_added", F.col("obs_from"))
+    return store.catalog_panel(catalog, root, "month", ORDER_START, ORDER_END, RECTANGLE)
+
+
 @query(
     "timeseries_pivot",
     "WITH long AS (" + panel_sql() + ") SELECT CAST(time_bucket AS DATE) AS temporal_group,"

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from placetime.operators import nearest
 from placetime.operators import network as net
 from placetime.operators import observations as ob
+from placetime.operators import paging
 from placetime.plans.derived import derive, duck, lat, lon, text
 from placetime.plans.point_queries import RECTANGLE, lit
 from placetime.plans.registry import query
 from placetime.session import scratch_path
 from placetime.sources import exports
+from placetime.sources import observations as store
 
 SHIP_START, SHIP_END = "1996-02-10 12:00:00", "2000-11-03 08:30:00"
 EVENT_START, EVENT_END = "2024-01-03 10:15:00", "2024-01-27 05:40:00"
@@ -41,6 +43,47 @@ def obs_query(spark, sf):
     )
 
 
+@query(
+    "obs_store",
+    duck("event_obs")
+    + "SELECT * FROM event_obs WHERE datetime >= TIMESTAMP '2024-01-03 10:15:00' AND datetime < TIMESTAMP '2024-01-27 05:40:00'"
+    " AND node_id IN ('n3', 'n4', 'n15')",
+)
+def obs_store(spark, sf):
+    """Observations written by day in two parts, the second one twice, and some of them read back."""
+    path = scratch_path(spark, "observations")
+    events = _events(spark, sf)
+    early = F.col("datetime") < F.lit("2024-01-12").cast("timestamp_ntz")
+    store.write_observations(events.filter(early), path)
+    for _ in range(2):
+        store.write_observations(events.filter(~early), path, "overwrite")
+    return store.read_observations(spark, path, EVENT_START, EVENT_END, ["N3", "n4", "n15"], events.schema)
+
+
+_DEEP = "SELECT * FROM event_obs ORDER BY datetime DESC, meta_id LIMIT {limit} OFFSET {offset}"
+
+
+@query("obs_page_deep", duck("event_obs") + _DEEP.format(limit="(SELECT count(*) // 3 FROM events)", offset="(SELECT count(*) // 2 FROM events)"))
+def obs_page_deep(spark, sf):
+    """A third of all rows from the middle on, cut from ranges."""
+    events = _events(spark, sf)
+    n = events.count()
+    return paging.cut(events, paging.newest_order("datetime", ["meta_id"]), n // 2, n // 3)
+
+
+@query(
+    "obs_page_after",
+    duck("event_obs") + ", numbered AS (SELECT *, row_number() OVER (ORDER BY datetime DESC, meta_id) AS place FROM event_obs)"
+    " SELECT * EXCLUDE (place) FROM numbered WHERE place > 1000 AND place <= 2000",
+)
+def obs_page_after(spark, sf):
+    """The second page of 1000, found from the first one's last row."""
+    events = _events(spark, sf)
+    first = paging.newest(events, "datetime", ["meta_id"], 1000).select("datetime", "meta_id")
+    last = first.agg(F.max_by(F.struct("datetime", "meta_id"), F.struct(-F.unix_micros(F.col("datetime").cast("timestamp")), "meta_id")).alias("last")).first()["last"]
+    return paging.newest_after(events, "datetime", ["meta_id"], last.asDict(), 1000)
+
+
 @query(
     "obs_query_results",
     duck("event_obs")
@@ -76,6 +119,33 @@ def threshold_trigger(spark, sf):
     return ob.threshold_trigger({"event": _events(spark, sf)}, "value", "ge", "150", EVENT_START, EVENT_END)
 
 
+@query(
+    "threshold_trigger_two",
+    duck("event_obs", "ship_obs")
+    + "SELECT node_id, datetime, 'event.value' AS property, value FROM event_obs WHERE value >= 150"
+    f" UNION ALL SELECT node_id, datetime, 'ship.value', price FROM ship_obs WHERE price >= 150"
+    " ORDER BY datetime DESC, node_id, property, value LIMIT 50",
+)
+def threshold_trigger_two(spark, sf):
+    """Two features' readings in one list, the newest 50."""
+    ships = _ship(spark, sf).withColumnRenamed("price", "value").drop("quantity", "mark")
+    return ob.threshold_trigger({"event": _events(spark, sf).drop("level"), "ship": ships}, "value", "ge", "150")
+
+
+@query(
+    "obs_merge_newest",
+    duck("event_obs", "ship_obs")
+    + "SELECT 'event' AS feature, node_id, datetime, sensor, meta_id, value, NULL::DOUBLE AS quantity FROM event_obs"
+    " UNION ALL SELECT 'ship', node_id, datetime + INTERVAL '336' MONTH, sensor, meta_id, NULL, quantity FROM ship_obs"
+    " ORDER BY datetime DESC, feature, node_id, sensor, meta_id LIMIT 1000",
+)
+def obs_merge_newest(spark, sf):
+    """The newest 1000 of two features together."""
+    ships = _ship(spark, sf).withColumn("datetime", F.expr("datetime + INTERVAL '336' MONTH"))
+    whole = ob.merge_features({"event": _events(spark, sf), "ship": ships}, 1000, tie=("feature", "node_id", "sensor", "meta_id"))
+    return whole.select("feature", "node_id", "datetime", "sensor", "meta_id", "value", "quantity")
+
+
 # -- aggregates ---------------------------------------------------------------------------------
 
 _FUNCTIONS = {

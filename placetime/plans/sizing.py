@@ -83,12 +83,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
     """Groups of more than `rows` rows, as keys and `shards`, the number of pieces to cut them into.
 
-    Counted map side first, so the shuffle carries one row per key and task. The threshold
-    rises with the data so that at most `MAX_HOT_GROUPS` rows come out: safe to broadcast.
-    The groups are found at once and settled, as both sides of a plan ask for them.
+    Counted map side first, so the shuffle carries one row per key and task. The groups are found at once and
+    settled, as both sides of a plan ask for them.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    share = counted.agg((F.sum("n") / MAX_HOT_GROUPS).alias("share")).scalar()
-    most = F.greatest(F.lit(float(rows)), share)
-    hot = counted.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("shards"))
-    return settled(hot, "hot-groups")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+    return hot_of(settled(counted, "hot-groups"), keys, "n", rows)
+
+
+def hot_of(counted: DataFrame, keys: Sequence[str], size: str, rows: int) -> DataFrame:
+    """The hot ones of written groups with their sizes. The threshold rises with the data so that at most
+    `MAX_HOT_GROUPS` rows come out: safe to broadcast."""
+    hot = counted.filter(F.col(size) > rows)
+    n, total = hot.agg(F.count(F.lit(1)), F.sum(size)).first()
+    most = float(rows) if n <= MAX_HOT_GROUPS else max(rows, total / MAX_HOT_GROUPS)
+    return hot.filter(F.col(size) > most).select(*keys, F.ceil(F.col(size) / most).cast("int").alias("shards"))

@@ -13,6 +13,8 @@ from placetime.operators import weather as wx
 from placetime.plans.derived import call_sign, derive, duck, pick, present_pieces, text
 from placetime.plans.point_queries import lit
 from placetime.plans.registry import query
+from placetime.session import scratch_path
+from placetime.sources import weather as files
 
 _TUPLE = ("intensity", "vicinity", "descriptor", "precipitation", "obscuration")
 
@@ -123,6 +125,94 @@ def _hourly(spark, sf):
     return wx.clean_hourly(derive(spark, sf, "hourly_lines", heavy=True))
 
 
+def _in_layout(lines, headers, old: bool):
+    """Lines under the header names of the other layout."""
+    frm, to = (0, 1) if old else (1, 0)
+    names = {pair[frm]: pair[to] for pair in headers.values()}
+    return lines.select(*[F.col(f"`{c}`").alias(names[c]) for c in lines.columns if c in names])
+
+
+@query("weather_daily_old", f"WITH {_DAILY_SQL} SELECT * EXCLUDE (k) FROM daily")
+def weather_daily_old(spark, sf):
+    """Daily reports under the header of the older layout."""
+    old = _in_layout(derive(spark, sf, "daily_lines", heavy=True), wx.DAILY_HEADERS, old=True)
+    return wx.clean_daily(old).withColumn("weather_types", types_text())
+
+
+_NEW_HOURLY = "old_station_type, station_type, visibility, wban_code"
+
+
+@query(
+    "weather_hourly_new",
+    f"WITH {_HOURLY_SQL} SELECT * EXCLUDE (l_orderkey, l_partkey, l_linenumber, {_NEW_HOURLY}), lpad(wban_code, 6, '0') AS wban_code,"
+    " CASE WHEN l_orderkey % 2 = 0 THEN 12 END AS station_type, NULL::VARCHAR AS old_station_type, 10e0 AS visibility FROM hourly",
+)
+def weather_hourly_new(spark, sf):
+    """Hourly reports under the header of the newer layout, where stations have types by number and visibilities."""
+    lines = derive(spark, sf, "hourly_lines", heavy=True)
+    kind = F.when(F.trim("Station Type") == "AO2", " 12").otherwise("-")
+    new = _in_layout(lines.withColumn("Station Type", kind).withColumn("Visibility", F.lit("10.0")), wx.HOURLY_HEADERS, old=False)
+    return wx.clean_hourly(new).withColumn("weather_types", types_text())
+
+
+_ONLY = [f"{i:05}" for i in range(0, 997, 3)]
+_WITHOUT = [f"{i:05}" for i in range(0, 997, 5)]
+
+
+@query(
+    "weather_station_lists",
+    f"WITH {_DAILY_SQL} SELECT wban_code, date, temp_max FROM daily WHERE CAST(wban_code AS INT) % 3 = 0 AND CAST(wban_code AS INT) % 5 <> 0",
+)
+def weather_station_lists(spark, sf):
+    """Reports of listed stations without those of banned ones."""
+    lines = derive(spark, sf, "daily_lines", heavy=True).drop("order_key")
+    return wx.clean_daily(lines, only=_ONLY, without=_WITHOUT).select("wban_code", "date", "temp_max")
+
+
+def _landed(lines, day: str, old, span: str, headers):
+    """Two files of a landing folder, each in its layout: lines up to a day and after it."""
+    landing = scratch_path(lines.sparkSession, "landing")
+    first, second = lines.filter(F.col(day) < "19980501"), lines.filter(F.col(day) >= "19980501")
+    if old:
+        second = _in_layout(second, headers, old=False)
+    else:
+        first = _in_layout(first, headers, old=True)
+    for month, part in (((1998, 4), first), ((1998, 5), second)):
+        part.write.option("header", True).csv(f"{landing}/{files.report_file(*month, span)}", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return landing
+
+
+@query(
+    "weather_month_load",
+    f"WITH {_DAILY_SQL} SELECT wban_code, date, max(temp_max) AS temp_max, strftime(date, '%Y-%m') AS month, 1 AS n FROM daily GROUP BY wban_code, date",
+)
+def weather_month_load(spark, sf):
+    """Daily files in both layouts, loaded twice: every report is stored once, in its month's folder."""
+    lines = derive(spark, sf, "daily_lines").drop("order_key")
+    landing, store = _landed(lines, "YearMonthDay", False, "daily", wx.DAILY_HEADERS), scratch_path(spark, "daily")
+    files.load_months(spark, landing, store, "daily", [(1998, 4)])
+    for _ in range(2):
+        files.load_months(spark, landing, store, "daily", [(1998, 4), (1998, 5)])
+    rows = files.stored_reports(spark, store)
+    counted = rows.groupBy("wban_code", "date", F.col("month").cast("string").alias("month"))
+    return counted.agg(F.max("temp_max").alias("temp_max"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "weather_month_load_hourly",
+    f"WITH {_HOURLY_SQL} SELECT CASE WHEN datetime < TIMESTAMP '1998-05-01' THEN wban_code ELSE lpad(wban_code, 6, '0') END AS wban_code, datetime,"
+    " strftime(datetime, '%Y-%m') AS month, 1 AS n FROM hourly GROUP BY ALL",
+)
+def weather_month_load_hourly(spark, sf):
+    """Hourly files in both layouts, the later one first, then both."""
+    lines = derive(spark, sf, "hourly_lines")
+    landing, store = _landed(lines, "YearMonthDay", True, "hourly", wx.HOURLY_HEADERS), scratch_path(spark, "hourly")
+    for months in ([(1998, 5)], [(1998, 4), (1998, 5)]):
+        files.load_months(spark, landing, store, "hourly", months)
+    rows = files.stored_reports(spark, store)
+    return rows.groupBy("wban_code", "datetime", F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("weather_hourly_clean", f"WITH {_HOURLY_SQL} SELECT * EXCLUDE (l_orderkey, l_partkey, l_linenumber) FROM hourly")
 def weather_hourly_clean(spark, sf):
     return _hourly(spark, sf).withColumn("weather_types", types_text())

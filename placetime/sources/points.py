@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placetime.functions.text import slugs
+from placetime.functions.text import NUMBER, slugs
 
 # Texts that stand for a missing value, and for true and false.
 NULL_WORDS = ("na", "n/a", "none", "null", ".", "", " ")
 TRUE_WORDS = ("yes", "y", "true", "t")
 FALSE_WORDS = ("no", "n", "false", "f")
 
+WHOLE = r"^[+-]?\d+$"
+REAL = NUMBER + r"|^[+-]?(?i)(nan|inf|infinity)$"
 DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 DAY_PATTERN = rf"^{DAY}$"
 INSTANT_PATTERN = rf"^{DAY}[ T]\d{{1,2}}:\d{{2}}(:\d{{2}}(\.\d{{1,6}})?)?$"
@@ -111,12 +113,12 @@ def _kind(text: Column, digits: Column, iso: Column) -> Column:
         .when(F.lower(text).isin(*TRUE_WORDS, *FALSE_WORDS), bit("boolean"))
         .when(digits.rlike(r"^0\d*[1-9]\d*$"), bit("string"))
         .when(
-            digits.rlike(r"^[+-]?\d+$"),
+            digits.rlike(WHOLE),
             F.when(digits.try_cast("int").isNotNull(), bit("int"))
             .when(digits.try_cast("bigint").isNotNull(), bit("bigint"))
             .otherwise(bit("double")),
         )
-        .when(digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$"), bit("double"))
+        .when(digits.rlike(REAL), bit("double"))
         .when(iso.isNull(), F.when(text.rlike(TIME_PATTERN), bit("time")).otherwise(bit("string")))
         .when(_date(iso).isNotNull(), bit("date"))
         .when(_timestamp(iso).isNotNull(), bit("timestamp_ntz"))
@@ -129,7 +131,7 @@ def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
     Columns are laid out as rows, so that any number of them needs only one expression; a value
     contributes one bit, and tasks hand on one integer per column. A boolean column may not hold
-    nulls, and zero-padded numbers are text. Use `raw.limit(1000)` for a quick suggestion.
+    nulls, and zero-padded numbers are text.
     """
     names = list(columns or raw.columns)
     cells = raw.select(F.posexplode(F.array(*[F.col(f"`{n}`").cast("string") for n in names])).alias("place", "value"))
@@ -160,7 +162,8 @@ def typed(column: Column, kind: str) -> Column:
         "timestamp_ntz": parse_instant(text),
     }
     if kind in ("int", "bigint", "double"):
-        value = F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast(kind)
+        digits = F.trim(F.replace(text, F.lit(","), F.lit("")))
+        value = F.when(digits.rlike(REAL if kind == "double" else WHOLE), digits.try_cast(kind))
     elif kind in parsed:
         value = parsed[kind]
     else:

@@ -159,16 +159,15 @@ def test_geometry_arguments():
     assert math.isclose(east, 2 * north, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 30])
 @pytest.mark.parametrize("k", [1, 4, 50])
-def test_neighbours_equal_brute_force(spark, k, limit):
+def test_neighbours_equal_brute_force(spark, k):
     rng = random.Random(k)
     spots = [(rng.gauss(-87.6, 0.01), rng.gauss(41.9, 0.01)) for _ in range(30)] + [(rng.uniform(-180, 180), rng.uniform(-85, 85)) for _ in range(10)]
     nodes = spark.createDataFrame([("net", f"n{i:03}", x, y) for i, (x, y) in enumerate(spots)], "network string, node string, lon double, lat double")
     asked = [(-87.6, 41.9), (0.0, 0.0), (179.9, 84.0), (-87.61, 41.95), (-180.0, -85.0)]
     queries = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(asked)], "query_id int, lon double, lat double")
     found = {}
-    for r in nearest.knn_nodes(queries, nodes, k, limit=limit, hot_rows=2).collect():
+    for r in nearest.knn_nodes(queries, nodes, k).collect():
         found.setdefault(r["query_id"], set()).add(r["node"])
     for i, (x, y) in enumerate(asked):
         order = sorted(range(len(spots)), key=lambda n: math.hypot(spots[n][0] - x, spots[n][1] - y))
@@ -177,6 +176,46 @@ def test_neighbours_equal_brute_force(spark, k, limit):
     assert {r["node"] for r in single} == found[0]
 
 
+def test_neighbours_from_afar_meet_few_nodes(spark):
+    """Queries far from a dense cluster are joined with a small multiple of k of its nodes, not with all."""
+    rng = random.Random(5)
+    spots = [(rng.uniform(0, 0.01), rng.uniform(0, 0.01)) for _ in range(4000)] + [(50.0, 50.0)] * 3
+    nodes = spark.createDataFrame([("net", f"n{i:04}", x, y) for i, (x, y) in enumerate(spots)], "network string, node string, lon double, lat double")
+    asked = [(30.0 + i, -20.0 + 3 * i) for i in range(20)]
+    queries = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(asked)], "query_id int, lon double, lat double")
+    *_, depth = nearest._cells(nodes.select("network", "node", F.col("lon").alias("x"), F.col("lat").alias("y")), 10)
+    assert depth > 3
+    result = nearest.knn_nodes(queries, nodes, 10)
+    rows = result.collect()
+    for i, (x, y) in enumerate(asked):
+        order = sorted(range(len(spots)), key=lambda n: (math.hypot(spots[n][0] - x, spots[n][1] - y), n))
+        assert [r["node"] for r in sorted((r for r in rows if r["query_id"] == i), key=lambda r: (r["distance"], r["node"]))] == [f"n{n:04}" for n in order[:10]]
+    joined = []
+
+    def visit(node):
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        if "QueryStage" in name:
+            visit(node.plan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(result._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= 20 * 10 * 20
+
+
+def test_neighbours_of_crowded_and_absent_places(spark):
+    nodes = spark.createDataFrame([("b", f"n{i:02}", 1.0, 1.0) for i in range(40)] + [("a", "x", 1.0, 1.0), ("a", "y", None, 1.0)], "network string, node string, lon double, lat double")
+    queries = spark.createDataFrame([(1, 1.0, 1.0), (2, -5.0, 7.0), (3, None, 0.0)], "query_id int, lon double, lat double")
+    rows = nearest.knn_nodes(queries, nodes, 3).orderBy("query_id", "network", "node").collect()
+    assert [(r["query_id"], r["node"], r["rank"]) for r in rows] == [(q, n, 1) for q in (1, 2) for n in ("x", "n00", "n01")]
+    assert nearest.knn_nodes(queries, nodes.limit(0), 3).collect() == []
+    assert nearest.knn_nodes(queries.limit(0), nodes, 3).collect() == []
+
+
 def test_slugs():
     assert slug("A-Awef-Basdf-123") == "a_awef_basdf_123"
     assert slugs(["Zip Code", "zip  code", "!"]) == ["zip_code", "zip_code_2", "column"]
