@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,42 +20,135 @@ ROWS_OUT = 2000
 BYTES_OUT = 4 << 20
 
 
-def class_sizes(capacity: int) -> list[int]:
-    """The lengths of the classes: the capacity, its half, its quarter ... down to 1."""
-    return sorted({capacity >> i for i in range(capacity.bit_length())} - {0}, reverse=True)
+#: Documents of up to 1 / (CLASSES + 1) of the capacity have no class of their own; they fill what classes leave.
+CLASSES = 12
+#: Bins of a task that may wait for documents that fit into what is left of them.
+WAITING = 64
+
+
+def class_of(length: int, capacity: int) -> int:
+    """The class j of a length: j documents of it fill a bin, as it lies between 1 / (j + 1) and 1 / j of the capacity.
+    0 for small documents."""
+    j = capacity // length
+    return j if j <= CLASSES else 0
 
 
 class _Bins:
-    """One worker's open bin of each class. A bin of the class with pieces of `size` tokens takes
-    capacity // size of them; a piece is (document, start, ids, tokens of the document)."""
+    """One worker's bins. An item is (document, start, ids, tokens of the document).
+
+    A bin of class j takes j items of that class. What is left of it waits for items that fit whole: small ones, or
+    failing that one item is cut to fill the rest to the last token. Memory holds at most
+    `WAITING` bins, j - 1 items of each class and small items of one bin.
+    """
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
-        self.open: dict[int, list[tuple]] = {size: [] for size in class_sizes(capacity)}
-
-    def _sequence(self, size: int, pieces: list[tuple]) -> Iterator[tuple]:
-        for place, (doc, start, ids, tokens) in enumerate(pieces):
-            yield doc, start, size, ids, tokens, self.next_id, place * size, len(pieces) * size
+        self.open: dict[int, list[tuple]] = {j: [] for j in range(1, CLASSES + 1)}
+        self.waiting: list[tuple[int, int, list[tuple]]] = []  # (room, number, items), least room first
+        self.small: list[tuple] = []
+        self.small_tokens = self.number = 0
+
+    def _sequence(self, items: list[tuple]) -> Iterator[tuple]:
+        whole, offset = sum(len(item[2]) for item in items), 0
+        for doc, start, ids, tokens in items:
+            yield doc, start, len(ids), ids.tobytes(), tokens, self.next_id, offset, whole
+            offset += len(ids)
         self.next_id += 1
 
+    @staticmethod
+    def _cut(item: tuple, at: int) -> tuple[tuple, tuple]:
+        doc, start, ids, tokens = item
+        return (doc, start, ids[:at], tokens), (doc, start + at, ids[at:], tokens)
+
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
-        """Cuts a document into class lengths, greatest first; gives the pieces of bins that got full."""
-        at, total = 0, len(ids)
-        for size, pieces in self.open.items():
-            while total - at >= size:
-                pieces.append((doc, at, ids[at : at + size].tobytes(), total))
-                at += size
-                if len(pieces) == self.capacity // size:
-                    yield from self._sequence(size, pieces)
-                    pieces.clear()
+        """Takes a document in; gives the pieces of sequences that got full. Only what exceeds the capacity is cut here."""
+        rest = (doc, 0, ids, len(ids))
+        while len(rest[2]) >= self.capacity:
+            piece, rest = self._cut(rest, self.capacity)
+            yield from self._sequence([piece])
+        if len(rest[2]):
+            yield from self._place(rest)
+
+    def _place(self, item: tuple) -> Iterator[tuple]:
+        n = len(item[2])
+        j = class_of(n, self.capacity)
+        if not j:
+            yield from self._fill(item)
+            return
+        items = self.open[j]
+        items.append(item)
+        if len(items) == j:
+            self.open[j] = []
+            yield from self._leave(items, self.capacity - sum(len(i[2]) for i in items))
+            while len(self.waiting) > WAITING:
+                yield from self._force()
+
+    def _leave(self, items: list[tuple], room: int) -> Iterator[tuple]:
+        if room == 0:
+            yield from self._sequence(items)
+        else:
+            self.number += 1
+            bisect.insort(self.waiting, (room, self.number, items))
+
+    def _fill(self, item: tuple) -> Iterator[tuple]:
+        """A small item goes whole into the tightest waiting bin; without one, items that make up a bin wait together."""
+        n = len(item[2])
+        at = bisect.bisect_left(self.waiting, (n, 0, []))
+        if at < len(self.waiting):
+            room, _, items = self.waiting.pop(at)
+            yield from self._leave([*items, item], room - n)
+            return
+        self.small.append(item)
+        self.small_tokens += n
+        if self.small_tokens >= self.capacity:
+            last = self.small.pop()
+            room = self.capacity - (self.small_tokens - n)
+            piece, rest = self._cut(last, room)
+            items, self.small, self.small_tokens = [*self.small, piece], [], 0
+            yield from self._sequence(items)
+            if len(rest[2]):
+                yield from self._fill(rest)
+
+    def _force(self) -> Iterator[tuple]:
+        """Fills the tightest waiting bin by cutting an item: a small one, or else one of the smallest class at hand."""
+        room, _, items = self.waiting.pop(0)
+        while room:
+            if self.small:
+                item = self.small.pop()
+                self.small_tokens -= len(item[2])
+            else:
+                j = max((j for j, held in self.open.items() if held), default=0)
+                item = self.open[j].pop() if j else None
+            if item is None:  # nothing at hand: the roomiest bin is taken apart
+                _, _, (item, *others) = self.waiting.pop()
+                for other in others:
+                    yield from self._place(other)
+            piece, rest = self._cut(item, min(room, len(item[2])))
+            items, room = [*items, piece], room - len(piece[2])
+            if len(rest[2]):
+                yield from self._place(rest)
+        yield from self._sequence(items)
 
     def rest(self) -> Iterator[tuple]:
-        """Bins that stay open are cut into runs of 2^k pieces, so that these lengths need no padding either."""
-        for size, pieces in self.open.items():
-            while pieces:
-                run = 1 << (len(pieces).bit_length() - 1)
-                yield from self._sequence(size, pieces[:run])
-                del pieces[:run]
+        """What stays open in the end is put together, cut where a sequence is full; the last tokens become
+        sequences whose lengths are powers of two, which need no padding."""
+        items = [item for _, _, held in self.waiting for item in held]
+        items += [item for held in self.open.values() for item in held] + self.small
+        sequence: list[tuple] = []
+        left = sum(len(item[2]) for item in items)
+        size = room = self._length(left)
+        for item in items:
+            while len(item[2]):
+                piece, item = self._cut(item, min(room, len(item[2])))
+                sequence.append(piece)
+                room -= len(piece[2])
+                if room == 0:
+                    yield from self._sequence(sequence)
+                    sequence, left = [], left - size
+                    size = room = self._length(left)
+
+    def _length(self, left: int) -> int:
+        return self.capacity if left >= self.capacity else 1 << max(left.bit_length() - 1, 0)
 
 
 def pack(
@@ -63,12 +157,13 @@ def pack(
 ) -> DataFrame:
     """Packs documents into sequences of at most `capacity` tokens; one row per piece.
 
-    A document is its ids (see `ByteBpe` for `added_tokens`) and then `end_id`. It is cut into pieces whose lengths are reciprocal
-    parts of the capacity (1, 1/2, 1/4, ...); a bin of the class 1/j takes j pieces and is full to
-    the last token. Each task fills its own bins in the order of its rows, with at most one open
-    bin per class in memory, so there is no shuffle and nothing to agree on; a task run again
-    gives sequences of the same kind under ids of its own. What is left open at a task's end
-    becomes sequences whose length is a power of two (if the capacity is one), which need no padding.
+    A document is its ids (see `ByteBpe` for `added_tokens`) and then `end_id`. Lengths fall into classes by
+    the reciprocal parts of the capacity (1, 1/2, 1/3, ...) that they come up to; a bin of the class 1/j takes j documents,
+    whole, and what they leave of it is filled with small documents. A document is cut where it exceeds the
+    capacity, and one now and then to fill a bin to the last token. Each task fills its own bins in the order of its
+    rows and holds few of them, so there is no shuffle and nothing to agree on; a task run again
+    gives sequences of the same kind under ids of its own. What is left open at a task's end is put together;
+    its last tokens become sequences whose length is a power of two, which need no padding.
 
     Returns the id column, start (ids of the document before the piece), length, ids (unsigned
     little-endian 32-bit), doc_tokens, sequence_id, offset (in the sequence, without gaps) and
