@@ -82,7 +82,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir), across_lines=True)
+    templates = {**licenses.TEMPLATES, **licenses.TEXTS}
+    return licenses.scan(documents(spark, sf_dir), templates=templates, across_lines=True)
 
 
 @query("op1_token_counts")

@@ -213,7 +213,12 @@ def learn(
     The coefficients of the score are then a logistic fit on what the grammar matches in the same rows.
 
     Labels other than 0 and 1 are ignored; an id with both counts as toxic. Without any usable label, the seeds weigh 3.
+    Other columns don't matter, whatever their names. Texts of any length are read whole; null and empty ones hold no
+    words. Equal rows of `docs` are one. A label that many different rows of `docs` share weighs by their number.
     """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
+    id_col, text_col, label_col = "doc_id", "text", "toxic"
     clean = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     clean = clean.groupBy(id_col).agg(F.max(label_col).cast("int").alias(label_col))
     n = clean.count()
