@@ -60,9 +60,10 @@ def _halves(near_words: int) -> list[Column]:
 
 
 def repeated_lines(
-    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text", origins: bool = False
 ) -> DataFrame:
-    """(doc_id, text_hash, line_no, near) of every line that an earlier line of the corpus repeats.
+    """(doc_id, text_hash, line_no, near) of every line that repeats an earlier line of the corpus; with
+    `origins` also its number of words and `origin`, the document and text hash of the earlier line.
 
     A line repeats an earlier one if their words are the same, or if both have `near_words` words or more
     and one word inserted, deleted or replaced makes them the same (`near`): the edit bound is one word in
@@ -81,7 +82,7 @@ def repeated_lines(
     """
     tables = Tables(docs.sparkSession, "line-dedup")
     lines = _keyed(lines_of(docs, id_col, text_col), min_words)
-    occurrence = tables.settle(lines.select("h1", "h2", *AT, *_halves(near_words)))
+    occurrence = tables.settle(lines.select("h1", "h2", *AT, *(["n"] if origins else []), *_halves(near_words)))
     firsts = occurrence.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last"))
     firsts = tables.settle(firsts.select("h1", "h2", "first", (F.col("first") != F.col("last")).alias("again")))
 
@@ -100,13 +101,24 @@ def repeated_lines(
     chosen = tables.settle(chosen.select(F.lit(0).alias("all"), *AT, "words"))
     order = [F.col("doc_id").isNull().asc(), *(F.col(name).asc() for name in AT)]
     chosen = tables.settle(places(chosen, "all", order, tables).select(F.col("index").alias("id"), *AT, "words"))
-    near = _verified(chosen, _candidates(chosen, tables)).select("id").distinct()
+    near = _verified(chosen, _candidates(chosen, tables)).groupBy("id").agg(F.min("earlier").alias("earlier"))
 
     # A first occurrence goes if an earlier line is near; all others go.
-    gone = tables.settle(chosen.join(near, "id", "left_semi").select(*AT, F.lit(True).alias("near")))
-    exact = occurrence.select("h1", "h2", _order().alias("at")).join(firsts.filter("again").select("h1", "h2", "first"), ["h1", "h2"])
-    exact = exact.filter("at <> first").select("at.doc_id", "at.text_hash", "at.line_no", F.lit(False).alias("near"))
-    repeated = tables.settle(exact.unionAll(gone).groupBy(*AT).agg(F.min("near").alias("near")))
+    gone = chosen.join(near, "id")
+    if origins:
+        earlier = chosen.select(F.col("id").alias("earlier"), F.struct("doc_id", "text_hash").alias("origin"))
+        gone = gone.join(earlier, "earlier").withColumn("n", F.size(F.split("words", " ")))
+    more = ["n", "origin"] if origins else []
+    gone = tables.settle(gone.select(*AT, F.lit(True).alias("near"), *more))
+    exact = occurrence.select("h1", "h2", _order().alias("at"), *more[:1]).join(firsts.filter("again").select("h1", "h2", "first"), ["h1", "h2"])
+    exact = exact.filter("at <> first")
+    if origins:
+        # A line whose first occurrence is near to an earlier line comes from there.
+        moved = gone.select(_order().alias("first"), F.col("origin").alias("before"))
+        exact = exact.join(moved, "first", "left").withColumn("origin", F.coalesce("before", F.struct("first.doc_id", "first.text_hash")))
+    exact = exact.select("at.doc_id", "at.text_hash", "at.line_no", F.lit(False).alias("near"), *more)
+    repeated = exact.unionAll(gone).groupBy(*AT).agg(F.min("near").alias("near"), *(F.min(c).alias(c) for c in more))
+    repeated = tables.settle(repeated)
     tables.drop(occurrence, firsts, shared, close, wanted, chosen, gone)
     return repeated
 
@@ -161,12 +173,33 @@ def _verified(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
 RESULTS = ("n_lines", "n_dropped", "n_near", "clean_text")
 
 
+def _spared(gone: DataFrame, copies: float, total: Column) -> tuple[DataFrame, Column, Column]:
+    """(lines that go, by document, and the columns `gone` and `near`) if copies of a document are left to a later stage."""
+    by_origin = gone.groupBy("doc_id", "text_hash", "origin").agg(
+        F.sum("n").alias("words"), F.collect_list("line_no").alias("lines"), F.sum(F.col("near").cast("long")).alias("near")
+    )
+    part = F.struct(F.col("words"), F.col("origin"), F.col("lines"), F.col("near"))
+    # The largest part is the last one; of equal ones the one from the later document.
+    per_doc = by_origin.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    main, others = F.element_at("parts", -1), F.slice("parts", F.lit(1), F.size("parts") - 1)
+    elsewhere = F.aggregate(others, F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    copy = main["words"] >= copies * (total - elsewhere)
+    going = F.when(F.col("parts").isNotNull(), F.when(copy, others).otherwise(F.col("parts")))
+    near = F.aggregate(going, F.lit(0).cast("long"), lambda n, p: n + p["near"])
+    lines = F.flatten(F.transform(going, lambda p: p["lines"]))
+    return per_doc, F.when(F.size(lines) > 0, lines), near
+
+
 def dedup_lines(
-    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text", copies: float | None = None
 ) -> DataFrame:
     """`docs` with n_lines, n_dropped, n_near and clean_text: whole texts without the lines that an earlier
     line repeats (see `repeated_lines`). A text of which no line with a word is left becomes "".
 
+    With `copies`, a share of words, a document that takes so much of its text from one earlier document is a copy as
+    a whole: it keeps these lines and loses only those that come from elsewhere, as the earlier
+    document lost them too. So a later stage finds copies next to what they are copies of, instead of their remains.
+
     Other columns are kept as they are, whatever their names; columns called like a result give way to it. Null
     texts stay null and have no lines, as empty ones. Texts and lines of any length are taken whole.
     Rows alike in id and text are one document: each keeps the same lines. Rows that share an id
@@ -175,20 +208,27 @@ def dedup_lines(
     tables = Tables(docs.sparkSession, "line-dedup")
     kept_columns = [c for c in docs.columns if c not in RESULTS]
     row = F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row")
-    rows = docs.select(row, F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    gone = repeated_lines(docs, min_words, near_words, id_col, text_col)
-    per_doc = gone.groupBy("doc_id", "text_hash").agg(
-        F.collect_list("line_no").alias("gone"), F.sum(F.col("near").cast("long")).alias("near")
-    )
+    text = F.col("row").getField(text_col)
+    rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    repeated = repeated_lines(docs, min_words, near_words, id_col, text_col, origins=copies is not None)
+    if copies is None:
+        per_doc, gone, near = repeated.groupBy("doc_id", "text_hash").agg(
+            F.collect_list("line_no").alias("gone"), F.sum(F.col("near").cast("long")).alias("near")
+        ), F.col("gone"), F.col("near")
+    else:
+        words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+        per_doc, gone, near = _spared(repeated, copies, words)
     per_doc = tables.settle(per_doc)
     joined = rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
-    joined = joined.withColumn("lines", F.split("text", "\n"))
+    joined = joined.withColumn("text", text).withColumn("lines", F.split("text", "\n"))
+    joined = joined.withColumn("found", near).withColumn("gone", gone)
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(left, lambda i: F.element_at("lines", i + 1))
     any_word = F.exists(kept, lambda line: F.trim(F.regexp_replace(line, BLANKS, " ")) != "")
     clean = F.when(F.col("gone").isNull(), F.col("text")).when(any_word, F.array_join(kept, "\n")).otherwise("")
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("lines")).cast("long")
-    return joined.select(
-        "row.*", n_lines.alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0)).alias("n_dropped"),
-        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), clean.alias("clean_text"),
+    results = F.struct(
+        n_lines.alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0)).alias("n_dropped"),
+        F.coalesce("found", F.lit(0)).cast("long").alias("n_near"), clean.alias("clean_text"),
     )
+    return joined.select("row", results.alias("results")).select("row.*", "results.*")

@@ -8,7 +8,7 @@ import pytest
 
 from placetime.llm import cotraining, fertility, licenses, line_dedup, mixing, token_counts, toxicity
 from placetime.llm.ngram_join import jaccard_components
-from placetime.llm.packing import class_sizes, pack
+from placetime.llm.packing import _Bins, class_of, pack
 from placetime.llm.tables import Tables
 from placetime.llm.tokenizing import ByteBpe
 from placetime.llm.words import BLANK, NOT_ALNUM, slices, words
@@ -106,9 +106,40 @@ def test_added_tokens_as_in_a_plain_call(documents, vocabulary):
     assert np.frombuffer(piece["ids"], "<u4").tolist() == [64, 220, 50256, 275, 1]
 
 
-def test_packing_classes_and_empty(documents, vocabulary):
-    assert class_sizes(2048) == [2048 >> i for i in range(12)]
-    assert class_sizes(100) == [100, 50, 25, 12, 6, 3, 1]
+def test_packing_keeps_documents_whole_where_they_fit():
+    """Sequences are full, bins of class 1/j hold j documents of it, and few documents are cut."""
+    assert [class_of(n, 2048) for n in (2047, 1025, 1024, 683, 682, 158, 157)] == [1, 1, 2, 2, 3, 12, 0]
+    for seed, lengths in ((1, (1, 2048)), (2, (700, 2048)), (3, (1, 60)), (4, (1, 9000)), (5, (1025, 1025)), (6, (600, 700))):
+        rng, bins, pieces = random.Random(seed), _Bins(2048, 0), []
+        sizes = [rng.randint(*lengths) for _ in range(3000)]
+        for doc, n in enumerate(sizes):
+            pieces += bins.add(doc, np.full(n, doc, "<u4"))
+            assert len(bins.waiting) <= 64 and bins.small_tokens < 2048 and all(len(held) < j for j, held in bins.open.items())
+        pieces += bins.rest()
+        spans, sequences = {}, {}
+        for doc, start, length, ids, tokens, sequence, offset, whole in pieces:
+            assert tokens == sizes[doc] and ids == np.full(length, doc, "<u4").tobytes()
+            spans.setdefault(doc, []).append((start, length))
+            sequences.setdefault(sequence, []).append((offset, length, whole))
+        for doc, n in enumerate(sizes):
+            upto = 0
+            for start, length in sorted(spans[doc]):
+                assert start == upto
+                upto += length
+            assert upto == n
+        partial = 0
+        for members in sequences.values():
+            whole = sum(length for _, length, _ in members)
+            assert [m[0] for m in members] == [sum(m[1] for m in members[:k]) for k in range(len(members))]
+            assert {m[2] for m in members} == {whole} and whole & (whole - 1) == 0
+            partial += whole < 2048
+        assert partial <= 11
+        fitting = [doc for doc, n in enumerate(sizes) if n <= 2048]
+        if seed in (1, 2, 3):
+            assert sum(len(spans[doc]) > 1 for doc in fitting) <= {1: 0.3, 2: 0.6, 3: 0.03}[seed] * len(fitting)
+
+
+def test_packing_of_nothing(documents, vocabulary):
     assert pack(documents([(1, "a")]).limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
@@ -221,6 +252,34 @@ def test_ngram_join_counts_every_link(documents, monkeypatch, block):
 # --- 2 line dedup ----------------------------------------------------------------------------------------
 
 
+def test_line_dedup_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b\nc d"), (2, "a b\ne")], "doc_id long, text string")
+    rows = rows.selectExpr("*", "1 as _gone", "2 as _near", "3 as _d", "4 as _t", "5 as _h", "6 as _lines", "7 as n_lines", "8 as row", "9 as id", "10 as hash", "11 as gone", "12 as lines")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert [got[2][c] for c in ("clean_text", "n_lines", "_gone", "_h", "row", "id", "gone", "lines")] == ["e", 2, 1, 5, 8, 9, 11, 12]
+    assert sorted(line_dedup.dedup_lines(rows).columns) == sorted({*rows.columns, "n_dropped", "n_near", "clean_text"})
+
+
+def test_copies_are_left_whole(documents):
+    """A copy keeps the lines it takes from its original and loses what that lost too; holders of a few repeated lines lose them."""
+    rng = random.Random(21)
+    lines = [made_up(rng, 12, "abcdefgh") for _ in range(30)]
+    footer = "the same old footer line on all pages"
+    rows = [(0, footer), (1, "\n".join([*lines[:6], footer])), (2, "\n".join([*lines[:6], footer])), (3, "\n".join([*lines[:5], made_up(rng, 12, "xyz"), footer]))]
+    rows += [(4, "\n".join([lines[0], *lines[10:14], footer])), (5, "\n".join([lines[1], lines[11]])), (None, "\n".join(lines[:6])), (6, None), (7, "")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(rows), copies=0.5).collect()}
+    text = dict(rows)
+    whole = "\n".join(lines[:6])
+    assert got[0]["clean_text"] == footer and got[1]["clean_text"] == got[2]["clean_text"] == got[None]["clean_text"] == whole
+    assert got[3]["clean_text"] == "\n".join(text[3].split("\n")[:6]) and got[3]["n_dropped"] == 1
+    assert got[4]["clean_text"] == "\n".join(lines[10:14]) and got[4]["n_dropped"] == 2
+    assert got[6]["clean_text"] is None and got[7]["clean_text"] == ""
+    # Half of it comes from one document and half from another one; the later one counts as its original.
+    assert got[5]["n_dropped"] == 1
+    plain = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(documents(rows)).collect()}
+    assert (plain[2], plain[3], plain[None]) == (7, 6, 6)
+
+
 def brute_lines(rows, min_words, near_words):
     occurrences = []
     for i, text in rows:
@@ -515,14 +574,15 @@ def test_licenses_against_brute_force(documents):
 
 
 def brute_license_runs(text, threshold=80):
-    """As `brute_licenses`, with every run of words no longer than the longest template in place of lines."""
+    """As `brute_licenses`, with every run of words no longer than 5/4 of the template in place of lines, and whole license texts."""
     def plain(x):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
 
-    w, notices = plain(text or ""), {label: plain(notice) for label, notice in licenses.TEMPLATES.items()}
-    longest, best = max(map(len, notices.values())), {}
+    w, notices = plain(text or ""), {label: plain(notice) for label, notice in {**licenses.TEMPLATES, **licenses.TEXTS}.items()}
+    best = {}
     for label, notice in notices.items():
-        held = max(len(set(notice) & set(w[i : i + longest])) for i in range(max(len(w) - longest, 0) + 1))
+        run = 5 * len(notice) // 4
+        held = max(len(set(notice) & set(w[i : i + run])) for i in range(max(len(w) - run, 0) + 1))
         if 100 * held >= threshold * len(set(notice)):
             best[label] = held / len(set(notice))
     return best
@@ -531,7 +591,8 @@ def brute_license_runs(text, threshold=80):
 def test_licenses_across_line_ends(documents):
     rng = random.Random(11)
     rows = [(1, None), (2, ""), (3, "the " * 4000)]
-    for label, notice in licenses.TEMPLATES.items():
+    every = {**licenses.TEMPLATES, **licenses.TEXTS}
+    for label, notice in every.items():
         for width, start in ((5, ""), (12, " * "), (9, "# ")):
             w = split(notice)
             wrapped = "\n".join(start + " ".join(w[i : i + width]) for i in range(0, len(w), width))
@@ -540,7 +601,7 @@ def test_licenses_across_line_ends(documents):
         rows.append((100 + len(rows), " ".join(x + " " + made_up(rng, 9, "xyz") for x in split(notice))))
         cut = [x for x in split(notice) if rng.random() > 0.15]
         rows.append((100 + len(rows), "\n".join(split(made_up(rng, 40)) + cut)))
-    got = {r["doc_id"]: r for r in licenses.scan(documents(rows).repartition(3), across_lines=True).collect()}
+    got = {r["doc_id"]: r for r in licenses.scan(documents(rows).repartition(3), templates=every, across_lines=True).collect()}
     for i, text in rows:
         base, best = brute_licenses(text)[4], brute_license_runs(text)
         assert got[i]["labels"] == ",".join(sorted({*base.split(","), *best} - {""})), text
@@ -550,6 +611,14 @@ def test_licenses_across_line_ends(documents):
     assert licenses.scan(documents(rows).limit(0), across_lines=True).count() == 0
 
 
+def test_phrases_may_overlap_and_columns_clash(spark):
+    rows = spark.createDataFrame([(1, "a b c a b"), (2, "A  B"), (3, None), (4, "a")], "doc_id long, text string")
+    rows = rows.selectExpr("*", "5 as n_words", "'x' as words", "'y' as each", "'z' as places", "1 as _n", "2 as _hits")
+    got = {r["doc_id"]: r for r in licenses.phrase_hits(rows, {"a b": "first", "b c": "second", "a b c a": "third"}).collect()}
+    assert [got[1][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "words", "_n")] == [5, 4, 0, 3, ["first", "second", "third"], "x", 1]
+    assert [got[i]["n_base"] for i in (2, 3, 4)] == [1, 0, 0] and got[3]["first_word"] is None
+
+
 # --- 4 co-training ---------------------------------------------------------------------------------------
 
 
