@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats; those of which no line is left go, and
-    those that had none stay."""
-    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    those that had none stay. A document that takes at least half of its words from one earlier document keeps
+    these, so the next stage meets near copies, not what would be left of them."""
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS), copies=0.5)
     left = cleaned.filter((F.col("n_dropped") == 0) | (F.col("clean_text") != ""))
     n_chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))
     return left.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n_chars.cast("long").alias("n_chars"))
@@ -80,8 +81,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each one's rows written to the shared folder and read by the next."""
     tables = Tables(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        after = tables.settle(stage(spark, docs, sf_dir))
-        docs = after
+        docs = tables.settle(stage(spark, docs, sf_dir))
+        tables.drop(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
