@@ -177,9 +177,12 @@ def apply_edits(
     given = edits.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy(id_col, "text_hash").agg(
         F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits")
     )
-    texts = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
     keys = [id_col, "text_hash"]
-    joined = given.join(texts, keys).dropDuplicates(keys).join(trees.dropDuplicates(keys).select(*keys, "chars", "tokens"), keys)
+    # Written, so that Spark knows how few they are: texts and trees without edits leave before anything is moved.
+    given = Tables(docs.sparkSession, "edits").settle(given)
+    texts = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
+    texts, touched = (rows.join(given.select(*keys), keys, "left_semi") for rows in (texts, trees.select(*keys, "chars", "tokens")))
+    joined = given.join(texts.dropDuplicates(keys), keys).join(touched.dropDuplicates(keys), keys)
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
     names = ["text", "n_edits", "n_tokens", "chars", "tokens", "encoded_chars"]
 
@@ -247,7 +250,7 @@ def recounted(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "
     """Per row of `docs`: id, n_tokens, n_edits, n_tokens_after and encoded_chars.
 
     Counts every whole text once, as a tree, and after the edits again from the trees. Rows without
-    edits keep their count; null and empty texts have 0 tokens; rows without an id take no edits.
+    edits keep their count; null and empty texts have 0 tokens, texts of any length are counted whole; rows without an id take no edits.
     Repeated rows give a row each. Other columns don't matter. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "token-counts")
