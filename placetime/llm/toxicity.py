@@ -1,8 +1,8 @@
 """Toxicity by a weighted pattern grammar: transducers tag words, composed they score clauses.
 
-Five transducers read a clause word by word. The insult and threat transducers give words weights,
-the target transducer tells at whom they point, the negation and reported-speech transducers
-weaken what they govern. Seed words are given; what insults cost, and insults and stems that the
+Five transducers read a clause word by word, composed into one (see `transducers`). The insult and threat
+transducers say which words match, the target transducer tells whether they point at someone, the negation
+and reported-speech transducers weaken what they govern. Seed words are given; what insults cost, and insults and stems that the
 seeds lack, are learned from labelled documents.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placetime.llm import transducers
 from placetime.llm.tables import Tables
 from placetime.llm.words import NOT_ALNUM, U64, span_hashes, slices, text_hash, words
 
@@ -46,7 +47,8 @@ CLAUSE_END[[ord(c) for c in ".!?;:\n"]] = True
 
 #: Lengths in bytes at which stems are looked up.
 STEM_BYTES = range(4, 9)
-NEGATION_REACH = 3
+#: What a threat weighs before the grammar's factors, as insults have weights of their own.
+THREAT_WEIGHT = 2.0
 
 
 class Grammar(NamedTuple):
@@ -58,46 +60,21 @@ class Grammar(NamedTuple):
     coefficients: tuple[float, ...]
 
 
-def _hashes(given: list[str]) -> frozenset[int]:
-    return frozenset(text_hash(word) for word in given)
-
-
 class Transducers:
-    """The composed grammar, run over the words of one clause."""
+    """The composed grammar (see `transducers`), run over the words of one clause."""
 
     def __init__(self, grammar: Grammar):
-        self.threats, self.intents = _hashes(THREATS), _hashes(INTENTS)
-        self.targets, self.negations, self.reports = _hashes(TARGETS), _hashes(NEGATIONS), _hashes(REPORTS)
+        given = {"threat": THREATS, "negation": NEGATIONS, "report": REPORTS, "intent": INTENTS, "target": TARGETS}
+        self.symbols = {text_hash(word): symbol for symbol, listed in reversed(given.items()) for word in listed}
+        self.threats = frozenset(text_hash(word) for word in THREATS)
+        self.machine = transducers.grammar()
         self.grammar = grammar
 
     def clause(self, marked: list[tuple[int, float]]) -> float:
-        """The weight of a clause whose words are (hash, weight as an insult or 0).
-
-        States: words since the last negation, whether someone is addressed, whether a threat's
-        intent is open, whether speech is reported. A negated match counts a third, a match in
-        reported speech half, one with a target a half more; a threat needs intent and target.
-        """
-        since_negation, addressed, intent, reported = NEGATION_REACH + 1, False, False, False
-        total, threat = 0.0, False
-        for word, weight in marked:
-            since_negation += 1
-            if word in self.negations:
-                since_negation = 0
-            if word in self.reports:
-                reported = True
-            if word in self.intents:
-                intent = True
-            if word in self.targets:
-                addressed = True
-            if word in self.threats and intent:
-                threat, total = True, total + (0.7 if since_negation <= NEGATION_REACH else 2.0)
-            if weight:
-                total += weight / 3 if since_negation <= NEGATION_REACH else weight
-        if threat and not addressed:
-            total -= 1.5
-        if addressed:
-            total *= 1.5
-        return max(total, 0.0) / (2 if reported else 1)
+        """The weight of a clause whose words are (hash, weight as an insult or 0)."""
+        symbols = ["insult" if weight else self.symbols.get(word, "other") for word, weight in marked]
+        weights = [weight or (THREAT_WEIGHT if symbol == "threat" else 0.0) for symbol, (_, weight) in zip(symbols, marked)]
+        return self.machine.best(symbols, weights) or 0.0
 
 
 def _matches(found, hashes: np.ndarray, insults: tuple, stems: dict) -> np.ndarray:
@@ -198,7 +175,6 @@ def learn(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 8000,
-    max_words: int = 3000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -209,12 +185,12 @@ def learn(
     a word that insults follows many, while words of a text that was copied often follow the same
     one in each copy. Stems sum up the words they begin, so unseen inflections match too.
     Words and stems count that occur with at least 6 contexts, first seen in at least 4 toxic texts, and ten
-    times likelier there than elsewhere; the `max_words` heaviest are taken.
+    times likelier there than elsewhere.
     The coefficients of the score are then a logistic fit on what the grammar matches in the same rows.
 
     Labels other than 0 and 1 are ignored; an id with both counts as toxic. Without any usable label, the seeds weigh 3.
     Other columns don't matter, whatever their names. Texts of any length are read whole; null and empty ones hold no
-    words. Equal rows of `docs` are one. A label that many different rows of `docs` share weighs by their number.
+    words. Of rows of `docs` that share an id one is taken.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
@@ -224,8 +200,9 @@ def learn(
     n = clean.count()
     share = min(1.0, max_labelled / max(n, 1))
     drawn = clean.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    # About max_labelled rows of an id and a flag: a fixed bound, so the texts need no shuffle.
-    sample = docs.join(F.broadcast(drawn), id_col).select(id_col, text_col, label_col)
+    # About max_labelled rows of an id and a flag: a fixed bound, so the texts need no shuffle. One text an id.
+    sample = docs.join(F.broadcast(drawn), id_col).groupBy(id_col, label_col).agg(F.min(F.struct(F.xxhash64(text_col), text_col)).alias("one"))
+    sample = sample.select(id_col, f"one.{text_col}", label_col)
 
     key = F.xxhash64(id_col)
     contexts = _contexts(sample.select(key.alias("doc"), text_col, label_col)).groupBy("word", "before").agg(
@@ -247,10 +224,10 @@ def learn(
         stemmed = contexts.select(F.explode(heads).alias("stem"), "word", "toxic", "least", "doc").filter("stem is not null")
         stemmed = stemmed.groupBy("stem").agg(*sums, F.approx_count_distinct("word").alias("words"))
         heavy = (F.col("toxic") >= 6) & (F.col("docs") >= 4) & (F.col("weight") >= math.log(10))
-        for row in counted.withColumn("weight", weight).filter(heavy).orderBy(F.desc("weight"), "word").limit(max_words).collect():
+        for row in counted.withColumn("weight", weight).filter(heavy).collect():
             insults[text_hash(row["word"])] = row["weight"]
         found = stemmed.withColumn("weight", weight).filter(heavy & (F.col("words") >= 3))
-        for row in found.orderBy(F.desc("weight"), "stem").limit(max_words).collect():
+        for row in found.collect():
             size = len(row["stem"].encode())
             if size in STEM_BYTES:
                 stems.setdefault(size, {})[text_hash(row["stem"])] = row["weight"]
