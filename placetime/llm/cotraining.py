@@ -1,7 +1,7 @@
 """Quality classifier by co-training: a view of the text and a view of the page teach each other.
 
-Two logistic classifiers see different things: one what the words of a text are like, the other how
-the page is laid out and where it comes from. Starting from labelled rows, each round lets either view
+Two logistic classifiers see different things: one the words of a text, by hash, and what they are like, the
+other how the page is laid out and where it comes from. Starting from labelled rows, each round lets either view
 name the documents it is surest of, and the other view learns from them. In the end both views
 are calibrated on labelled rows and combined.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from placetime.llm.fertility import repeated_words
 from placetime.llm.tables import Tables
-from placetime.llm.words import BLANK, slices, words
+from placetime.llm.words import BLANK, U64, slices, words
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -34,18 +34,22 @@ SIGN[[ord(c) for c in "#*$%&|<>=+~^_@\\/[]{}`"]] = True
 TEXT_VIEW = (
     "word_bytes", "upper", "digits", "signs", "points", "different", "again", "most_common", "mixed", "short_words", "log_words"
 )
-SOURCE_BINS, LANG_BINS = 16, 8
+#: Words of a text fall into so many bins by hash; sources and languages of a page as well. Hessians grow with
+#: their squares, so the numbers are bounds of what comes to the driver.
+WORD_BINS = 64
+SOURCE_BINS, LANG_BINS = 64, 16
 PAGE_LAYOUT = ("log_chars", "log_lines", "line_chars", "short_lines", "blank_lines", "same_lines", "log_words_per_line")
 
 
 def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row per text: what its words are like."""
+    """One row per text: what its words are like, and which words they are (root of the share of each bin of hashes)."""
     found = words(data, offsets, BLANK)
     totals = [np.concatenate([[0], np.cumsum(kind[data])]) for kind in (LETTER, UPPER, DIGIT, SIGN, POINT)]
     lengths = found.ends - found.starts
     signs = np.concatenate([[0], np.cumsum(SIGN[data] | POINT[data])])
     dirty = (signs[found.ends] - signs[found.starts]) > 0
-    out = np.zeros((len(offsets) - 1, len(TEXT_VIEW)))
+    out = np.zeros((len(offsets) - 1, len(TEXT_VIEW) + WORD_BINS))
+    bins = (found.hashes % U64(WORD_BINS)).astype(np.int64)
     for i in range(len(out)):
         a, b = found.bounds[i], found.bounds[i + 1]
         n = int(b - a)
@@ -54,7 +58,8 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         letters, upper, digits, sign, point = (t[offsets[i + 1]] - t[offsets[i]] for t in totals)
         size = max(1, int(lengths[a:b].sum()))
         _, times = np.unique(found.hashes[a:b], return_counts=True)
-        out[i] = (
+        out[i, len(TEXT_VIEW) :] = np.sqrt(np.bincount(bins[a:b], minlength=WORD_BINS) / n)
+        out[i, : len(TEXT_VIEW)] = (
             size / n / 10, upper / max(1, letters), digits / size, sign / size, point / n,
             len(times) / n ** 0.9, repeated_words(found.hashes[a:b]) / n, times.max() / n,
             dirty[a:b].mean(), (lengths[a:b] <= 2).mean(), np.log1p(n) / 10,
@@ -95,7 +100,7 @@ def views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             rows = np.arange(batch.num_rows)
             page[rows, len(PAGE_LAYOUT) + batch.column(2).to_numpy()] = 1
             page[rows, len(PAGE_LAYOUT) + SOURCE_BINS + batch.column(3).to_numpy()] = 1
-            both = [np.vstack(text) if text else np.zeros((0, len(TEXT_VIEW))), page]
+            both = [np.vstack(text) if text else np.zeros((0, len(TEXT_VIEW) + WORD_BINS)), page]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()) for v in both)],
                 names=[id_col, "text_view", "page_view"],
@@ -181,9 +186,18 @@ PSEUDO_WEIGHT = 0.25
 #: A view names the documents that it is surest of: about these shares of all, on either side, more each round.
 SURE_SHARE = 0.02
 RIDGE = 3.0
+BIN_RIDGE = 100.0
 NEWTON_ROUNDS = 4
 
 
+def _penalty(name: str, k: int) -> np.ndarray:
+    """Ridge per coefficient: none for the constant, more for the many bins than for the few measures."""
+    penalty = np.full(k, RIDGE * BIN_RIDGE)
+    penalty[: 1 + len(TEXT_VIEW if name == "text" else PAGE_LAYOUT)] = RIDGE
+    penalty[0] = 1e-6
+    return penalty
+
+
 def _fit(rows: DataFrame, views_now: dict[str, View], teacher: Teacher | None) -> dict[str, View]:
     """Newton iterations for both views at once; gradients and Hessians are summed over all rows by Spark."""
     now, moving = dict(views_now), list(views_now)
@@ -208,8 +222,7 @@ def _fit(rows: DataFrame, views_now: dict[str, View], teacher: Teacher | None) -
             if not len(sums[f"{name} gradient"]):
                 moving.remove(name)
                 continue
-            penalty = np.full(k, RIDGE)
-            penalty[0] = 1e-6
+            penalty = _penalty(name, k)
             gradient = sums[f"{name} gradient"] - penalty * view.beta
             change = np.linalg.solve(sums[f"{name} hessian"].reshape(k, k) + np.diag(penalty + 1e-9), gradient)
             change *= min(1.0, 5.0 / max(1e-12, np.abs(change).max()))
@@ -259,7 +272,7 @@ def train(rows: DataFrame, rounds: int = 3) -> Quality:
     Calibration and combination use the given labels alone. Only sums whose size follows from the
     number of features come to the driver. Without labels of both kinds every document gets 0.5.
     """
-    sizes = {"text": len(TEXT_VIEW), "page": len(PAGE_LAYOUT) + SOURCE_BINS + LANG_BINS}
+    sizes = {"text": len(TEXT_VIEW) + WORD_BINS, "page": len(PAGE_LAYOUT) + SOURCE_BINS + LANG_BINS}
 
     def moments(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {"n": np.array([float(batch.num_rows)])}
@@ -345,8 +358,8 @@ def classify(
 
     Views are taken of every whole text and written, a few hundred bytes a document; training and scoring
     read them. Labels other than 0 and 1 are ignored, and an id with both counts as 0. Null and empty texts have
-    views like any other. Repeated rows give a row each; a null id has no label. Other
-    columns don't matter. An empty table gives no rows.
+    views like any other, and texts of any length are read whole. Repeated rows give a row each, and each
+    counts in training; a null id has no label. Other columns don't matter. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "cotraining")
     viewed = tables.settle(views(docs, id_col, text_col, source_col, lang_col))
