@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placetime.llm.ordered import places
 from placetime.llm.tables import Tables
 
 #: No document is taken more often than this.
@@ -14,8 +13,6 @@ MOST_COPIES = 3
 #: Newton's method ends when every source's expected tokens are within this share of its target.
 CLOSE = 1e-9
 MAX_ROUNDS = 60
-#: Frames with one row per source are broadcast up to so many sources (some MB); beyond, joins shuffle.
-BROADCAST_SOURCES = 50_000
 #: Rounding looks for its threshold in so many steps at a time, so many times.
 STEPS = 64
 LEVELS = 4
@@ -26,32 +23,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
+def targets(sizes: DataFrame, tables: Tables, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
     """(source, source_size, target) from one row (source, source_size) per source.
 
     Sources in the order of their code points, null last, take the weights in turn and share the
     total by them; no target exceeds `most` times its source's size, and what is cut off is shared
-    among the others by weight until none exceeds it. That ends at one level: a target is the
-    smaller of its bound and level times weight, and the level follows from the sources in the
-    order of bound over weight. The frame has one row per source, so ranking it is small work.
+    among the others by weight until none exceeds it. Places in the order come from ranges of sources, and each
+    round of sharing from two sums over all of them, so no task sees every source.
     """
-    by_name = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place + 1)
-    bound = F.col("source_size").cast("double") * most
-    rows = sizes.withColumn("weight", weight).withColumn("bound", bound)
-    before = Window.partitionBy().orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    # The level if just the sources before this one reach their bounds.
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("bound").over(earlier), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    )
-    levels = rows.withColumn("level", level)
-    holds = F.col("level") * F.col("weight") <= F.col("bound")
-    at = levels.withColumn("at", F.min(F.when(holds, F.struct(F.col("bound") / F.col("weight"), "source", "level"))).over(whole))
-    target = F.coalesce(F.least("bound", F.col("at.level") * F.col("weight")), F.col("bound"))
-    return at.select("source", "source_size", target.alias("target"))
+    rows = places(tables.settle(sizes.withColumn("all", F.lit(0))), "all", [F.col("source").asc_nulls_last()], tables)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("index", F.lit(len(weights))).cast("int") + 1)
+    rows = rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size").cast("double") * most).alias("bound"))
+    rows = tables.settle(rows)
+    above, level = 0, float("-inf")
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("bound")
+        sums = rows.agg(
+            F.sum("source_size"), F.sum(F.when(over, F.col("bound")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.count_if(over)
+        ).first()
+        if level > float("-inf") and (sums[3] == above or not sums[2]):
+            break
+        above, level = sums[3], ((sums[0] or 0) - (sums[1] or 0.0)) / (sums[2] or 1.0)
+    return rows.select("source", "source_size", F.least("bound", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _rate(tilt: Column, size: Column, scale: Column, most: int = MOST_COPIES) -> Column:
@@ -64,7 +57,7 @@ def _rate(tilt: Column, size: Column, scale: Column, most: int = MOST_COPIES) ->
     return most * grown / (most - 1 + grown)
 
 
-def balance(sizes: DataFrame, goals: DataFrame, tables: Tables, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def balance(sizes: DataFrame, goals: DataFrame, tables: Tables) -> DataFrame:
     """(source, tilt, scale): the dual solution, by Newton iterations over all documents.
 
     A document's rate depends on its source and size alone, so documents are counted by
@@ -82,7 +75,7 @@ def balance(sizes: DataFrame, goals: DataFrame, tables: Tables, small: Callable[
     )
     state = tables.settle(state)
     for _ in range(MAX_ROUNDS):
-        joined = counts.join(small(state), counts["source"].eqNullSafe(state["source"])).drop(counts["source"])
+        joined = counts.join(state, counts["source"].eqNullSafe(state["source"])).drop(counts["source"])
         rate = _rate(F.col("tilt"), F.col("size"), F.col("scale"))
         slope = rate * (MOST_COPIES - rate) / MOST_COPIES * F.col("size") / F.col("scale")
         sums = joined.groupBy("source", "target", "scale", "tilt", "low", "high", "done").agg(
@@ -106,7 +99,7 @@ def balance(sizes: DataFrame, goals: DataFrame, tables: Tables, small: Callable[
     return state.select("source", "tilt", "scale")
 
 
-def _rounded(rated: DataFrame, tables: Tables, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _rounded(rated: DataFrame, tables: Tables) -> DataFrame:
     """Adds `copies`, whole numbers next to the rates whose tokens meet each source's target as nearly as
     the documents at the edge allow.
 
@@ -123,7 +116,7 @@ def _rounded(rated: DataFrame, tables: Tables, small: Callable[[DataFrame], Data
     state = fixed.select(F.col("source").alias("s"), "target", "taken", F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"))
     state = tables.settle(state)
     for _ in range(LEVELS):
-        inside = rows.join(small(state.select("s", "low", "width")), F.col("source").eqNullSafe(F.col("s")))
+        inside = rows.join(state.select("s", "low", "width"), F.col("source").eqNullSafe(F.col("s")))
         step = F.floor((F.col("edge") - F.col("low")) / F.col("width") * STEPS)
         summed = inside.filter((F.col("edge") >= F.col("low")) & (F.col("edge") < F.col("low") + F.col("width"))).groupBy("s", step.alias("step")).agg(F.sum("size").alias("tokens"))
         upto = Window.partitionBy("s").orderBy("step")
@@ -143,11 +136,11 @@ def _rounded(rated: DataFrame, tables: Tables, small: Callable[[DataFrame], Data
         tables.drop(state)
         state = after
     # Of the last step, all or none, whichever comes nearer.
-    inside = rows.join(small(state.drop("target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    inside = rows.join(state.drop("target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     last = (F.col("edge") >= F.col("low")) & (F.col("edge") < F.col("low") + F.col("width"))
     rest = inside.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(last, F.col("size")).otherwise(0)).alias("rest"), F.first("taken").alias("base"))
     rest = tables.settle(rest)
-    joined = inside.join(small(rest), F.col("source").eqNullSafe(F.col("s")))
+    joined = inside.join(rest, F.col("source").eqNullSafe(F.col("s")))
     also = last & (F.abs(F.col("base") + F.col("rest") - F.col("target")) < F.abs(F.col("base") - F.col("target")))
     extra = (F.col("edge") < F.col("low")) | also
     return joined.withColumn("copies", F.col("whole") + extra.cast("long"))
@@ -171,8 +164,8 @@ def mix(
     The result depends on the rows alone, not on their order or partitioning. Rows alike in
     all of id, source and text get the same number of copies. A null source is a source of its own, the
     last; documents without words have rate 1 and are taken once. Columns besides the
-    three named don't matter. An empty table gives no rows. What is broadcast has one row per source,
-    and that only up to a checked number of sources.
+    three named don't matter. Texts of any length are counted whole. An empty table gives no rows. Tables with a row
+    per source are written, so Spark knows their bytes and broadcasts them while they are few.
     """
     tables = Tables(docs.sparkSession, "mixing")
     rows = docs.select(
@@ -180,12 +173,11 @@ def mix(
         word_count(F.col(text_col)).alias("size"),
     )
     rows = tables.settle(rows)
-    goals = tables.settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    small = F.broadcast if goals.count() <= BROADCAST_SOURCES else (lambda frame: frame)
-    tilts = balance(rows, goals, tables, small)
+    goals = tables.settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), tables, weights))
+    tilts = balance(rows, goals, tables)
     per_source = goals.join(tilts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     per_source = tables.settle(per_source.withColumnRenamed("source", "s"))
-    joined = rows.join(small(per_source), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = rows.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     at_most = F.col("target") >= MOST_COPIES * F.col("source_size") * (1 - 1e-12)
     rate = (
         F.when(F.col("size") == 0, 1.0)
@@ -194,6 +186,6 @@ def mix(
     )
     rated = joined.withColumn("rate", rate).drop("tilt", "scale")
     empty = rated.filter("size = 0").withColumn("copies", F.lit(1).cast("long"))
-    rounded = _rounded(rated.filter("size > 0"), tables, small)
+    rounded = _rounded(rated.filter("size > 0"), tables)
     out = "doc_id row_hash source size source_size target rate copies".split()
     return rounded.select(*out).unionAll(empty.select(*out))

@@ -352,7 +352,7 @@ def jaccard_components(
     def narrowed(rows: DataFrame, column: str) -> DataFrame:
         """A column of the heads that `rows` ask for; while these are few, the others don't move."""
         asked = tables.settle(rows.select("doc_id").distinct())
-        return heads.select(node.alias("doc_id"), column).join(tables.hinted(asked), "doc_id", "left_semi")
+        return heads.select(node.alias("doc_id"), column).join(asked, "doc_id", "left_semi")
 
     full = near.join(narrowed(near, "ranges"), "doc_id")
     fitting = tables.settle(_sorted_groups(full).mapInArrow(_active(percent), full.schema))
@@ -366,9 +366,9 @@ def jaccard_components(
     wanted = active.select(F.col("doc_id").alias("node")).distinct()
     again = tables.settle(heads.select(node.alias("node"), "doc_id", "fp1", "fp2", "copies").join(wanted, "node", "left_semi"))
     # Of rows that repeat an id, only the one with the class's text gives the class's set.
-    read = _gram_sets(texts.join(tables.hinted(again).select("doc_id"), "doc_id", "left_semi"), size)
+    read = _gram_sets(texts.join(again.select("doc_id"), "doc_id", "left_semi"), size)
     # Sets move once by node, for repeated rows and for the join, and once to their groups.
-    sets = read.join(tables.hinted(again), ["doc_id", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "grams", "copies")
+    sets = read.join(again, ["doc_id", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "grams", "copies")
     candidates = active.join(sets.dropDuplicates(["doc_id"]), "doc_id")
     verified = _sorted_groups(candidates).mapInArrow(_links(percent), "a long, b long, n_links long")
     edges = tables.settle(verified)

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from placetime.session import scratch_path
 
-#: Written tables of a few numbers per row are broadcast up to so many rows (some 50 MB).
-BROADCAST_ROWS = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Tables:
     """Written tables of one operator's run: computed once, kept if executors are lost.
 
-    `settle` writes a frame below the folder that `spark.checkpoint.dir` names and reads it again;
+    `settle` writes a frame below the folder that `spark.checkpoint.dir` names and reads it again, so Spark
+    knows its size in bytes when it decides between a broadcast and a shuffle;
     `drop` removes one that nothing reads any more. Tables that a returned frame still reads stay
     in that folder, whose own retention removes them.
     """
@@ -37,11 +35,6 @@ class Tables:
         read._settled_by = self  # keeps the id from being given again
         return read
 
-    @staticmethod
-    def hinted(settled: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-        """A written table of narrow rows, broadcast if it has at most `most` rows; a larger one is shuffled."""
-        return F.broadcast(settled) if settled.count() <= most else settled
-
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame in frames:
