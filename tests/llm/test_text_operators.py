@@ -622,6 +622,41 @@ def test_phrases_may_overlap_and_columns_clash(spark):
 # --- 4 co-training ---------------------------------------------------------------------------------------
 
 
+def test_text_view_tells_words_apart(spark, documents):
+    """Bad texts of the same shape and layout as good ones are told by their words; repeated rows count each."""
+    rng = random.Random(13)
+    good, bad = ([made_up(rng, 1, "etaoinshr") for _ in range(40)] for _ in range(2))
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=50)), "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in cotraining.classify(documents(rows), labels, rounds=1).collect()}
+    assert sum((got[i]["score"] >= 0.5) == (i % 2 == 1) for i in range(120, 400)) >= 0.95 * 280
+    twice = cotraining.classify(documents(rows + rows[:3]), labels, rounds=1).collect()
+    assert len(twice) == 403 and sum(r["doc_id"] == 1 for r in twice) == 2
+
+
+def test_newton_steps_are_those_of_a_plain_fit(spark, documents):
+    """The summed steps give the coefficients of a ridge fit in memory."""
+    rng = random.Random(14)
+    rows = [(i, made_up(rng, rng.randint(3, 40), "abcde" if i % 3 else "cdefg"), "en", f"s{i % 5}") for i in range(200)]
+    viewed = cotraining.views(documents(rows)).join(
+        spark.createDataFrame([(i, float(i % 3 == 0)) for i in range(200)], "doc_id long, label double"), "doc_id"
+    ).cache()
+    quality = cotraining.train(viewed, rounds=0)
+    x, y = (np.array([np.frombuffer(r["text_view"], "<f4") for r in viewed.collect()], float), np.array([r["label"] for r in viewed.collect()]))
+    middle, spread = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    design, beta = np.column_stack([np.ones(len(y)), np.clip((x - middle) / spread, -8, 8)]), np.zeros(x.shape[1] + 1)
+    measures = len(cotraining.TEXT_VIEW)
+    penalty = np.array([1e-6, *[cotraining.RIDGE] * measures, *[cotraining.RIDGE * cotraining.BIN_RIDGE] * (x.shape[1] - measures)])
+    for _ in range(cotraining.NEWTON_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9), design.T @ (y - p) - penalty * beta)
+        step *= min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
+        beta = beta + step
+        if np.abs(step).max() < 1e-3:
+            break
+    assert np.allclose(quality.text.beta, beta, atol=1e-4)
+
+
 def test_cotraining_held_out(spark, documents):
     rng = random.Random(11)
     rows, labels = [(1, None), (2, ""), (3, "y " * 5000)], [(3, 0), (1, None)]
