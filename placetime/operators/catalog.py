@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from placetime.functions.geometry import Geometry, box_polygon, geometries_intersect, geometry, geometry_struct
 from placetime.functions.timeparts import ts_lit
-from placetime.plans.sizing import broadcast_if_small
+from placetime.plans.sizing import settled
 
 # The catalog columns a search hands out.
 PUBLIC_COLUMNS = (
@@ -62,7 +62,7 @@ def catalog_search(
 ) -> DataFrame:
     """Datasets whose box meets `geom` and whose dates overlap (start, end), both strictly.
 
-    A name asks for that one dataset and switches the other filters off; dates count only if
+    Of a feature collection given as `geom` the first feature counts. A name asks for that one dataset and switches the other filters off; dates count only if
     both are given; datasets never ingested are left out.
     """
     found = catalog.filter(F.col("date_added").isNotNull() if ingested is None else ingested)
@@ -122,10 +122,10 @@ def latest_status(catalog: DataFrame, tasks: DataFrame) -> DataFrame:
 def attach_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog columns on every row, matched by `dataset_name`.
 
-    The catalog is measured, so that rows of a large dataset are not shuffled to one place.
+    The catalog is written, so Spark knows its size and broadcasts it while it is small; rows
+    of a large dataset are not shuffled to one place then.
     """
-    width = F.length(F.to_json(F.struct(*catalog.columns)))
-    return rows.join(broadcast_if_small(catalog, width), "dataset_name", "left")
+    return rows.join(settled(catalog, "catalog"), "dataset_name", "left")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

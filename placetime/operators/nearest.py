@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from placetime.functions.timeparts import micros
 from placetime.operators.network import sensor_properties
-from placetime.plans.sizing import HOT_ROWS, broadcast_if_small, hot_of, settled, with_pieces
+from placetime.plans.sizing import HOT_ROWS, hot_of, settled, with_pieces
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
@@ -40,7 +40,7 @@ def reporting_nodes(
     if network is not None:
         nodes = nodes.filter(F.col("network") == network)
     able = sensor_properties(sensors).filter(F.col("feature").isin(*features)).select("sensor").distinct()
-    carrying = bridge.join(broadcast_if_small(able, 64), "sensor", "left_semi").select("network", "node")
+    carrying = bridge.join(settled(able, "able-sensors"), "sensor", "left_semi").select("network", "node")
     return nodes.join(carrying, ["network", "node"], "left_semi")
 
 

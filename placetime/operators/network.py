@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import point_geojson, point_in
-from placetime.plans.sizing import broadcast_if_small
+from placetime.plans.sizing import settled
 
 
 def _mountings(bridge: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def network_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
     The innermost level, {alias: feature.property}, is the sensor's own map.
     """
     known = sensors.select("sensor", "observed_properties")
-    return _mountings(bridge).join(broadcast_if_small(known, _width(known)), "sensor").select("network", "node", "sensor", "observed_properties")
+    return _mountings(bridge).join(settled(known, "known"), "sensor").select("network", "node", "sensor", "observed_properties")
 
 
 def nested_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -40,16 +40,12 @@ def nested_tree(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
     return network_tree(bridge, sensors).groupBy("network", "node").agg(as_map.alias("tree"))
 
 
-def _width(df: DataFrame):
-    return F.length(F.to_json(F.struct(*df.columns))) + 64
-
-
 def reported(links: DataFrame, sensors: DataFrame) -> DataFrame:
     """Links with (alias, feature, property) of everything their sensor reports.
 
     The map is opened on the sensor table, which is small, before the join multiplies it.
     """
-    return links.join(broadcast_if_small(sensor_properties(sensors), 256), "sensor")
+    return links.join(settled(sensor_properties(sensors), "sensor-properties"), "sensor")
 
 
 def sensor_properties(sensors: DataFrame) -> DataFrame:
@@ -97,7 +93,7 @@ def network_metadata(networks: DataFrame, bridge: DataFrame, sensors: DataFrame)
     of_features = in_use.select("network", F.col("feature").alias("name"), F.lit("feature").alias("kind"))
     members = of_nodes.unionByName(of_sensors).unionByName(of_features).distinct()
     known = networks.select("network", "info")
-    named = members.join(broadcast_if_small(known, _width(known)), "network").select("network", "info", "kind", "name")
+    named = members.join(settled(known, "known"), "network").select("network", "info", "kind", "name")
     # Members never move by network, of which there are few; networks without members come on top.
     empty = known.join(links.select("network").distinct(), "network", "left_anti")
     none = F.lit(None).cast("string")

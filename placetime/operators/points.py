@@ -24,7 +24,8 @@ def select_points(
     hours: tuple[int, int] | None = None,
     ts: str = "point_date",
 ) -> DataFrame:
-    """The filters all point queries share. Dates are inclusive at both ends."""
+    """The filters all point queries share. Dates are inclusive at both ends; of a feature collection
+    given as `geom` the first feature counts."""
     if start is not None:
         points = points.filter(F.col(ts) >= ts_lit(start))
     if end is not None:

@@ -20,7 +20,7 @@ def shapes_filter(
     geom: str | dict | Geometry | None = None,
     tree: Mapping | str | None = None,
 ) -> DataFrame:
-    """Shapes that meet a geometry and a condition tree."""
+    """Shapes that meet a geometry and a condition tree; of a feature collection the first feature counts."""
     if tree is not None:
         shapes = shapes.filter(compile_tree(shapes.schema, tree))
     if geom is not None:

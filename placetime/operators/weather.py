@@ -14,12 +14,11 @@ from placetime.functions.timeparts import month_bounds, ts_lit
 from placetime.operators.catalog import first_per_key, largest_per_key
 from placetime.operators.filters import compile_arguments
 from placetime.operators.paging import newest, newest_order
-from placetime.plans.sizing import broadcast_if_small
+from placetime.plans.sizing import settled
 
 # Order of arrival of raw lines, where the first one counts.
 ARRIVAL = "arrival"
 PAGE = 1000
-STATION_BYTES = 128
 
 # Header names of the daily reports, output column -> (newer layout, older layout).
 DAILY_HEADERS = {
@@ -171,9 +170,9 @@ def decode_metar(
 
 
 def station_numbers(call_signs: DataFrame) -> DataFrame:
-    """One number per call sign, broadcast if they are few enough."""
+    """One number per call sign."""
     numbers = call_signs.groupBy("call_sign").agg(F.min("wban_code").alias("wban_code"))
-    return broadcast_if_small(numbers, STATION_BYTES)
+    return settled(numbers, "call-signs")
 
 
 def clean_stations(raw: DataFrame) -> DataFrame:
@@ -227,7 +226,7 @@ def weather_locate(reports: DataFrame, stations: DataFrame, month=None) -> DataF
         start, end = month_bounds(month)
         when = F.col(time_column(reports))
         missing = missing & (when >= ts_lit(start)) & (when < ts_lit(end))
-    joined = reports.join(broadcast_if_small(places, STATION_BYTES), "wban_code", "left")
+    joined = reports.join(settled(places, "places"), "wban_code", "left")
     return joined.withColumns(
         {
             "longitude": F.when(missing, F.col("_lon")).otherwise(F.col("longitude")),
@@ -253,8 +252,8 @@ def weather_query(
     ts = time_column(reports)
     # `null` stands for a missing value; unknown columns and operators are errors.
     wanted, _ = compile_arguments(reports.schema, arguments or {}, date_column=ts, strict=True, null_word="null")
-    numbers = broadcast_if_small(stations.select("wban_code"), STATION_BYTES)
-    known = reports.filter(wanted).join(numbers, "wban_code", "left_semi")
+    stations = settled(stations, "stations")  # worked out once, read twice
+    known = reports.filter(wanted).join(stations.select("wban_code"), "wban_code", "left_semi")
     page = newest(known, ts, tie, limit, offset)
     renamed = stations.select("wban_code", *[F.col(c).alias(f"station_{c}") for c in stations.columns if c != "wban_code"])
     # A shuffled join loses the order of the page.

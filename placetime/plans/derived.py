@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetime.functions.geometry import geometry_struct
-from placetime.plans.sizing import settled, spread
+from placetime.plans.sizing import settled
 
 
 @dataclass(frozen=True)
@@ -297,11 +297,10 @@ def present_text(key: str) -> str:
     return " || ".join(f"COALESCE({piece}, '')" for piece in present_pieces(key).values())
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A derived table; `heavy` announces much work per row."""
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = tables(SPARK)[name]
     read = spark.read.parquet(f"{sf_dir}/{source}.parquet")
-    return (spread(read) if heavy else read).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
+    return read.selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
 
 
 def duck(*names: str) -> str:
@@ -317,7 +316,7 @@ def duck(*names: str) -> str:
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One polygon per supplier, stored as a shape dataset is."""
-    frames = derive(spark, sf_dir, "shape_frames", heavy=True)
+    frames = derive(spark, sf_dir, "shape_frames")
 
     def vertex(fx: float, fy: float) -> Column:
         return F.struct((F.col("x0") + F.col("w") * fx).alias("x"), (F.col("y0") + F.col("w") * fy).alias("y"))

@@ -1,10 +1,10 @@
-"""Measured decisions: what may be broadcast, which keys are hot."""
+"""Tables of a known size, and which keys are hot."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placetime.session import scratch_path
@@ -14,29 +14,6 @@ HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 100_000
 
 
-def fits(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> bool:
-    """Is the frame at most `limit` bytes, by an aggregate over `row_bytes` per row?"""
-    width = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
-    total = df.agg(F.sum(width.cast("long")).alias("total")).first()["total"]
-    return (total or 0) <= limit
-
-
-def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring; otherwise the join shuffles and adaptive
-    execution splits its skewed partitions."""
-    return F.broadcast(df) if fits(df, row_bytes, limit) else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan spread over all cores where it has fewer splits than there are cores.
-
-    A single small file is one task, which is far too little for work that is heavy per row;
-    anything large has many splits and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_pieces(
     df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], own: DataFrame | None, other: DataFrame | None
 ) -> DataFrame:
@@ -74,7 +51,7 @@ def split_join(
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, kept if executors are lost, and
-    of a size the planner knows."""
+    of a size in bytes that Spark knows when it decides between a broadcast and a shuffle."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

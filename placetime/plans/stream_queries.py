@@ -60,7 +60,7 @@ def _dated_reports(spark, sf):
         f"CAST(date_trunc('MONTH', received) AS TIMESTAMP_NTZ) - make_ym_interval(0, CASE WHEN {day} + 1 > day(received) THEN 1 ELSE 0 END)"
         f" + make_dt_interval(CAST({day} AS INT), CAST(event_id % 24 AS INT), CAST(event_id % 60 AS INT), 0)"
     )
-    return derive(spark, sf, "metar_lines", heavy=True).withColumn("datetime", F.expr(instant))
+    return derive(spark, sf, "metar_lines").withColumn("datetime", F.expr(instant))
 
 
 @query("stream_metar", f"WITH {_METAR_SQL} SELECT DISTINCT wban_code, datetime FROM decoded WHERE NOT {_held_back('event_id')}")

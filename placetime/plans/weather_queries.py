@@ -73,7 +73,7 @@ _DAILY_SQL = (
 
 
 def _daily(spark, sf):
-    return wx.clean_daily(derive(spark, sf, "daily_lines", heavy=True).drop("order_key"))
+    return wx.clean_daily(derive(spark, sf, "daily_lines").drop("order_key"))
 
 
 @query("weather_daily_clean", f"WITH {_DAILY_SQL} SELECT * EXCLUDE (k) FROM daily")
@@ -122,7 +122,7 @@ _HOURLY_SQL = (
 
 
 def _hourly(spark, sf):
-    return wx.clean_hourly(derive(spark, sf, "hourly_lines", heavy=True))
+    return wx.clean_hourly(derive(spark, sf, "hourly_lines"))
 
 
 def _in_layout(lines, headers, old: bool):
@@ -135,7 +135,7 @@ def _in_layout(lines, headers, old: bool):
 @query("weather_daily_old", f"WITH {_DAILY_SQL} SELECT * EXCLUDE (k) FROM daily")
 def weather_daily_old(spark, sf):
     """Daily reports under the header of the older layout."""
-    old = _in_layout(derive(spark, sf, "daily_lines", heavy=True), wx.DAILY_HEADERS, old=True)
+    old = _in_layout(derive(spark, sf, "daily_lines"), wx.DAILY_HEADERS, old=True)
     return wx.clean_daily(old).withColumn("weather_types", types_text())
 
 
@@ -149,7 +149,7 @@ _NEW_HOURLY = "old_station_type, station_type, visibility, wban_code"
 )
 def weather_hourly_new(spark, sf):
     """Hourly reports under the header of the newer layout, where stations have types by number and visibilities."""
-    lines = derive(spark, sf, "hourly_lines", heavy=True)
+    lines = derive(spark, sf, "hourly_lines")
     kind = F.when(F.trim("Station Type") == "AO2", " 12").otherwise("-")
     new = _in_layout(lines.withColumn("Station Type", kind).withColumn("Visibility", F.lit("10.0")), wx.HOURLY_HEADERS, old=False)
     return wx.clean_hourly(new).withColumn("weather_types", types_text())
@@ -165,7 +165,7 @@ _WITHOUT = [f"{i:05}" for i in range(0, 997, 5)]
 )
 def weather_station_lists(spark, sf):
     """Reports of listed stations without those of banned ones."""
-    lines = derive(spark, sf, "daily_lines", heavy=True).drop("order_key")
+    lines = derive(spark, sf, "daily_lines").drop("order_key")
     return wx.clean_daily(lines, only=_ONLY, without=_WITHOUT).select("wban_code", "date", "temp_max")
 
 
@@ -370,7 +370,7 @@ _ROUNDED = ("temp_fahrenheit", "dewpoint_fahrenheit", "sealevel_pressure", "stat
 
 
 def _metars(spark, sf):
-    return wx.decode_metar(derive(spark, sf, "metar_lines", heavy=True), derive(spark, sf, "call_signs"))
+    return wx.decode_metar(derive(spark, sf, "metar_lines"), derive(spark, sf, "call_signs"))
 
 
 @query(

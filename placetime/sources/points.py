@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,29 +127,36 @@ def _kind(text: Column, digits: Column, iso: Column) -> Column:
     )
 
 
+# So many columns are judged in one aggregate; more would make a generated method that the JVM doesn't compile.
+COLUMNS_AT_ONCE = 4
+
+
 def infer_schema(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(position, field_name, field_type, has_nulls) found from all values in one pass.
+    """(position, field_name, field_type, has_nulls) found from all values.
 
-    Columns are laid out as rows, so that any number of them needs only one expression; a value
-    contributes one bit, and tasks hand on one integer per column. A boolean column may not hold
-    nulls, and zero-padded numbers are text.
+    A value contributes one bit; tasks hand on one integer per column, and no row per value is made. Some
+    columns at a time share an aggregate over these columns alone. A boolean column may not hold nulls, and
+    zero-padded numbers are text.
     """
     names = list(columns or raw.columns)
-    cells = raw.select(F.posexplode(F.array(*[F.col(f"`{n}`").cast("string") for n in names])).alias("place", "value"))
-    texts = cells.select("place", cleaned(F.col("value")).alias("t"))
-    pieces = texts.select("*", F.trim(F.replace("t", F.lit(","), F.lit(""))).alias("d"), _iso(F.col("t")).alias("i"))
-    kinds = pieces.groupBy("place").agg(F.bit_or(_kind(F.col("t"), F.col("d"), F.col("i"))).alias("kinds"))
-    listed = raw.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("place", "field_name"))
+    parts = []
+    for start in range(0, len(names), COLUMNS_AT_ONCE):
+        some = names[start : start + COLUMNS_AT_ONCE]
+        texts = raw.select(*[cleaned(F.col(f"`{n}`").cast("string")).alias(f"t{i}") for i, n in enumerate(some)])
+        pieces = texts.select(*[
+            column for i in range(len(some))
+            for column in (F.col(f"t{i}"), F.trim(F.replace(f"t{i}", F.lit(","), F.lit(""))).alias(f"d{i}"), _iso(F.col(f"t{i}")).alias(f"i{i}"))
+        ])
+        kinds = pieces.agg(*[F.bit_or(_kind(F.col(f"t{i}"), F.col(f"d{i}"), F.col(f"i{i}"))).alias(f"k{i}") for i in range(len(some))])
+        found = F.array(*[F.struct(F.lit(start + i + 1).alias("position"), F.lit(n).alias("field_name"), F.col(f"k{i}").alias("kinds")) for i, n in enumerate(some)])
+        parts.append(kinds.select(F.inline(found)))
     held = F.coalesce("kinds", F.lit(0))
     choice = F.lit("string")
     for kind, allowed in reversed(_HOLDS.items()):
         others = ~sum(_BIT[k] for k in allowed)
         choice = F.when(held.bitwiseAND(F.lit(others)) == 0, F.lit(kind)).otherwise(choice)
-    return listed.join(kinds, "place", "left").select(
-        (F.col("place") + 1).alias("position"),
-        "field_name",
-        choice.alias("field_type"),
-        (held.bitwiseAND(F.lit(_BIT["missing"])) != 0).alias("has_nulls"),
+    return reduce(DataFrame.unionByName, parts).select(
+        "position", "field_name", choice.alias("field_type"), (held.bitwiseAND(F.lit(_BIT["missing"])) != 0).alias("has_nulls")
     )
 
 

@@ -1,4 +1,7 @@
-"""Small public tables the expected results refer to."""
+"""Small public tables the expected results refer to.
+
+Fixed values throughout: the counts in the tests follow from these rows.
+"""
 
 # Flu shot clinics: date, day, event, event type, zip, ward, latitude, longitude.
 FLU = [

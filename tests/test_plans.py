@@ -72,3 +72,32 @@ def test_no_query_pairs_everything(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
     for unwanted in ("CartesianProduct", "NestedLoopJoin", "Python", "SinglePartition, REPARTITION"):
         assert unwanted not in text
+
+
+def test_unasked_observations_stay_where_they_are(spark, stored):
+    """Only slots that are asked for, and narrow rows, reach the shuffle that orders them."""
+    from placetime.operators import nearest
+
+    obs = spark.range(2000).selectExpr(
+        "concat('n', id % 50) as node_id", "timestamp_ntz'2020-01-01' + make_dt_interval(0, cast(id as int), 0, 0) as datetime",
+        "cast(id as double) as meta_id", "'s' as sensor", "repeat('payload', 20) as payload",
+    )
+    queries = spark.createDataFrame([(1, "n3")], "query_id int, node_id string").selectExpr("*", "timestamp_ntz'2020-02-01 05:00:00' as instant")
+    found = nearest.nearest_in_time(queries, obs, tie=["meta_id"])
+    text = plan(found)
+    window = text[text.index("Window") :]
+    ordered = window[: window.index("LeftSemi")] if "LeftSemi" in window else ""
+    assert ordered and "payload" not in ordered
+    rows = found.collect()
+    assert rows and all(r["payload"] == "payload" * 20 for r in rows)
+
+
+def test_members_of_networks_are_joined_once(spark):
+    """The known networks are written and meet the members in one broadcast join."""
+    from placetime.operators import network
+
+    networks = spark.createDataFrame([("net", "i")], "network string, info string")
+    bridge = spark.createDataFrame([("net", "n", "s")], "network string, node string, sensor string")
+    sensors = spark.createDataFrame([("s", {"a": "f.p"})], "sensor string, observed_properties map<string,string>")
+    text = plan(network.network_metadata(networks, bridge, sensors))
+    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "SortMergeJoin" not in text

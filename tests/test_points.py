@@ -10,7 +10,7 @@ from placetime.operators import ingest, points, timeseries
 from placetime.operators.filters import compile_arguments, compile_tree
 from placetime.operators.catalog import dataset_extent
 from placetime.operators.grid import grid_count, grid_features
-from placetime.sources.points import PointRoles, infer_schema, read_points, read_raw
+from placetime.sources.points import PointRoles, apply_types, infer_schema, read_points, read_raw
 from placetime.sources.store import dataset_path, open_datasets
 
 ZIP = {"op": "eq", "col": "zip", "val": 60620}
@@ -266,3 +266,27 @@ def test_bad_value_fails_the_load(spark, tmp_path, kind):
 def test_bad_row_fails_the_load(spark, tmp_path):
     with pytest.raises(Exception):
         read_raw(spark, _write(tmp_path, "a,b\n1,2\n1,2,3\n")).collect()
+
+
+def test_only_numbers_written_in_full_count(spark):
+    """A cast alone would take the suffixes of Java's literals."""
+    raw = spark.createDataFrame([("1.5", "12", "(41.8, -87.6)", "1e3"), ("12D", "7", "(41.8D, -87.6)", "1f")], "a string, b string, place string, c string")
+    kinds = {r["field_name"]: r["field_type"] for r in infer_schema(raw).collect()}
+    assert kinds == {"a": "string", "b": "int", "place": "string", "c": "string"}
+    for column, kind in (("a", "double"), ("a", "int"), ("c", "double")):
+        with pytest.raises(Exception, match="not a"):
+            apply_types(raw.select(column), {column: kind}).collect()
+    placed = ingest.derive_point(raw.withColumn("when", F.lit("2015-01-01")), PointRoles(date="when", location="place")).collect()
+    assert [(r["lat"], r["lon"]) for r in placed] == [(41.8, -87.6), (None, None)]
+    placed = ingest.derive_point(raw, PointRoles(lat="a", lon="b")).collect()
+    assert [(r["lat"], r["lon"]) for r in placed] == [(1.5, 12.0), (None, None)]
+
+
+def test_types_of_many_columns_and_of_none(spark):
+    names = [f"c{i}" for i in range(11)]
+    raw = spark.createDataFrame([[str(i) if i % 2 else f"{i}.5" for i in range(11)], [None] * 11], ", ".join(f"{n} string" for n in names))
+    rows = infer_schema(raw).orderBy("position").collect()
+    assert [(r["position"], r["field_name"]) for r in rows] == list(enumerate(names, 1))
+    assert [r["field_type"] for r in rows] == ["int" if i % 2 else "double" for i in range(11)] and all(r["has_nulls"] for r in rows)
+    empty = infer_schema(raw.limit(0)).collect()
+    assert len(empty) == 11 and not any(r["has_nulls"] for r in empty)
