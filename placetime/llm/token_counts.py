@@ -178,10 +178,13 @@ def apply_edits(
         F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits")
     )
     keys = [id_col, "text_hash"]
-    # Written, so that Spark knows how few they are: texts and trees without edits leave before anything is moved.
-    given = Tables(docs.sparkSession, "edits").settle(given)
+    tables = Tables(docs.sparkSession, "edits")
+    given = tables.settle(given)
+    # Two numbers a document, written apart so that Spark knows how few bytes they are: texts and trees
+    # without edits leave before anything is moved.
+    edited = tables.settle(given.select(*keys))
     texts = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
-    texts, touched = (rows.join(given.select(*keys), keys, "left_semi") for rows in (texts, trees.select(*keys, "chars", "tokens")))
+    texts, touched = (rows.join(edited, keys, "left_semi") for rows in (texts, trees.select(*keys, "chars", "tokens")))
     joined = given.join(texts.dropDuplicates(keys), keys).join(touched.dropDuplicates(keys), keys)
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
     names = ["text", "n_edits", "n_tokens", "chars", "tokens", "encoded_chars"]
