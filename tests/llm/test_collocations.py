@@ -53,7 +53,7 @@ def sample(rng, docs, letters, passages=()):
 LETTERS = [*"abcdefgh", "É", "é", "Ab", "ab", "x-y", "don't", "日本", *(f"w{i}" for i in range(25))]
 
 
-@pytest.mark.parametrize(("top", "share"), [(5, 8), (40, 8), (100_000, 8), (10, 100), (7, 2)])
+@pytest.mark.parametrize(("top", "share"), [(5, 8), (100_000, 8), (10, 100)])
 def test_against_all_counts(spark, top, share):
     rng = random.Random(top)
     rows = sample(rng, 150, LETTERS, ["one two three four five six seven", "w3 w24 w20 rare thing", "a a a a a a"])
