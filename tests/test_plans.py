@@ -100,4 +100,4 @@ def test_members_of_networks_are_joined_once(spark):
     bridge = spark.createDataFrame([("net", "n", "s")], "network string, node string, sensor string")
     sensors = spark.createDataFrame([("s", {"a": "f.p"})], "sensor string, observed_properties map<string,string>")
     text = plan(network.network_metadata(networks, bridge, sensors))
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "SortMergeJoin" not in text
+    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and text.count("SortMergeJoin") <= 1  # networks without members
