@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,8 @@ def stored_reports(spark: SparkSession, store: str, schema: T.StructType | None
         return spark.read.parquet(store)
     try:
         return spark.read.schema(schema).parquet(store)
-    except Exception as problem:  # the reader has no other way to tell
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
