@@ -14,6 +14,13 @@ HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 100_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of the driver's tables laid out over all cores: they are one file of one row group each, and so
+    one task, which is far too little for work that is heavy per row. Only queries on those tables use it, no operator."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_pieces(
     df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], own: DataFrame | None, other: DataFrame | None
 ) -> DataFrame:
