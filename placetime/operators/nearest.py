@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 from placetime.functions.timeparts import micros
 from placetime.operators.network import sensor_properties
-from placetime.plans.sizing import HOT_ROWS, hot_of, settled, with_pieces
+from placetime.plans.sizing import HOT_ROWS, settled
 
 NEIGHBOURS = 10
 HALF_WINDOW_MICROS = 12 * 3600 * 1_000_000
 RESULTS = 3
+# Crowded time lines are cut into so many ranges at most, or more if these would hold more than `HOT_ROWS` rows.
+MOST_PIECES = 256
 
 # The neighbour search halves a square around all nodes again and again; a cell of level i is one of
 # 4 ** i along a side. Cells of at most `LEAF` nodes are not divided, nor those of the last level.
@@ -165,9 +167,8 @@ def nearest_in_time(
 
     Queries and observations are laid on one time line per node and 12-hour slot, and each
     query looks at the few observations just before and just after it; so the work grows with
-    the rows, not with the pairs. A query visits its own slot and both neighbours. Slots with
-    too many observations are cut into pieces, each visited by the slot's queries; slots with
-    too many queries have their observations repeated per piece instead.
+    the rows, not with the pairs. A query visits its own slot and both neighbours. Where slots hold
+    too many rows of either side, the time lines are cut into ranges instead (see `_cut_lines`).
 
     Only node, time, tie and a hash of the row travel; the rows found are read once more by these.
 
@@ -198,14 +199,14 @@ def nearest_in_time(
     both = seen.select(*place, F.lit(1).alias("s"), F.lit(0).alias("v")).unionAll(visits.select(*place, F.lit(0).alias("s"), F.lit(1).alias("v")))
     counted = both.groupBy(*place).agg(F.sum("s").alias("s"), F.sum("v").alias("v")).filter("s > 0 AND v > 0")
     counted = settled(counted, "slots")
-    dense, busy = hot_of(counted, place, "s", hot_rows), hot_of(counted, place, "v", hot_rows)
-    seen, visits = (side.join(counted.select(*place), place, "left_semi") for side in (seen, visits))
-    seen = with_pieces(seen, place, ["_t", "_tie"], own=dense, other=busy)
-    visits = with_pieces(visits, place, ["_t", *keys], own=busy, other=dense)
-    seen = seen.withColumnsRenamed({"own_piece": "po", "other_piece": "pq"})
-    visits = visits.withColumnsRenamed({"own_piece": "pq", "other_piece": "po"})
-
-    line = ["node_id", "slot", "po", "pq"]
+    seen = seen.join(counted.select(*place), place, "left_semi")
+    total, crowded = counted.agg(F.sum(F.col("s") + F.col("v")), F.max(F.greatest("s", "v"))).first()
+    if (crowded or 0) > hot_rows:
+        # Each query stands on its node's line once.
+        line, visits = ["node_id"], asked.filter("node_id IS NOT NULL AND _t IS NOT NULL")
+    else:
+        line, visits = place, visits.join(counted.select(*place), place, "left_semi")
+
     query_type = visits.select(F.struct(*keys).alias("q")).schema["q"].dataType
     both = seen.select(*line, "_t", "_tie", "_o", F.lit(0).alias("kind"), F.lit(None).cast(query_type).alias("q")).unionByName(
         visits.select(
@@ -217,6 +218,8 @@ def nearest_in_time(
             F.struct(*keys).alias("q"),
         )
     )
+    if (crowded or 0) > hot_rows:
+        both, line = _cut_lines(both, total, results, hot_rows), ["node_id", "piece"]
     found = both.withColumn("_at", F.when(F.col("kind") == 0, F.struct("_t", "_tie", "_o")))
     over = f"OVER (PARTITION BY {', '.join(line)} ORDER BY _t, kind, _tie)"
     sides = [
@@ -244,6 +247,39 @@ def nearest_in_time(
     return found.select(*keys, "node_id", *values, "gap", "place")
 
 
+def _cut_lines(both: DataFrame, total: int, results: int, hot_rows: int) -> DataFrame:
+    """The rows of all time lines with `piece`, the range of (node, time) they fall into, and copies of the observations
+    that a query may see beyond its piece.
+
+    Ranges are cut by what the rows hold, so a piece is bounded however crowded a node, a slot or an instant is.
+    Of a piece only the first and the last `results` observations can be seen from another one; the nearest of them
+    before and after each piece of a node are repeated in it.
+    """
+    pieces = min(math.ceil(total / hot_rows), max(MOST_PIECES, math.ceil(total / HOT_ROWS)))
+    order = ["_t", "kind", "_tie", "_o", "q"]
+    whole = settled(both.repartitionByRange(max(pieces, 2), "node_id", *order).withColumn("piece", F.spark_partition_id()), "lines")
+    spans = whole.groupBy("node_id").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).filter("low < high")
+    spans = settled(spans, "spans").select("node_id")  # at most one node more than there are cuts
+    seen = whole.filter("kind = 0").join(F.broadcast(spans), "node_id", "left_semi")
+    own, at = Window.partitionBy("node_id", "piece"), ["_t", "_tie", "_o"]
+    nth = F.row_number().over(own.orderBy(*at))
+    ends = seen.withColumn("first", nth).withColumn("last", F.count(F.lit(1)).over(own) - F.col("first"))
+    ends = ends.filter((F.col("first") <= results) | (F.col("last") < results)).select("node_id", "piece", F.lit(1).alias("part"), "first", F.struct(*at).alias("_at"))
+    marks = whole.join(F.broadcast(spans), "node_id", "left_semi").select("node_id", "piece").distinct()
+    marks = marks.select("node_id", "piece", F.explode(F.array(F.lit(0), F.lit(2))).alias("part"), F.lit(0).alias("first"), F.lit(None).cast(ends.schema["_at"].dataType).alias("_at"))
+    over = "OVER (PARTITION BY node_id ORDER BY piece, part, first)"
+
+    def others(fn: str) -> Column:
+        return F.array(*[F.expr(f"{fn}(_at, {i}) IGNORE NULLS {over}") for i in range(1, results + 1)])
+
+    looked = ends.unionByName(marks).select("node_id", "piece", "part", others("lag").alias("before"), others("lead").alias("after"))
+    beyond = looked.filter("part <> 1").select("node_id", "piece", F.explode(F.when(F.col("part") == 0, F.col("before")).otherwise(F.col("after"))).alias("_at"))
+    repeated = beyond.filter("_at IS NOT NULL").select(
+        "node_id", "piece", "_at.*", F.lit(0).alias("kind"), F.lit(None).cast(whole.schema["q"].dataType).alias("q")
+    )
+    return whole.unionByName(repeated, allowMissingColumns=True)
+
+
 def _hashed(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
 

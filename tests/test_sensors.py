@@ -202,3 +202,29 @@ def test_stream_aggregate_emits_closed_windows(spark, vector, tmp_path):
     assert [r["x_count"] for r in rows] == [100, 100]
     jobs.run_available(aggregate, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_crowded_slots_repeat_few_rows(spark):
+    """Cutting crowded slots adds a few rows a piece; it does not pair every piece of readings with every piece of queries."""
+    base = dt.datetime(2020, 1, 1)
+    schema = "node_id string, datetime timestamp_ntz, meta_id double, sensor string, v double"
+    obs = spark.createDataFrame([("n", base + dt.timedelta(seconds=10 * i), float(i), "s", float(i)) for i in range(2000)], schema)
+    queries = spark.createDataFrame([(q, "n", base + dt.timedelta(seconds=10 * q + 1)) for q in range(2000)], "query_id int, node_id string, instant timestamp_ntz")
+    found = nearest.nearest_in_time(queries, obs, tie=["meta_id"], hot_rows=3)
+    rows = {(r["query_id"], r["place"]): r["v"] for r in found.collect()}
+    assert len(rows) == 6000 and all(rows[q, 1] == q for q in range(2000)) and all(rows[q, 2] == q + 1 for q in range(1999))
+    most = []
+
+    def visit(node):
+        name = node.nodeName()
+        if node.metrics().contains("numOutputRows"):
+            most.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        if "QueryStage" in name:
+            visit(node.plan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(found._jdf.queryExecution().executedPlan())
+    assert max(most) <= 6 * 4000
