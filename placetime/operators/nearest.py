@@ -27,6 +27,8 @@ LEAF = 8
 DEEPEST = 14
 # Levels of so many cells at most (1.2 MB) are broadcast.
 BROADCAST_LEVELS = 3
+# The longest list of nodes that a group of queries looks through at once, about.
+LIST_NODES = 1000
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -46,31 +48,39 @@ def reporting_nodes(
     return nodes.join(carrying, ["network", "node"], "left_semi")
 
 
-def _sides_away(at: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """Distance on one axis to the nearer and the farther end of a range."""
-    return F.greatest(low - at, at - high, F.lit(0.0)), F.greatest(high - at, at - low)
+def _sides_away(low: Column, high: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Least and greatest distance on one axis between places of two ranges."""
+    return F.greatest(start - high, low - end, F.lit(0.0)), F.greatest(end - low, high - start)
 
 
-def _bounds(df: DataFrame) -> DataFrame:
-    """Adds the least and the greatest distance of the query at (qx, qy) to a node of the cell."""
-    (near_x, far_x), (near_y, far_y) = _sides_away(F.col("qx"), F.col("x0"), F.col("x1")), _sides_away(F.col("qy"), F.col("y0"), F.col("y1"))
+def _bounds(df: DataFrame, x0: str = "x0", x1: str = "x1", y0: str = "y0", y1: str = "y1") -> DataFrame:
+    """Adds the least and the greatest distance of a query of the group to a node of the cell."""
+    q = [F.col(c) for c in GROUP_BOX]
+    (near_x, far_x), (near_y, far_y) = _sides_away(q[0], q[1], F.col(x0), F.col(x1)), _sides_away(q[2], q[3], F.col(y0), F.col(y1))
     zero = F.lit(0.0)
     return df.withColumn("lower", distance(near_x, near_y, zero, zero)).withColumn("upper", distance(far_x, far_y, zero, zero))
 
 
+GROUP = ["gx", "gy"]
+GROUP_BOX = ["qx0", "qx1", "qy0", "qy1"]
 CELL = ["level", "cx", "cy"]
 CELL_BOX = ["n", "x0", "x1", "y0", "y1"]
 
 
+def _square(placed: DataFrame) -> tuple[float, float, float, int]:
+    """Lower left corner and side of the square around all nodes, and their number."""
+    x0, y0, x1, y1, n = placed.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count(F.lit(1))).first()
+    return x0, y0, max(x1 - x0, y1 - y0) if n else 0.0, n
+
+
 def _cells(placed: DataFrame, k: int, levels: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(nodes with a cell per level, cells with their number of nodes and the box around these, depth).
 
     Tries as many levels as evenly spread nodes would need and a few more; twice as many if that left crowded cells.
     """
-    x0, y0, x1, y1, n = placed.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count(F.lit(1))).first()
+    x0, y0, side, n = _square(placed)
     if not n:
         return placed, placed, 0
-    side = max(x1 - x0, y1 - y0)
     deepest = min(DEEPEST, levels or 2 + math.ceil(math.log(n / LEAF + 1, SPLIT * SPLIT))) if side > 0 else 1
 
     def cell(value: str, start: float, parts: int) -> str:
@@ -95,11 +105,12 @@ def _cells(placed: DataFrame, k: int, levels: int | None = None) -> tuple[DataFr
 def knn_nodes(queries: DataFrame, nodes: DataFrame, k: int = NEIGHBOURS, key: str = "query_id") -> DataFrame:
     """(key, network, node, distance, rank) of the k nearest nodes for every query point.
 
-    Exact, by branch and bound over nested cells, all queries at once, level by level. For each cell the box around
-    its nodes bounds their distances from both sides. The cells with the least upper bounds that hold k nodes
-    together give the distance beyond which no neighbour lies; cells that begin farther away are
-    dropped, the others divided. So what is left of a level is a few cells around the k-th neighbour, wherever
-    the query lies. Ties share a rank; the k-th place goes to the smallest names.
+    Exact, by branch and bound over nested cells, all queries at once, level by level. Queries go down together with
+    those in the same cell of the lattice, so a level holds a few rows per group and not per query. For each cell the box
+    around its nodes bounds their distances from a group's box from both sides. The cells with the least upper bounds
+    that hold k nodes together give the distance beyond which no neighbour lies; cells that begin farther away are
+    dropped, the others divided, and so is the group. What is left are a few nodes around the k-th neighbours of a group,
+    which each of its queries looks through on its own. Ties share a rank; the k-th place goes to the smallest names.
     """
     placed = nodes.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("network", "node", F.col("lon").alias("x"), F.col("lat").alias("y"))
     placed = settled(placed, "nodes")
@@ -109,12 +120,27 @@ def knn_nodes(queries: DataFrame, nodes: DataFrame, k: int = NEIGHBOURS, key: st
         none = F.lit(None).cast("string")
         return asked.filter(F.lit(False)).select(key, none.alias("network"), none.alias("node"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
 
-    # The first level has at most 16 cells; every query begins with all of them.
+    x0, y0, side, _ = _square(placed)
+    fine = SPLIT**depth / (side or 1.0)
+    asked = asked.withColumns({"gx": F.floor((F.col("qx") - x0) * fine).cast("long"), "gy": F.floor((F.col("qy") - y0) * fine).cast("long")})
+    box = [F.min("qx").alias("qx0"), F.max("qx").alias("qx1"), F.min("qy").alias("qy0"), F.max("qy").alias("qy1")]
+    finest = settled(asked.groupBy(*GROUP).agg(*box), "query-groups")
+
+    def groups(level: int) -> DataFrame:
+        wide = SPLIT ** (depth - level)
+        over = finest.select(*[F.expr(f"({g} - pmod({g}, {wide}L)) div {wide}L").alias(g) for g in GROUP], *GROUP_BOX)
+        return over.groupBy(*GROUP).agg(F.min("qx0").alias("qx0"), F.max("qx1").alias("qx1"), F.min("qy0").alias("qy0"), F.max("qy1").alias("qy1"))
+
+    # The first level has at most 16 cells; every group begins with all of them.
     top = cells.filter("level = 1").select(*CELL, *CELL_BOX)
     rows = json.dumps([row.asDict() for row in top.collect()])
-    front = asked.select("*", F.explode(F.from_json(F.lit(rows), T.ArrayType(top.schema))).alias("c")).select(key, "qx", "qy", "c.*")
-    front = _pruned(_bounds(front), key, k)
+    front = groups(1).select("*", F.explode(F.from_json(F.lit(rows), T.ArrayType(top.schema))).alias("c")).select(*GROUP, *GROUP_BOX, "c.*")
+    front = _pruned(_bounds(front), GROUP, k)
     for level in range(2, depth + 1):
+        inner = groups(level).select(*[F.expr(f"({g} - pmod({g}, {SPLIT}L)) div {SPLIT}L").alias(f"p{g}") for g in GROUP], *GROUP, *GROUP_BOX)
+        outer = front.select(F.col("gx").alias("pgx"), F.col("gy").alias("pgy"), *CELL, *CELL_BOX, "reach")
+        # What holds k nodes for all of a group does so for a part of it.
+        front = _bounds(inner.join(outer, ["pgx", "pgy"])).filter(F.col("lower") <= F.col("reach")).drop("pgx", "pgy", "lower", "upper")
         below = cells.filter(F.col("level") == level).select(
             F.expr(f"cx div {SPLIT}").alias("px"), F.expr(f"cy div {SPLIT}").alias("py"), *[F.col(c).alias(f"_{c}") for c in [*CELL, *CELL_BOX]]
         )
@@ -122,27 +148,45 @@ def knn_nodes(queries: DataFrame, nodes: DataFrame, k: int = NEIGHBOURS, key: st
             below = F.broadcast(below)
         # Cells that are not divided meet nothing, under keys of their own that fall apart.
         open_ = (F.col("level") == level - 1) & (F.col("n") > LEAF)
-        own = -1 - F.pmod(F.xxhash64(key), F.lit(1 << 30))
+        own = -1 - F.pmod(F.xxhash64(*GROUP), F.lit(1 << 30))
         to = front.withColumn("jx", F.when(open_, F.col("cx")).otherwise(own)).withColumn("jy", F.when(open_, F.col("cy")).otherwise(own))
         grown = to.join(below, (F.col("jx") == F.col("px")) & (F.col("jy") == F.col("py")), "left")
-        grown = grown.select(key, "qx", "qy", *[F.coalesce(f"_{c}", c).alias(c) for c in [*CELL, *CELL_BOX]])
-        front = _pruned(_bounds(grown), key, k)
-
-    gap = distance(F.col("qx"), F.col("qy"), F.col("x"), F.col("y"))
-    met = front.select(key, "qx", "qy", *CELL, "reach").join(located, CELL)
-    pairs = met.select(key, "network", "node", "reach", gap.alias("distance")).filter(F.col("distance") <= F.col("reach")).drop("reach")
+        grown = grown.select(*GROUP, *GROUP_BOX, "reach", *[F.coalesce(f"_{c}", c).alias(c) for c in [*CELL, *CELL_BOX]])
+        front = _pruned(_bounds(grown).filter(F.col("lower") <= F.col("reach")).drop("reach"), GROUP, k)
+
+    met = front.select(*GROUP, *GROUP_BOX, *CELL, "reach").join(located, CELL)
+    met = _bounds(met, "x", "x", "y", "y").filter(F.col("lower") <= F.col("reach"))
+    # A group's nodes travel as a few lists of bounded length, mostly one.
+    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*GROUP)) / LIST_NODES)
+    listed = met.select(*GROUP, F.pmod(F.xxhash64("network", "node"), lists).alias("list"), F.struct("x", "y", "network", "node").alias("c"))
+    lists = listed.groupBy(*GROUP, "list").agg(F.collect_list("c").alias("nodes"))
+    pairs = asked.join(lists, GROUP).select(key, F.explode(_nearest_of(F.col("nodes"), k)).alias("c")).select(key, "c.network", "c.node", "c.distance")
     by_query = Window.partitionBy(key)
     place = F.row_number().over(by_query.orderBy("distance", "network", "node"))
     ranked = pairs.withColumn("_place", place).filter(F.col("_place") <= k)
     return ranked.withColumn("rank", F.rank().over(by_query.orderBy("distance"))).drop("_place")
 
 
-def _pruned(cells: DataFrame, key: str, k: int) -> DataFrame:
-    """A query's cells that may hold one of its k nearest nodes, with `reach`, a distance that holds k of them."""
-    by_query = Window.partitionBy(key)
-    nearer = by_query.orderBy("upper").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _nearest_of(nodes: Column, k: int) -> Column:
+    """The k nearest of a list of nodes to (qx, qy) in order. Lists of one element keep values from being computed per node."""
+    gaps = F.transform(nodes, lambda c: F.struct(distance(F.col("qx"), F.col("qy"), c["x"], c["y"]).alias("distance"), c["network"].alias("network"), c["node"].alias("node")))
+
+    def first(near: Column, last: Column) -> Column:
+        return F.slice(F.array_sort(F.filter(near, lambda c: c["distance"] <= last)), 1, k)
+
+    def cut(near: Column) -> Column:
+        last = F.coalesce(F.get(F.array_sort(F.transform(near, lambda c: c["distance"])), F.lit(k - 1)), F.lit(float("inf")))
+        return F.transform(F.array(last), lambda at: first(near, at))[0]
+
+    return F.transform(F.array(gaps), cut)[0]
+
+
+def _pruned(cells: DataFrame, group: Sequence[str], k: int) -> DataFrame:
+    """A group's cells that may hold one of its queries' k nearest nodes, with `reach`, a distance that holds k of them."""
+    by_group = Window.partitionBy(*group)
+    nearer = by_group.orderBy("upper").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     enough = F.when(F.sum("n").over(nearer) >= k, F.col("upper"))
-    bounded = cells.withColumn("enough", enough).withColumn("reach", F.coalesce(F.min("enough").over(by_query), F.lit(float("inf"))))
+    bounded = cells.withColumn("enough", enough).withColumn("reach", F.coalesce(F.min("enough").over(by_group), F.lit(float("inf"))))
     return bounded.filter(F.col("lower") <= F.col("reach")).drop("enough", "lower", "upper")
 
 

@@ -233,3 +233,34 @@ def test_a_line_reaches_shapes_and_datasets_within_its_buffer(spark):
     assert {r["dataset_name"] for r in found.collect()} == near
     shapes = catalog.withColumn("geom", box_geometry())
     assert {r["dataset_name"] for r in shapes_filter(shapes, line).collect()} == near
+
+
+def test_crowds_of_queries_go_down_together(spark):
+    """What the search joins grows with the groups of queries in a cell, not with the queries."""
+    rng = random.Random(9)
+    spots = [(rng.uniform(0, 1), rng.uniform(0, 1)) for _ in range(300)]
+    nodes = spark.createDataFrame([("net", f"n{i:04}", x, y) for i, (x, y) in enumerate(spots)], "network string, node string, lon double, lat double")
+    asked = [(rng.uniform(0.4, 0.5), rng.uniform(0.4, 0.5)) for _ in range(3000)]
+    queries = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(asked)], "query_id int, lon double, lat double")
+    result = nearest.knn_nodes(queries, nodes, 10)
+    found = {}
+    for r in result.collect():
+        found.setdefault(r["query_id"], []).append((r["distance"], r["node"], r["rank"]))
+    for i, (x, y) in list(enumerate(asked))[::50]:
+        order = sorted(range(len(spots)), key=lambda n: math.hypot(spots[n][0] - x, spots[n][1] - y))
+        assert [(node, rank) for _, node, rank in sorted(found[i])] == [(f"n{n:04}", place) for place, n in enumerate(order[:10], 1)]
+    joined = []
+
+    def visit(node):
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        if "QueryStage" in name:
+            visit(node.plan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(result._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= 2 * len(asked)
