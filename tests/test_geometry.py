@@ -4,9 +4,11 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from placetime.functions.counting import count_inside
 from placetime.functions.geometry import geometries_intersect, geometry, metres_to_degrees, point_in
 from placetime.functions.text import slug, slugs
 from placetime.operators import nearest, shapes, spatial
@@ -80,6 +82,40 @@ def test_counts(world):
     assert all(sum(1 for _, s in expected if s == i) == n for i, n in counts.items())
 
 
+@pytest.mark.parametrize("crowd", [10**6, 300])
+@pytest.mark.parametrize("predicate", ["intersects", "within"])
+def test_counts_without_pairs(world, predicate, crowd):
+    """Cells too many to broadcast: the same counts, and no join of points and cells."""
+    points, frame, _, _ = world
+    odd = points.select("lon", "lat").unionAll(points.select(F.round("lon"), F.round("lat"))).unionAll(points.select(F.lit(float("nan")), "lat"))
+    pairs = spatial.match_points(odd, frame, "id", predicate).groupBy("id").count()
+    counted = spatial.count_points(odd, frame, "id", predicate, limit=0, crowd=crowd)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, pairs.collect()))
+    plan = spatial.points_per_polygon(odd, frame, "id", predicate, limit=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_points_on_sides_of_a_part():
+    """Blocks of points against the test of every point with every side, many points on sides and corners."""
+    rng = np.random.default_rng(3)
+    x, y = (np.round(rng.random(3000) * 64) / 64 for _ in "xy")
+    sides = np.round(rng.random((200, 4)) * 96 - 16) / 64
+    sides[::3, 2], sides[1::5, 3] = sides[::3, 0], sides[1::5, 1]
+    starts = np.sort(np.append(rng.integers(0, 200, 59), [0, 200]))
+    flip = rng.random(60) < 0.5
+    boxes = [rng.random(60) * 0.2, 1 - rng.random(60) * 0.2, rng.random(60) * 0.2, 1 - rng.random(60) * 0.2]
+    for boundary in (True, False):
+        found = count_inside(x, y, flip, starts, sides, boxes, boundary)
+        for i in range(60):
+            inside_, border = np.full(3000, flip[i]), np.zeros(3000, bool)
+            for x1, y1, x2, y2 in sides[starts[i] : starts[i + 1]]:
+                if y1 != y2:
+                    inside_ ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+                border |= ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & ((x - x1) * (x - x2) <= 0) & ((y - y1) * (y - y2) <= 0)
+            held = (inside_ | border) if boundary else (inside_ & ~border)
+            assert found[i] == (held & (x >= boxes[0][i]) & (x <= boxes[1][i]) & (y >= boxes[2][i]) & (y <= boxes[3][i])).sum()
+
+
 def test_borders(spark):
     square = [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]
     frame = parse_features(spark.createDataFrame([(f,) for f in features([square])], "value string"), "id:int")
