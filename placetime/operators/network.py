@@ -121,9 +121,13 @@ def feature_metadata(features: DataFrame) -> DataFrame:
 
 
 def feature_sensors(bridge: DataFrame, sensors: DataFrame) -> DataFrame:
-    """(network, feature, sensor): which sensors in use report a feature."""
-    in_use = reported(bridge.select("network", "sensor").distinct(), sensors)
-    return in_use.select("network", F.lower("feature").alias("feature"), "sensor").distinct()
+    """(network, feature, sensor): which sensors in use report a feature.
+
+    Both sides of the join are distinct, so its rows are; they are more than either side's and are not gathered again.
+    """
+    features = sensor_properties(sensors).select("sensor", F.lower("feature").alias("feature")).distinct()
+    in_use = bridge.select("network", "sensor").distinct()
+    return in_use.join(settled(features, "sensor-features"), "sensor").select("network", "feature", "sensor")
 
 
 def feature_properties(features: DataFrame) -> DataFrame:

@@ -228,3 +228,17 @@ def test_crowded_slots_repeat_few_rows(spark):
 
     visit(found._jdf.queryExecution().executedPlan())
     assert max(most) <= 6 * 4000
+
+
+def test_sensors_of_features_are_gathered_before_the_join(spark):
+    """Repeated links and sensors, features that differ in case, unknown ones: each triple once, with no gathering of the joined rows."""
+    links = [("a", "n1", "s1"), ("a", "n2", "s1"), ("a", "n1", "s1"), ("b", "n3", "s2"), (None, "n4", "s1"), ("b", "n3", None), ("b", "n5", "gone")]
+    bridge = spark.createDataFrame(links, "network string, node string, sensor string")
+    maps = [("s1", {"x": "Wind.speed", "y": "wind.gust"}), ("s1", {"z": "rain.sum"}), ("s2", {"x": "rain.sum"}), (None, {"x": "rain.sum"}), ("s3", None)]
+    sensors = spark.createDataFrame(maps, "sensor string, observed_properties map<string, string>")
+    found = network.feature_sensors(bridge, sensors)
+    expected = {(n, f, "s1") for n in ("a", None) for f in ("wind", "rain")} | {("b", "rain", "s2")}
+    rows = [tuple(r) for r in found.collect()]
+    assert found.columns == ["network", "feature", "sensor"] and len(rows) == len(expected) and set(rows) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
