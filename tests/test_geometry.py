@@ -68,6 +68,18 @@ def test_join_equals_brute_force(world, limit, hot_rows):
     assert {(r["pid"], r["id"]) for r in found} == expected
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_cells_with_few_sides_are_tested_in_generated_code(world, limit):
+    """The walk over many sides has a join of its own, which gets the cells that are left with many after a division."""
+    points, frame, _, _ = world
+    plan = spatial.match_points(points, frame, "id", limit=limit)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "_cell" in line]
+    assert sorted("lambdafunction" in line for line in joins) == [False, True]
+    whole, divided = (spatial.shape_cells(frame, "id", divisions=n).filter(F.size("_edges") > spatial.SIDES_IN_COLUMNS) for n in (0, 1))
+    area = F.sum(F.pow(F.lit(4.0), F.col("level").cast("double")))
+    assert divided.agg(area).first()[0] < 0.7 * whole.agg(area).first()[0]
+
+
 def test_join_brings_attributes(world):
     points, frame, expected, _ = world
     rows = spatial.spatial_join(points, frame, "id").collect()
