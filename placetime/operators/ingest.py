@@ -19,9 +19,14 @@ DERIVED = ("hash", "point_date", "lon", "lat", "geom")
 def dedup_hash(df: DataFrame) -> DataFrame:
     """Distinct rows with an md5 over all columns as `hash`.
 
-    Equal rows are merged in every task before the shuffle, so many copies of one row stay cheap.
+    Rows are dealt by their hash into tasks of even size first, whatever the tasks that bring them, so what a task merges
+    is bounded. Equal rows are merged in every task before they meet, and a crowded hash is cut up, so many copies of one row stay cheap.
     """
-    return df.distinct().withColumn("hash", row_hash(df.columns))
+    bucket = "_bucket"
+    while bucket in (c.lower() for c in df.columns):
+        bucket = f"_{bucket}"
+    dealt = df.withColumn(bucket, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).hint("rebalance", bucket)
+    return dealt.drop(bucket).distinct().withColumn("hash", row_hash(df.columns))
 
 
 def _instant(df: DataFrame, name: str) -> Column:

@@ -215,6 +215,16 @@ def test_duplicates_and_null_island(spark):
     assert rows[1]["lon"] is None and rows[3]["lat"] is None and rows[2]["lat"] == 5.0
 
 
+def test_merging_does_not_depend_on_who_brings_the_rows(spark):
+    """Rows that lie by a key already are dealt anew, so no task merges more than its even share."""
+    few = spark.range(200).selectExpr("id", "if(id % 3 = 0, null, 'x') AS _bucket").repartition(2, "id")
+    merged = ingest.dedup_hash(few.unionByName(few).unionByName(few.filter("id = 6")))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "ENSURE_REQUIREMENTS" in plan
+    rows = merged.collect()
+    assert len(rows) == 200 == len({r["hash"] for r in rows}) and merged.columns == ["id", "_bucket", "hash"]
+
+
 def test_roles_need_a_place():
     with pytest.raises(ValueError):
         PointRoles(date="d", lat="y")
