@@ -69,10 +69,14 @@ def groups(text: Column, pattern: str, *wanted: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, ",".join(f"${i}" for i in wanted)), ",")
 
 
-def weather_token(token: Column) -> Column:
-    """One code group as six-tuples (intensity, vicinity, descriptor, precipitation, obscuration,
+def code_pieces(token: Column) -> Column:
+    """The six pieces of one code group as texts, empty where it has none."""
+    return groups(token, PRESENT_WEATHER, 1, 2, 3, 4, 5, 6)
+
+
+def weather_tuples(found: Column) -> Column:
+    """Pieces of one code group as six-tuples (intensity, vicinity, descriptor, precipitation, obscuration,
     other); further kinds of precipitation add a tuple each."""
-    found = groups(token, PRESENT_WEATHER, 1, 2, 3, 4, 5, 6)
     none = F.lit(None).cast("string")
     # The fourth place may hold several two-letter codes.
     first = F.transform(found, lambda v, i: F.when(v != "", F.when(i == 3, F.substring(v, 1, 2)).otherwise(v)))
@@ -83,8 +87,9 @@ def weather_token(token: Column) -> Column:
 def weather_types(text: Column) -> Column:
     """All code groups of a report; null when there are none."""
     value = F.trim(text)
-    tuples = F.flatten(F.transform(F.split(value, " "), weather_token))
-    return F.when(~value.isin("", "-"), tuples)
+    # Two steps, so that a group is matched once however often its pieces are looked at.
+    pieces = F.transform(F.split(value, " "), code_pieces)
+    return F.when(~value.isin("", "-"), F.flatten(F.transform(pieces, weather_tuples)))
 
 
 def sky_top(sky: Column) -> Column:

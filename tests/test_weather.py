@@ -161,3 +161,16 @@ def test_prune_without_hourly_keeps_all(spark):
     metars = spark.createDataFrame([("1", RECEIVED)], "wban_code string, datetime timestamp_ntz")
     assert wx.metar_prune(metars, metars.limit(0)).count() == 1
     assert wx.metar_prune(metars, metars.withColumn("datetime", F.expr("datetime + INTERVAL '1' HOUR"))).count() == 0
+
+
+def test_a_code_group_is_matched_once(spark):
+    lines = spark.createDataFrame([("-RASN BR",), ("-",), ("",), (None,), ("+TSRAGR  VCFG+",), ("VCSHSNDZRA PO",)], "t string")
+    found = lines.select(weather.weather_types(F.col("t")).alias("types"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    none = [None] * 6
+    assert [r["types"] for r in found.collect()] == [
+        [["-", None, None, "RA", None, None], [None, None, None, "SN", None, None], [None, None, None, None, "BR", None]],
+        None, None, None,
+        [["+", None, "TS", "RA", None, None], [None, None, None, "GR", None, None], none, [None, "VC", None, None, "FG+", None]],
+        [[None, "VC", "SH", "SN", None, None], [None, None, None, "DZ", None, None], [None, None, None, "RA", None, None], [None, None, None, None, None, "PO"]],
+    ]
