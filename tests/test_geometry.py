@@ -87,6 +87,43 @@ def test_join_brings_attributes(world):
     assert all(r["shape_name"] == f"p{r['shape_id']}" for r in rows)
 
 
+def _final_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 20])
+def test_points_are_shuffled_once(spark, world, hot_rows):
+    """Both joins of the shuffled path read the same points, and pairs come from one row per cell of polygons."""
+    points, frame, expected, _ = world
+    named = points.select(F.col("pid").alias("pid"), "lon", "lat")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spatial.match_points(named, frame, "id", limit=0, hot_rows=hot_rows)
+        assert {(r["pid"], r["id"]) for r in found.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = _final_plan(found)
+    assert plan.count("SortMergeJoin") == 2 and "ReusedExchange" in plan
+    assert plan.count("Generate explode(array(") == 1 and plan.count("Generate inline(_parts") == 1
+
+
+def test_pieces_of_crowded_cells_do_not_multiply_polygons(spark, monkeypatch):
+    """Many polygons on one place: the pieces of its points are few, whatever number of points is crowded."""
+    ring = [[0, 0], [8, 0], [8, 8], [0, 8], [0, 0]]
+    frame = parse_features(spark.createDataFrame([(f,) for f in features([[ring]] * 200)], "value string"), "id:int")
+    points = spark.range(600).select(F.col("id").alias("pid"), (F.col("id") % 20 / 100 + 4.1).alias("lon"), (F.col("id") % 30 / 100 + 4.1).alias("lat"))
+    cells = spatial.shape_cells(frame, "id").cache()
+    keyed = points.select("*", spatial._own_cells([r["level"] for r in cells.select("level").distinct().collect()]).alias("_cell"))
+    pieces, parts = spatial._crowds(keyed, cells, 5)
+    assert pieces is None and parts is None  # 5 points a piece repeated the 200 squares 120 times
+    monkeypatch.setattr(spatial, "REPEATED", 0.1)
+    monkeypatch.setattr(spatial, "PARTS", 30)
+    pieces, parts = spatial._crowds(keyed, cells, 5)
+    assert pieces.first()["shards"] == 30 and {r["shards"] for r in parts.collect()} == {7}
+    found = spatial.match_points(points, frame, "id", limit=0, hot_rows=5)
+    assert found.count() == found.distinct().count() == 600 * 200
+
+
 def test_counts(world):
     points, frame, expected, _ = world
     counts = {r["id"]: r["count"] for r in spatial.points_per_polygon(points, frame, "id").collect()}
