@@ -124,6 +124,24 @@ def test_pieces_of_crowded_cells_do_not_multiply_polygons(spark, monkeypatch):
     assert found.count() == found.distinct().count() == 600 * 200
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_attributes_join_the_polygons(world, limit):
+    """Keys that repeat or are null give the same rows as a join of pairs, also where a point's column has the name of one."""
+    points, frame, _, _ = world
+    keys = frame.select(F.when(F.col("id") % 5 > 0, F.col("id") - F.col("id") % 2).alias("id"), "name", "geom")
+    named = points.select("pid", "lon", "lat", F.lit("p").alias("shape_name"))
+    pairs = spatial.match_points(points, keys, "id", limit=limit).select("pid", "id")
+    expected = sorted(map(tuple, pairs.join(keys.select("id", "name"), "id").select("id", "pid", "name").collect()))
+    found = spatial.spatial_join(named, keys, "id", limit=limit)
+    assert found.columns == ["shape_id", "pid", "lon", "lat", "shape_name", "shape_name"]
+    rows = found.toDF("id", "pid", "lon", "lat", "p", "name").select("id", "pid", "name").collect()
+    assert sorted(map(tuple, rows)) == expected and len(expected) > pairs.filter("id IS NOT NULL").count()
+    if limit == 0:
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        union = next(i for i, line in enumerate(plan) if "Union" in line)
+        assert not any("Join" in line for line in plan[:union])
+
+
 def test_counts(world):
     points, frame, expected, _ = world
     counts = {r["id"]: r["count"] for r in spatial.points_per_polygon(points, frame, "id").collect()}
